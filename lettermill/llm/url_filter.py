@@ -50,7 +50,8 @@ class Level:
     seed: int
 
     def positions(self, key: Column) -> list[Column]:
-        first, second = F.xxhash64(key, F.lit(self.seed)), F.xxhash64(key, F.lit(self.seed + 1))
+        # Shifted, so that the sums below stay within 64 bits.
+        first, second = (F.shiftright(F.xxhash64(key, F.lit(self.seed + i)), 8) for i in range(2))
         return [F.pmod(first + second * F.lit(i), F.lit(8 * len(self.bits)).cast("long")) for i in range(self.hashes)]
 
     def has(self, key: Column) -> Column:
