@@ -1,12 +1,15 @@
 """Queries and DuckDB SQL of this subpackage, for the entry module."""
 
-from lettermill.llm import chat, line_dedup, mixing, sharding, url_filter
+from lettermill.llm import bpe, chat, line_dedup, mixing, near_dup, quality, sharding, url_filter
 
 QUERIES = {
     "op1_site_line_dedup": line_dedup.op1_site_line_dedup,
+    "op3_boosted_quality": quality.op3_boosted_quality,
+    "op4_trie_bpe": bpe.op4_trie_bpe,
     "op5_hierarchical_mix": mixing.op5_hierarchical_mix,
     "op6_perspective_rotation": chat.op6_perspective_rotation,
     "op7_rendezvous_sharding": sharding.op7_rendezvous_sharding,
+    "op8_lsh_forest": near_dup.op8_lsh_forest,
     "op9_bloom_cascade": url_filter.op9_bloom_cascade,
 }
 ORACLE_SQL = {
