@@ -1,9 +1,10 @@
 """Queries and DuckDB SQL of this subpackage, for the entry module."""
 
-from lettermill.llm import bpe, chat, line_dedup, mixing, near_dup, quality, sharding, url_filter
+from lettermill.llm import bpe, chat, embedding, line_dedup, mixing, near_dup, quality, sharding, url_filter
 
 QUERIES = {
     "op1_site_line_dedup": line_dedup.op1_site_line_dedup,
+    "op2_inverted_multi_index": embedding.op2_inverted_multi_index,
     "op3_boosted_quality": quality.op3_boosted_quality,
     "op4_trie_bpe": bpe.op4_trie_bpe,
     "op5_hierarchical_mix": mixing.op5_hierarchical_mix,
