@@ -1,6 +1,7 @@
 """Queries and DuckDB SQL of this subpackage, for the entry module."""
 
-from lettermill.llm import bpe, chat, embedding, line_dedup, mixing, near_dup, quality, sharding, url_filter
+import corpus_pipeline
+from lettermill.llm import bpe, chat, embedding, html_extract, line_dedup, mixing, near_dup, quality, sharding, url_filter
 
 QUERIES = {
     "op1_site_line_dedup": line_dedup.op1_site_line_dedup,
@@ -12,6 +13,8 @@ QUERIES = {
     "op7_rendezvous_sharding": sharding.op7_rendezvous_sharding,
     "op8_lsh_forest": near_dup.op8_lsh_forest,
     "op9_bloom_cascade": url_filter.op9_bloom_cascade,
+    "op10_template_extraction": html_extract.op10_template_extraction,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {
     "op1_site_line_dedup": line_dedup.OP1_SQL,
@@ -19,4 +22,5 @@ ORACLE_SQL = {
     "op6_perspective_rotation": chat.OP6_SQL,
     "op7_rendezvous_sharding": sharding.OP7_SQL,
     "op9_bloom_cascade": url_filter.OP9_SQL,
+    "pipeline": corpus_pipeline.ORACLE_SQL,
 }
