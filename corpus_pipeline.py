@@ -16,7 +16,7 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the boosted trees; null and empty texts go."""
     trees = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.judge_quality(docs.withColumn("__whole", F.col("text")), trees).where("kept").withColumn("text", F.col("__whole")).select(*docs.columns)
+    return quality.judge_quality(docs, trees).where("kept").select(*docs.columns)
 
 
 def line_dedup_by_site(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -197,37 +197,40 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return fit(x[order], y[order])
 
 
-def _judge(trees: Trees):
+def _judge(trees: Trees, text: str, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, texts in pieces(batch.column("__text")):
+            names = [c for c in batch.schema.names if keep_text or c != text]
+            for a, b, texts in pieces(batch.column(text)):
                 counts, x = statistics(texts)
                 n = counts["n_words"]
                 failed = (n < 10) | (100 * counts["n_repeat_words"] > 20 * n)
                 score = trees.score(x)
-                own = [batch.column(c).slice(a, b - a) for c in batch.schema.names if c != "__text"]
+                own = [batch.column(c).slice(a, b - a) for c in names]
                 made = [pa.array(counts[c].astype(np.int64)) for c in COUNTS] + [pa.array(failed), pa.array(score), pa.array(~failed & (score >= 0))]
-                yield pa.RecordBatch.from_arrays([*own, *made], names=[*(c for c in batch.schema.names if c != "__text"), *COUNTS, "base_failed", "score", "kept"])
+                yield pa.RecordBatch.from_arrays([*own, *made], names=[*names, *COUNTS, "base_failed", "score", "kept"])
 
     return run
 
 
-def judge_quality(df: DataFrame, trees: Trees, text: str = "text") -> DataFrame:
+def judge_quality(df: DataFrame, trees: Trees, text: str = "text", keep_text: bool = True) -> DataFrame:
     r"""``df`` with ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept``.
 
     - Null and empty texts have no words and so fail the base rules (fewer than 10 words).
     - ``base_failed``: n_words < 10, or more than a fifth of the words lie in 5-word windows that are found twice or more.
     - ``kept``: not base_failed, and the trees' log odds of good quality are 0 or more.
-    - Columns of these names are replaced, all others (of any type) are kept; repeated rows are judged alike. No shuffle.
+    - Columns of these names are replaced, all others (of any type) are kept, but for the text without ``keep_text``.
+      Repeated rows are judged alike; an empty table gives no rows. No shuffle.
     """
     made = {*COUNTS, "base_failed", "score", "kept"}
-    own = df.select(*[c for c in df.columns if c not in made], F.col(text).cast("string").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema if f.name != "__text")
+    own = df.select(*[c for c in df.columns if c not in made])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema if keep_text or f.name != text)
     schema += ", " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, score double, kept boolean"
-    return own.mapInArrow(_judge(trees), schema)
+    return own.mapInArrow(_judge(trees, text, keep_text), schema)
 
 
 def op3_boosted_quality(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     trees = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return judge_quality(docs, trees).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
+    judged = judge_quality(docs, trees, keep_text=False)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
