@@ -102,8 +102,10 @@ def three_signals(df: DataFrame, subject: str = "subject", body: str = "body", s
     known = F.col("sender_frequency")
     flags = "(?i)" if ignore_case else ""
 
-    by_pattern = first_match(who, packs.SENDER_PATTERNS)
-    is_auto, often, once = any_of(who, packs.SOURCE_AUTOMATED), known > 50, known == 1
+    # Results that several others need are columns of their own, so that their code stands once in the plan.
+    df = df.withColumns({"__pattern": first_match(who, packs.SENDER_PATTERNS), "__auto": any_of(who, packs.SOURCE_AUTOMATED), "__title": first_match(title, {k: [flags + p for p in v] for k, v in packs.SUBJECT_PATTERNS.items()})})
+    by_pattern = F.col("__pattern")
+    is_auto, often, once = F.col("__auto"), known > 50, known == 1
     source = F.when(is_auto, "Automated").when(by_pattern.isin("Newsletter", "Service_Notification"), "Semi-automated").otherwise("Human")
     from_sender = F.coalesce(by_pattern, F.when(often, "Newsletter").when(once, "Personal"))
     zero = F.lit(0.0).cast("double")
@@ -111,17 +113,21 @@ def three_signals(df: DataFrame, subject: str = "subject", body: str = "body", s
     sender_score = num(by_pattern.isNotNull(), 0.8) + F.when(is_auto, 0.3).when(by_pattern.isin("Newsletter", "Service_Notification"), 0.2).otherwise(0.1).cast("double") + F.when(often, 0.4).when(once, 0.2).otherwise(0.0).cast("double")
 
     thread = title.rlike("^(re:|fwd:|fw:)")
-    from_subject = first_match(title, {k: [flags + p for p in v] for k, v in packs.SUBJECT_PATTERNS.items()})
-    high, medium = any_of(title, packs.PRIORITY_KEYWORDS["High"]), any_of(title, packs.PRIORITY_KEYWORDS["Medium"])
+    from_subject = F.col("__title")
+    df = df.withColumns({"__high": any_of(title, packs.PRIORITY_KEYWORDS["High"]), "__medium": any_of(title, packs.PRIORITY_KEYWORDS["Medium"])})
+    high, medium = F.col("__high"), F.col("__medium")
     priority = F.when(medium, "Medium").when(high, "High").otherwise("Medium")
     subject_score = num(thread, 0.3) + num(from_subject.isNotNull(), 0.6) + num(high, 0.2) + num(medium, 0.2)
 
     unsubscribe = text.contains("unsubscribe")
     automation = F.least(hits(text, packs.AUTOMATION_INDICATORS) * F.lit(0.2).cast("double"), F.lit(1.0).cast("double"))
-    scores = {d: reduce(add, [(F.length(text) - F.length(F.replace(text, F.lit(w), F.lit("")))) / F.lit(len(w)) for w in words]) for d, words in packs.DOMAIN_KEYWORDS.items()}
-    df = df.withColumn("__scores", F.array(*[F.round(s).cast("int") for s in scores.values()]))
+    # A fold over each word list: one small expression, where a sum of all words would outgrow a generated method.
+    count = lambda acc, w: acc + F.floor((F.length(text) - F.length(F.replace(text, w, F.lit("")))) / F.length(w))
+    scores = {d: F.aggregate(F.array(*[F.lit(w) for w in words]), F.lit(0).cast("long"), count) for d, words in packs.DOMAIN_KEYWORDS.items()}
+    df = df.withColumn("__scores", F.array(*[s.cast("int") for s in scores.values()]))
     best = F.array_max("__scores")
-    domain = F.when(best > 0, F.element_at(F.array(*[F.lit(d) for d in scores]), F.array_position("__scores", best).cast("int")))
+    df = df.withColumns({"__best": best, "__domain": F.when(best > 0, F.element_at(F.array(*[F.lit(d) for d in scores]), F.array_position("__scores", best).cast("int")))})
+    best, domain = F.col("__best"), F.col("__domain")
     important, promo = tags.contains("important"), tags.contains("category_promotions")
     has_text = text != ""
     promo_domain = F.when(has_text & ~important & promo & domain.isNull(), "Shopping/Retail")
@@ -139,7 +145,7 @@ def three_signals(df: DataFrame, subject: str = "subject", body: str = "body", s
         "priority_level": priority, "source_type": source, "action_required": F.when(has_text & important, "Reply_Needed").otherwise("Read_Only"),
         "is_thread": thread, "has_unsubscribe": unsubscribe, "automated_score": F.round(automation, 3),
         "confidence_score": F.round(F.least(total.cast("double"), F.lit(1.0).cast("double")), 6), "classification_rules": F.to_json(trace),
-    }).drop("__from", "__subject", "__body", "__labels", "__scores")
+    }).drop("__from", "__subject", "__body", "__labels", "__scores", "__pattern", "__auto", "__title", "__high", "__medium", "__best", "__domain")
 
 
 def newsletter_score(df: DataFrame, subject: str = "subject", sender: str = "sender", body: str = "body", limit: int = 500) -> DataFrame:
