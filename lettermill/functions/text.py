@@ -29,7 +29,7 @@ def parse_address(header: Column) -> Column:
 
 def split_addresses(header: Column) -> Column:
     """Comma-split, trimmed, without empty parts; quoted commas are not special."""
-    return F.filter(F.transform(F.split(F.coalesce(header, F.lit("")), ","), F.trim), lambda a: a != "")
+    return F.filter(F.transform(F.split(F.coalesce(header, F.lit("")), ","), lambda a: F.trim(a)), lambda a: a != "")
 
 
 def valid_address(address: Column) -> Column:

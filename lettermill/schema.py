@@ -38,7 +38,7 @@ def to_mail(df: DataFrame) -> DataFrame:
             have = [parse_mail_date(F.col(f"`{n}`")).cast("timestamp_ntz") if types[n] == "string" else F.col(f"`{n}`").cast("timestamp_ntz") for n in names if n in types]
             out[field.name] = F.coalesce(*have) if have else F.lit(None).cast(field.dataType)
         elif field.name == "labels" and types.get("labels") == "string":
-            out["labels"] = F.filter(F.transform(F.split("labels", ","), F.trim), lambda x: x != "")
+            out["labels"] = F.filter(F.transform(F.split("labels", ","), lambda x: F.trim(x)), lambda x: x != "")
         elif field.name not in ("year_month",):
             c = _first(df, names, field.dataType)
             out[field.name] = c.cast(field.dataType)

@@ -63,7 +63,7 @@ def _table_value(page: Column, name: str) -> Column:
 
 def read_markdown(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
     """Markdown mails: a metadata table, then the body after ``## Email Content`` or ``## Message Content``, else after the first heading, else all."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path).withColumn("source_file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob).withColumn("source_file", F.element_at(F.split(F.input_file_name(), "/"), -1))
     page = F.col("value")
     body = F.coalesce(
         F.when(page.rlike(r"(?m)^## (?:Email|Message) Content\s*$"), F.regexp_extract(page, r"(?ms)^## (?:Email|Message) Content\s*\n(.*)\z", 1)),
