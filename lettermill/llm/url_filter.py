@@ -16,7 +16,7 @@ from lettermill.llm.scratch import Scratch
 #: Listed keys: these names and all names below them.
 LISTED = ("adult-x.example.net", "ads-track.example.org", "casino-win.example.org", "cheap-pills.example.com", "free-bets.example.com", "spam-farm.example.org")
 #: (verdict, host, path): the rule's host and its subdomains, paths that start with the rule's; the longest wins.
-RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
+RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 BITS_PER_KEY = 10
 HASHES = 5
 #: Most keys that one level may hold: 20 MB of bits. It bounds what is collected and sent with the plan.
