@@ -7,6 +7,7 @@ back from its end.
 """
 
 import json
+import struct
 import unicodedata
 from collections.abc import Iterator
 
@@ -16,8 +17,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words whose encodings a task remembers; beyond it, it starts anew. Bounds memory, changes no result.
-REMEMBERED = 300_000
+#: Words, and runs of words and marks, whose encodings a task remembers; beyond it, it starts anew. Bounds memory, changes no result.
+REMEMBERED = 400_000
 #: Bytes of text that are held as Python strings at once.
 BATCH_BYTES = 4 << 20
 
@@ -56,7 +57,14 @@ class WordBpe:
             a, b, whole = self.vocab[left], self.vocab[right], self.vocab[left + right]
             self.rank.setdefault((a, b), r)
             self.made.setdefault(whole, (a, b, r))
-        self.longest = max(map(len, self.vocab))
+        #: Longest token that ends in certain three letters (or fewer, if that is all of it).
+        self.reach: dict[str, int] = {}
+        for t in self.vocab:
+            final = t.endswith(self.end)
+            letters = t.removesuffix(self.end)
+            for k in (3,) if len(letters) >= 3 else (2, 1):
+                tail = letters[-k:] + (self.end if final else "")
+                self.reach[tail] = max(self.reach.get(tail, 0), len(letters))
         self.right_edges: dict[int, list] = {}
         self.left_edges: dict[int, list] = {}
         self.fits: dict[tuple[int, int], bool] = {}
@@ -94,7 +102,7 @@ class WordBpe:
 
     def encode_words(self, words: list[str]) -> dict[str, list[int]]:
         """Token ids of distinct words, given in byte letters; all over one trie."""
-        vocab, end, may_follow = self.vocab, self.end, self.may_follow
+        vocab, end, may_follow, reach = self.vocab, self.end, self.may_follow, self.reach
         # The trie, numbered in depth-first order: sorted words share their path down to the common prefix.
         token: list[int] = [-1]
         back: list[int] = [-1]
@@ -104,7 +112,8 @@ class WordBpe:
 
         def state(text: str, stop: str, depth: int) -> None:
             """Append a node below ``path``: its last token, and the node that the token starts at."""
-            for size in range(min(depth, self.longest), 0, -1):
+            longest = reach.get(text[depth - 3 : depth] + stop, 2) if depth > 3 else depth
+            for size in range(longest if longest < depth else depth, 0, -1):
                 t = vocab.get(text[depth - size : depth] + stop)
                 if t is None:
                     continue
@@ -150,17 +159,19 @@ class WordBpe:
             out += [self.special[piece]] if piece in self.special else self.normalise(piece).split(" ")
         return out
 
-    def encode_texts(self, texts: list[str], memory: dict) -> list[bytes]:
-        """Ids of every text as little-endian unsigned 32-bit integers; ``memory`` keeps runs already encoded."""
+    def encode_texts(self, texts: list[str], memory: dict, words: dict) -> list[bytes]:
+        """Ids of every text as little-endian unsigned 32-bit integers; the dicts keep runs and words already encoded."""
         split = [self.parts(t) for t in texts]
         new = {p for parts in split for p in parts if p not in memory}
         runs = {p: [self.as_letters(w) for w in self.word.findall(p)] for p in new if isinstance(p, str)}
-        ids = self.encode_words(list({w for words in runs.values() for w in words}))
-        memory.update({p: np.array([t for w in words for t in ids[w]], "<u4").tobytes() for p, words in runs.items()})
+        ids = self.encode_words([*{w for run in runs.values() for w in run if w not in words}])
+        words.update({w: struct.pack(f"<{len(x)}I", *x) for w, x in ids.items()})
+        memory.update({p: b"".join([words[w] for w in run]) for p, run in runs.items()})
         memory.update({p: p.to_bytes(4, "little") for p in new if not isinstance(p, str)})
         out = [b"".join([memory[p] for p in parts]) for parts in split]
-        if len(memory) > REMEMBERED:
-            memory.clear()
+        for known in (memory, words):
+            if len(known) > REMEMBERED:
+                known.clear()
         return out
 
     def as_letters(self, word: str) -> str:
@@ -212,10 +223,10 @@ def encode(df: DataFrame, spec: str, text: str = "text", ids: str = "ids") -> Da
     shared = df.sparkSession.sparkContext.broadcast(spec)
 
     def work(batches):
-        bpe, memory = WordBpe(shared.value), {}
+        bpe, memory, words = WordBpe(shared.value), {}, {}
         for batch in batches:
             for a, texts in _runs(batch.column(text)):
-                got = pa.array(bpe.encode_texts(texts, memory), pa.binary())
+                got = pa.array(bpe.encode_texts(texts, memory, words), pa.binary())
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, len(texts)).columns, got], names=[*batch.schema.names, ids])
 
     return _mapped(df, ids, "binary", work)
