@@ -81,3 +81,37 @@ def histograms(samples: DataFrame) -> DataFrame:
 def gauges(samples: DataFrame) -> DataFrame:
     """(name, counter, gauge): how many samples, and the newest value."""
     return samples.groupBy("name").agg(F.count("*").alias("counter"), F.max_by("value", "ts").alias("gauge"))
+
+
+def progress(processed: Column, total: Column) -> Column:
+    """Percent done; 0 of nothing."""
+    return F.coalesce(F.try_divide(processed * 100.0, total), F.lit(0.0)).cast("double")
+
+
+def file_stats(files: DataFrame) -> DataFrame:
+    """(extension, n, bytes) of (path, size); names without a dot have the extension ''."""
+    name = F.element_at(F.split("path", "/"), -1)
+    ext = F.when(name.contains("."), F.lower(F.concat(F.lit("."), F.element_at(F.split(name, r"\."), -1)))).otherwise("")
+    return files.groupBy(ext.alias("extension")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+
+
+def path_periods(files: DataFrame) -> DataFrame:
+    """(kind, period, n): four- and two-digit folders of the paths, as years and months."""
+    part = F.explode(F.filter(F.split("path", "/"), lambda p: p.rlike(r"^(\d{4}|\d{2})$")))
+    return files.select(part.alias("period")).groupBy("period").agg(F.count("*").alias("n")).select(F.when(F.length("period") == 4, "year").otherwise("month").alias("kind"), "period", "n")
+
+
+def content_types(files: DataFrame) -> DataFrame:
+    return files.groupBy("content_type").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+
+
+def migrations_due(known: DataFrame, applied: DataFrame) -> DataFrame:
+    """(name, status): pending, applied, or changed (its checksum is not the applied one)."""
+    a = applied.select(F.col("name").alias("a_name"), F.col("checksum").alias("a_sum"))
+    j = known.join(a, F.col("name") == F.col("a_name"), "left")
+    return j.select("name", F.when(F.col("a_name").isNull(), "pending").when(F.col("checksum") == F.col("a_sum"), "applied").otherwise("changed").alias("status"))
+
+
+def actions(log: DataFrame) -> DataFrame:
+    """(action, succeeded, failed) of a log with (action, error)."""
+    return log.groupBy("action").agg(F.count_if(F.col("error").isNull()).alias("succeeded"), F.count_if(F.col("error").isNotNull()).alias("failed"))
