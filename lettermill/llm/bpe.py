@@ -17,8 +17,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words, and runs of words and marks, whose encodings a task remembers; beyond it, it starts anew. Bounds memory, changes no result.
-REMEMBERED = 400_000
+from lettermill.llm.scratch import small_batches
+
+#: Words, and runs of words and marks, of one generation whose encodings a task remembers (see ``Recent``). Bounds memory, changes no result.
+REMEMBERED = 120_000
 #: Bytes of text that are held as Python strings at once.
 BATCH_BYTES = 4 << 20
 
@@ -34,6 +36,25 @@ def _byte_letters() -> list[str]:
     return [letter[b] for b in range(256)]
 
 
+class Recent:
+    """Encodings by word, in two generations: what is not asked for while one fills up is forgotten with it."""
+
+    def __init__(self):
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def unknown(self, words: set) -> set:
+        """The words that are not known; the others are young from now on."""
+        unknown = {w for w in words if w not in self.young}
+        known = {w: self.old[w] for w in unknown if w in self.old}
+        self.young.update(known)
+        return unknown - known.keys()
+
+    def age(self) -> None:
+        if len(self.young) > REMEMBERED:
+            self.young, self.old = {}, self.young
+
+
 class WordBpe:
     """Encoder of one tokenizer file: BPE with word ends, lower case, white space dropped, no decoder."""
 
@@ -43,7 +64,6 @@ class WordBpe:
         self.vocab: dict[str, int] = model["vocab"]
         self.end = model["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
-        self.tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.special_cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         pattern = file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.word = regex.compile(pattern.replace(r"[^\s", f"[^{_SPACES}"))
@@ -159,19 +179,18 @@ class WordBpe:
             out += [self.special[piece]] if piece in self.special else self.normalise(piece).split(" ")
         return out
 
-    def encode_texts(self, texts: list[str], memory: dict, words: dict) -> list[bytes]:
-        """Ids of every text as little-endian unsigned 32-bit integers; the dicts keep runs and words already encoded."""
+    def encode_texts(self, texts: list[str], memory: Recent, words: Recent) -> list[bytes]:
+        """Ids of every text as little-endian unsigned 32-bit integers; ``memory`` and ``words`` keep runs and words already encoded."""
         split = [self.parts(t) for t in texts]
-        new = {p for parts in split for p in parts if p not in memory}
+        new = memory.unknown({p for parts in split for p in parts})
         runs = {p: [self.as_letters(w) for w in self.word.findall(p)] for p in new if isinstance(p, str)}
-        ids = self.encode_words([*{w for run in runs.values() for w in run if w not in words}])
-        words.update({w: struct.pack(f"<{len(x)}I", *x) for w, x in ids.items()})
-        memory.update({p: b"".join([words[w] for w in run]) for p, run in runs.items()})
-        memory.update({p: p.to_bytes(4, "little") for p in new if not isinstance(p, str)})
-        out = [b"".join([memory[p] for p in parts]) for parts in split]
-        for known in (memory, words):
-            if len(known) > REMEMBERED:
-                known.clear()
+        ids = self.encode_words([*words.unknown({w for run in runs.values() for w in run})])
+        words.young.update({w: struct.pack(f"<{len(x)}I", *x) for w, x in ids.items()})
+        memory.young.update({p: b"".join([words.young[w] for w in run]) for p, run in runs.items()})
+        memory.young.update({p: p.to_bytes(4, "little") for p in new if not isinstance(p, str)})
+        out = [b"".join([memory.young[p] for p in parts]) for parts in split]
+        memory.age()
+        words.age()
         return out
 
     def as_letters(self, word: str) -> str:
@@ -179,8 +198,15 @@ class WordBpe:
             return word if word.isprintable() else "".join([self.letters[b] for b in word.encode()])
         return "".join([self.letters[b] for b in word.encode()])
 
+
+class WordDecoder:
+    """Decoder of the same files, which name no decoder: tokens are joined by spaces, ids that name no token are left out."""
+
+    def __init__(self, spec: str):
+        file = json.loads(spec)
+        self.tokens = {i: t for t, i in file["model"]["vocab"].items()} | {t["id"]: t["content"] for t in file["added_tokens"]}
+
     def decode(self, ids: np.ndarray) -> str:
-        """Without a decoder in the file, tokens are joined by spaces; ids that name no token are left out."""
         tokens = self.tokens
         return " ".join([tokens[i] for i in ids.tolist() if i in tokens])
 
@@ -206,11 +232,8 @@ def _mapped(df: DataFrame, name: str, kind: str, work) -> DataFrame:
     own = df.select(*[c for c in df.columns if c != name])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema) + f", `{name}` {kind}"
 
-    def run(batches):
-        for batch in work(batches):
-            yield batch
-
-    return own.mapInArrow(run, schema)
+    small_batches(df.sparkSession)
+    return own.mapInArrow(work, schema)
 
 
 def encode(df: DataFrame, spec: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -218,12 +241,12 @@ def encode(df: DataFrame, spec: str, text: str = "text", ids: str = "ids") -> Da
 
     - Special tokens' strings in a text become their ids; none are added. Null and empty texts have no tokens.
     - Rows come out as they came in, repeated rows repeated; a column named ``ids`` is replaced. No shuffle.
-    - A task holds one batch of rows and at most ``REMEMBERED`` encoded runs.
+    - A task holds one batch of rows and at most twice ``REMEMBERED`` encoded runs and words, besides those of the batch.
     """
     shared = df.sparkSession.sparkContext.broadcast(spec)
 
     def work(batches):
-        bpe, memory, words = WordBpe(shared.value), {}, {}
+        bpe, memory, words = WordBpe(shared.value), Recent(), Recent()
         for batch in batches:
             for a, texts in _runs(batch.column(text)):
                 got = pa.array(bpe.encode_texts(texts, memory, words), pa.binary())
@@ -237,12 +260,12 @@ def decode(df: DataFrame, spec: str, ids: str = "ids", text: str = "decoded") ->
     shared = df.sparkSession.sparkContext.broadcast(spec)
 
     def work(batches):
-        bpe = WordBpe(shared.value)
+        tokens = WordDecoder(shared.value)
         for batch in batches:
             column = batch.column(ids)
             for a in range(0, batch.num_rows, 256):
                 rows = column.slice(a, 256).to_pylist()
-                got = pa.array([bpe.decode(np.frombuffer(r or b"", "<u4")) for r in rows], pa.string())
+                got = pa.array([tokens.decode(np.frombuffer(r or b"", "<u4")) for r in rows], pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, len(rows)).columns, got], names=[*batch.schema.names, text])
 
     return _mapped(df, text, "string", work)

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lettermill.llm.scratch import small_batches
 from lettermill.llm.words import SPACE, U, mix, pieces
 
 #: Labelled documents that are fitted on at most; chosen by the hash of their id, so the sample is the same each time.
@@ -190,6 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     chosen = labels.select(F.col(key).alias("key"), F.col("quality").cast("int").alias("quality")).where("key is not null and quality is not null")
     chosen = chosen.orderBy(F.xxhash64("key"), "key", "quality").limit(sample)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(chosen), "key").select("quality", "text")
+    small_batches(docs.sparkSession)
     got = rows.mapInArrow(_features, "quality int, x array<double>").toPandas()
     x = np.stack(got["x"].to_numpy()) if len(got) else np.zeros((0, len(FEATURES)))
     y = (got["quality"].to_numpy(int) > 0).astype(float)
@@ -226,6 +228,7 @@ def judge_quality(df: DataFrame, trees: Trees, text: str = "text", keep_text: bo
     own = df.select(*[c for c in df.columns if c not in made])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema if keep_text or f.name != text)
     schema += ", " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, score double, kept boolean"
+    small_batches(df.sparkSession)
     return own.mapInArrow(_judge(trees, text, keep_text), schema)
 
 

@@ -9,6 +9,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bounds of one Arrow batch of whole texts; a longer text is a batch of its own.
+BATCH_ROWS = 2000
+BATCH_SIZE = "8m"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where it is unset (tests, one machine) a temporary folder."""
@@ -21,6 +25,12 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_ROWS`` rows and about ``BATCH_SIZE``: each is held by the JVM and by Python, in and out."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_SIZE)
+
+
 class Scratch:
     """Tables of one operator call. ``save`` writes and rereads; ``drop`` removes early."""
 

@@ -95,7 +95,7 @@ def test_bpe_of_random_letters_and_a_small_memory(monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 50)
     lib = Tokenizer.from_file(PATH)
     rng = np.random.default_rng(3)
-    own, memory, words = bpe.WordBpe(bpe.load_spec(PATH)), {}, {}
+    own, memory, words = bpe.WordBpe(bpe.load_spec(PATH)), bpe.Recent(), bpe.Recent()
     for _ in range(30):
         some = ["".join(rng.choice(list("aeinrst"), rng.integers(1, 14))) for _ in range(200)]
         got = own.encode_texts([" ".join(some)], memory, words)[0]
