@@ -43,7 +43,7 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids, ids_sha256, decoded_sha256) of every document."""
     spec = bpe.load_spec(TOKENIZER)
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), spec).drop("text"), spec)
+    coded = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), spec)
     return bpe.digests(coded).select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 

@@ -89,6 +89,8 @@ def test_bpe_is_the_library(spark):
         assert r["decoded"] == lib.decode(ids, skip_special_tokens=False)
         assert r["ids_sha256"] == hashlib.sha256(raw).hexdigest() and r["decoded_sha256"] == hashlib.sha256(r["decoded"].encode()).hexdigest()
     assert bpe.encode(df.limit(0), spec).count() == 0
+    at_once = bpe.digests(bpe.round_trip(df, spec)).collect()
+    assert sorted(map(tuple, at_once), key=str) == sorted(map(tuple, got), key=str)
 
 
 def test_bpe_of_random_letters_and_a_small_memory(monkeypatch):
