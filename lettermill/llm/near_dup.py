@@ -2,9 +2,10 @@
 
 Each tree sorts the documents by a signature order of its own; documents with a long common prefix
 are neighbours. A region is the set of documents under one prefix. Its depth adapts: a crowded prefix
-is followed deeper until it holds few enough documents, and where no prefix does, a region is dealt
-into chunks that all hold the region's least document. Neighbours whose signatures agree well enough
-are confirmed on their full shingle sets, and confirmed links are closed to components.
+is first followed deeper until it holds few enough documents, and where no prefix does, dealt into
+chunks that all hold the region's least document. What that leaves apart is then compared at the
+shallow prefix itself, block against block. Neighbours whose signatures agree well enough are
+confirmed on their full shingle sets, and confirmed links are closed to components.
 """
 
 import math
@@ -23,7 +24,11 @@ TREES = 16
 VALUES = 128
 #: Documents of one region; a region's pairs are looked at in one task.
 REGION = 64
-#: Chance of losing a pair at the threshold in all trees, before depth adapts.
+#: Documents of one block of a crowded region; two blocks are compared in one task.
+BLOCK = 1024
+#: Pairs in one batch of those that cross components.
+PAIRS = 100_000
+#: Chance of losing a pair at the threshold in all trees.
 MISS = 2e-5
 #: Depths below the least one that crowded regions are followed to.
 DEEPER = (6, 8, 12, 16, 24, 32)
@@ -75,8 +80,8 @@ def _sketch(shingle: int):
     return run
 
 
-def _regions(nodes: DataFrame, depth: int, region: int, scratch: Scratch) -> DataFrame:
-    """(region, node): which documents meet where. No region holds more than about ``region`` rows."""
+def _regions(nodes: DataFrame, depth: int, region: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(region, node): which documents meet where, no region with more than about ``region`` rows; and the crowded regions, whole."""
 
     def prefixes(depths, tree):
         # A tree's order runs through the whole signature from its own place on; 2 bytes a value.
@@ -105,8 +110,32 @@ def _regions(nodes: DataFrame, depth: int, region: int, scratch: Scratch) -> Dat
     all_sizes = sizes.unionByName(below_sizes).where(F.col("n") > region)
     heads = all_sizes.select("region", F.col("head").alias("node"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("c")).select(F.xxhash64("region", "c").alias("region"), "node")
     out = scratch.save(rows.unionByName(heads).distinct(), "regions")
+    crowds = scratch.save(met.where(F.col("n") > region).select("region", "node"), "crowds")
     scratch.drop("sizes", "met", "below", "below-sizes")
-    return out
+    return out, crowds
+
+
+def _blocks(crowds: DataFrame, groups: DataFrame, block: int) -> DataFrame:
+    """(region, side, node, component): every two blocks of a crowded region that hold different components meet as a region.
+
+    A component of ``block`` documents or more has blocks of its own, which never meet each other; the rest share blocks.
+    A block that meets itself has side 0 only.
+    """
+    rows = crowds.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parts = rows.groupBy("region", "component").agg(F.count("*").alias("n"))
+    small = F.sum(F.when(F.col("n") < block, F.col("n")).otherwise(0)).alias("small")
+    parts = parts.join(parts.groupBy("region").agg(F.count("*").alias("parts"), small).where("parts > 1"), "region")
+    own = F.col("n") >= block
+    share = lambda n: F.ceil(F.col(n) / F.lit(block)).cast("int")
+    name = F.when(own, F.xxhash64("component", F.pmod(F.xxhash64("node"), share("n")))).otherwise(F.xxhash64(F.lit("rest"), F.pmod(F.xxhash64("component"), share("small"))))
+    dealt = rows.join(parts, ["region", "component"]).select("region", "node", "component", name.alias("block"), F.when(own, F.col("component")).alias("whose"))
+    known = dealt.select("region", "block", "whose").distinct()
+    other = known.select("region", F.col("block").alias("block_2"), F.col("whose").alias("whose_2"))
+    pairs = known.join(other, "region").where("block <= block_2 and not coalesce(whose = whose_2, false)")
+    pair = F.xxhash64("region", "block", "block_2")
+    sides = F.when(F.col("block") == F.col("block_2"), F.array(F.struct(F.lit(0).alias("side"), F.col("block")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("block")), F.struct(F.lit(1).alias("side"), F.col("block_2").alias("block"))))
+    sides = pairs.select("region", pair.alias("pair"), F.explode(sides).alias("s")).select("region", "pair", "s.side", "s.block")
+    return dealt.join(sides, ["region", "block"]).select(F.col("pair").alias("region"), "side", "node", "component")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -158,35 +187,63 @@ def _leaders(percent: int, low: float):
 
 
 def _across(percent: int, low: float, best: bool):
-    """Pairs of a region that seem to match and are in different components; with ``best`` one of each two components."""
+    """Pairs of a region that seem to match and are in different components, across the sides if it has two.
+
+    With ``best`` each document names two partners only: the one that agrees most, and the one that most documents agree with.
+    """
 
     def run(batches):
         for table in _groups(batches):
             region, node, size, signature = _columns(table)
-            component = table.column("component").to_numpy()
+            component, side = table.column("component").to_numpy(), table.column("side").to_numpy()
             bounds = np.append(np.flatnonzero(np.append(True, region[1:] != region[:-1])), len(region))
-            out = []
+            found: list[np.ndarray] = []
             for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 if e - s < 2 or (component[s:e] == component[s]).all():
                     continue
-                for k in range(s, e - 1):
-                    other = np.arange(k + 1, e)
-                    other = other[component[other] != component[k]]
-                    share = _agree(signature, size, np.full(len(other), k), other, percent, low)
-                    out += [(node[k], node[j], component[k], component[j], x) for j, x in zip(other[share >= 0].tolist(), share[share >= 0].tolist(), strict=True)]
-            if best:
-                top: dict = {}
-                for row in out:
-                    pair = tuple(sorted(row[2:4]))
-                    top[pair] = max(top.get(pair, row), row, key=lambda r: r[4])
-                out = list(top.values())
-            a, b, c, d, x = ([r[i] for r in out] for i in range(5))
-            kinds = [pa.int64()] * 4 + [pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((a, b, c, d, x), kinds, strict=True)], names=["a", "b", "ca", "cb", "share"])
+                two = bool(side[s:e].any())
+                rows = s + np.flatnonzero(side[s:e] == 0)
+                cols = s + np.flatnonzero(side[s:e] == 1) if two else rows
+                if not len(rows):
+                    continue
+                theirs = signature[cols]
+                agree = np.stack([np.count_nonzero(theirs == x, axis=1) for x in signature[rows]])
+                a, b = size[rows][:, None], size[cols][None]
+                good = (agree >= low * VALUES) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (component[rows][:, None] != component[cols][None])
+                if best:
+                    i, j = _partners(agree, good, percent)
+                    if two:
+                        more_j, more_i = _partners(agree.T, good.T, percent)
+                        i, j = np.concatenate([i, more_i]), np.concatenate([j, more_j])
+                else:
+                    i, j = np.nonzero(good if two else np.triu(good))
+                found.append(np.stack([node[rows[i]], node[cols[j]]]))
+                if sum(f.shape[1] for f in found) >= PAIRS:
+                    yield from _pair_batches(found)
+                    found = []
+            yield from _pair_batches(found)
 
     return run
 
 
+def _partners(agree: np.ndarray, good: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's best column by agreement, and by how many rows reach the threshold with it."""
+    some = np.flatnonzero(good.any(1))
+    if not len(some):
+        return some, some
+    asked = (good & (100 * agree >= percent * VALUES)).sum(0)
+    near = np.where(good[some], agree[some], -1).argmax(1)
+    hub = np.where(good[some], asked[None], -1).argmax(1)
+    return np.concatenate([some, some]), np.concatenate([near, hub])
+
+
+def _pair_batches(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for pairs in found:
+        for k in range(0, pairs.shape[1], PAIRS):
+            a, b = pairs[:, k : k + PAIRS]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
 def _confirm(shingle: int, percent: int):
     """Keeps pairs whose full sets are similar enough: 100 * intersection >= percent * union."""
 
@@ -231,9 +288,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
       is kept. Repeated keys: their rows are one document, linked with all that any of them is linked with; repeated
       rows come out repeated. Other columns are ignored. Empty table: no rows.
 
-    Three rounds of candidates are confirmed: each document with its region's leader, then the best pair of every
-    two components that meet in a region, then all pairs left between components. So no pair that meets in a region
-    and whose signatures agree to within four standard deviations goes unconfirmed, and no group emits all its pairs.
+    Three rounds of candidates are confirmed: each document with its region's leader, then with its best partners in
+    other components, then all pairs left between components. The last two rounds look at every shallow region, crowded
+    or not, in whole. So no pair of two components that meets under a shallow prefix and whose signatures agree to within
+    four standard deviations goes unconfirmed. Pairs within a component are not looked at.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "near")
@@ -250,7 +308,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     heads = own.withColumnRenamed("key", "node").join(named, "node").where("set_1 = c_1 and set_2 = c_2")
     nodes = scratch.save(heads.groupBy("node").agg(F.max(F.struct("n_shingles", "signature")).alias("h")).select("node", "h.*"), "nodes")
 
-    met = _regions(nodes, least_depth(percent), region, scratch)
+    met, crowds = _regions(nodes, least_depth(percent), region, scratch)
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     ids = scratch.save(met.select("node").distinct(), "ids")
     known = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
@@ -275,14 +333,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     links = confirmed(tested, "links-1")
     groups = scratch.save(components(links, scratch, "cc-1"), "groups-1")
     for step in (2, 3):
-        now = wide.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = by_region(now).mapInArrow(_across(percent, low, step == 2), "a long, b long, ca long, cb long, share double")
-        mixed = mixed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"), "share")
+        now = wide.join(groups, "node", "left").withColumns({"component": F.coalesce("component", "node"), "side": F.lit(0)})
+        now = now.unionByName(_blocks(crowds, groups, BLOCK).join(nodes, "node"))
+        mixed = by_region(now).mapInArrow(_across(percent, low, step == 2), "a long, b long")
         old = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        fresh = mixed.join(old, ["a", "b"], "left_anti")
-        if step == 2:
-            fresh = fresh.groupBy("ca", "cb").agg(F.max(F.struct("share", "a", "b")).alias("p")).select("p.a", "p.b")
-        fresh = scratch.save(fresh.select("a", "b").distinct(), f"fresh-{step}")
+        fresh = scratch.save(mixed.distinct().join(old, ["a", "b"], "left_anti"), f"fresh-{step}")
         if fresh.isEmpty():
             break
         found = confirmed(fresh, f"links-{step}")
@@ -291,7 +346,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
             # Components of the earlier rounds are stars, so that the new links only join stars.
             so_far = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)
             groups = scratch.save(components(so_far, scratch, f"cc-{step}"), f"groups-{step}")
-    scratch.drop("wide", "texts", "nodes")
+    scratch.drop("wide", "crowds", "texts", "nodes")
 
     whole = classes.join(groups, "node", "left").select("set_1", "set_2", F.coalesce("component", "node").alias("component"))
     whole = scratch.save(whole, "components")

@@ -130,6 +130,25 @@ def test_near_duplicates_against_brute_force(spark, shingle, percent):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_crowded_star_with_a_late_hub(spark):
+    # Every variant links with the hub, no two with each other, and the hub has the greatest id.
+    rng = np.random.default_rng(5)
+    hub = [f"w{i}" for i in range(143)]
+    rows = []
+    for i in range(2000):
+        w = list(hub)
+        for at in rng.choice(range(2, 140, 4), 3, replace=False):
+            w[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(w)))
+    rows.append((9000, " ".join(hub)))
+    sets = [brute.shingles(t, 3) for _, t in rows]
+    like = lambda a, b: len(a & b) / len(a | b)
+    assert all(like(s, sets[-1]) >= 0.85 for s in sets) and like(sets[0], sets[1]) < 0.85
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, percent=85).collect()
+    assert len(got) == 2001 and {r["component_id"] for r in got} == {0}
+    assert [r["doc_id"] for r in got if r["kept"]] == [0]
+
+
 def test_near_duplicate_keys(spark):
     rows = [(None, "a b c d e f"), (None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d e f")]
     got = sorted((tuple(r) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
