@@ -8,7 +8,7 @@ with all vectors of the cell in double precision.
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,9 @@ THRESHOLD = 0.93
 RECALL = 0.9995
 #: Vectors that the codebooks and the reach are fitted on at most: those with the least hash of their id.
 SAMPLE = 20_000
+#: Sampled vectors whose neighbours among all vectors widen the reach at most, and steps of the reach they are counted by.
+QUERIES = 2000
+STEP = 1e-4
 #: Vectors a cell should hold on average, and codewords of a half at most.
 CELL = 64
 MOST_WORDS = 1024
@@ -48,6 +51,11 @@ class Codebooks:
         a, b = self.distances(x)
         return a.argmin(1) * len(self.second) + b.argmin(1)
 
+    def extra(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """How far beyond the nearest cell each of ``cells`` (columns) comes for each row."""
+        a, b = self.distances(x)
+        return a[:, cells // len(self.second)] + b[:, cells % len(self.second)] - (a.min(1) + b.min(1))[:, None]
+
     def visits(self, x: np.ndarray) -> list[list[int]]:
         """The cells that each row visits, nearest first."""
         a, b = self.distances(x)
@@ -115,6 +123,49 @@ def _unit(column: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _extras(books: dict[int, Codebooks], asked: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], threshold: float):
+    """(size, step, n): at how many steps of reach the cells of the sampled vectors' true neighbours come."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = batch.column("size").to_numpy()
+            for d in sorted(set(np.unique(size).tolist()) & set(asked)):
+                part = batch.filter(pa.array(size == d))
+                grid, node, queries = asked[d]
+                for a in range(0, part.num_rows, 1024):
+                    rows = part.slice(a, 1024)
+                    x = _unit(rows.column("embedding"))
+                    near = (queries @ x.T >= threshold) & (grid[:, None] == rows.column("grid").to_numpy()[None]) & (node[:, None] != rows.column("node").to_numpy()[None])
+                    some, found = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+                    if len(some):
+                        extra = books[d].extra(queries[some], books[d].own(x[found]))[near[np.ix_(some, found)]]
+                        step, n = np.unique(np.ceil(extra / STEP).astype(np.int64), return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), d), pa.int32()), pa.array(step), pa.array(n)], names=["size", "step", "n"])
+
+    return run
+
+
+def _widened(books: dict[int, Codebooks], nodes: DataFrame, taken, threshold: float, recall: float) -> dict[int, Codebooks]:
+    """Codebooks whose reach also covers the share ``recall`` of the true neighbours of up to ``QUERIES`` sampled vectors.
+
+    The neighbours are those among all vectors, block by block; only counts by step of the reach get to the driver.
+    """
+    asked = {}
+    for d, some in taken.head(QUERIES).groupby("size"):
+        x = np.stack(some["embedding"].to_numpy()).astype(np.float64)
+        asked[int(d)] = some["grid"].to_numpy(), some["node"].to_numpy(), x / np.linalg.norm(x, axis=1, keepdims=True)
+    counts = nodes.select("grid", "size", "node", "embedding").mapInArrow(_extras(books, asked, threshold), "size int, step long, n long")
+    by_size: dict[int, list] = {}
+    for r in counts.groupBy("size", "step").agg(F.sum("n").alias("n")).orderBy("size", "step").collect():
+        by_size.setdefault(r["size"], []).append((r["step"], r["n"]))
+    out = dict(books)
+    for d, found in by_size.items():
+        step, n = np.array(found).T
+        least = step[np.searchsorted(n.cumsum(), recall * n.sum())] * STEP
+        out[d] = replace(books[d], reach=max(books[d].reach, float(least)))
+    return out
+
+
 def _comparable(x: str) -> str:
     """SQL: the vector is not null, has only finite components, and is not zero."""
     return f"{x} is not null and size({x}) > 0 and forall({x}, v -> v is not null and not isnan(v) and abs(v) < double('infinity')) and exists({x}, v -> v <> 0)"
@@ -133,10 +184,11 @@ def _assign(books: dict[int, Codebooks]):
                     x = _unit(rows.column("embedding"))
                     visits = books[d].visits(x)
                     at = np.repeat(np.arange(len(x)), [len(v) + 1 for v in visits])
-                    cell = np.concatenate([[own, *v] for own, v in zip(books[d].own(x).tolist(), visits, strict=True)])
+                    own = books[d].own(x)
+                    cell = np.concatenate([[o, *v] for o, v in zip(own.tolist(), visits, strict=True)])
                     kind = np.concatenate([[0, *[1] * len(v)] for v in visits])
                     taken = rows.take(pa.array(at))
-                    yield pa.RecordBatch.from_arrays([taken.column("grid"), pa.array(cell, pa.int64()), pa.array(kind, pa.int32()), taken.column("node"), taken.column("weight"), taken.column("embedding")], names=["grid", "cell", "kind", "node", "weight", "embedding"])
+                    yield pa.RecordBatch.from_arrays([taken.column("grid"), pa.array(cell, pa.int64()), pa.array(own[at], pa.int64()), pa.array(kind, pa.int32()), taken.column("node"), taken.column("weight"), taken.column("embedding")], names=["grid", "cell", "home", "kind", "node", "weight", "embedding"])
 
     return run
 
@@ -158,15 +210,17 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(rest)
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, books: dict[int, Codebooks]):
     """Per visitor and block: how many vectors it links with, and edges that join what is linked in the block.
 
+    A link counts for the visitor, and for the member too if the member does not visit the visitor's own cell.
+
     Edges are a star for each connected part of the block's links, so that dense blocks don't emit all pairs.
     """
 
     def run(batches):
         for table in _whole_groups(batches):
-            kind, node, weight = (table.column(c).to_numpy() for c in ("kind", "node", "weight"))
+            kind, node, weight, home = (table.column(c).to_numpy() for c in ("kind", "node", "weight", "home"))
             if kind.min() == kind.max():
                 continue
             x = _unit(table.column("embedding").combine_chunks())
@@ -186,9 +240,11 @@ def _compare(threshold: float):
                 label_q, label_m = new_q, new_m
             n = (near * weight[m][None]).sum(1)
             used = near.any(0)
+            book = books[x.shape[1]]
+            one_way = near[:, used] & (book.extra(x[m[used]], home[q]) > book.reach).T
             a = np.concatenate([node[q], node[m][used]])
             b = np.concatenate([label_q, label_m[used]])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.concatenate([n, np.zeros(used.sum(), np.int64)]))], names=["a", "b", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.concatenate([n, (one_way * weight[q][:, None]).sum(0)]))], names=["a", "b", "n"])
 
     return run
 
@@ -216,15 +272,16 @@ def link_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
 
     # Sizes of the grids by vector length: few rows, and bounded by the number of lengths.
     largest = {r["size"]: r["n"] for r in nodes.groupBy("grid", "size").count().groupBy("size").agg(F.max("count").alias("n")).orderBy("size").collect()}
-    taken = nodes.orderBy(F.xxhash64("node"), "node").limit(sample).select("size", "embedding").toPandas()
+    taken = nodes.orderBy(F.xxhash64("node"), "node").limit(sample).select("grid", "node", "size", "embedding").toPandas()
     books = {}
     for d, n in largest.items():
         some = taken["embedding"][taken["size"] == d]
         # A length that the sample has missed is rare: a grid of one cell, where all are compared.
         x = np.stack(some.to_numpy()).astype(np.float64) if len(some) else np.ones((1, d))
         books[d] = fit_codebooks(x / np.linalg.norm(x, axis=1, keepdims=True), n if len(some) else 1, threshold, recall)
+    books = _widened(books, nodes, taken, threshold, recall)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    placed = nodes.select("grid", "size", "node", "weight", "embedding").mapInArrow(_assign(books), "grid long, cell long, kind int, node long, weight long, embedding array<float>" if dict(df.dtypes)[vector] == "array<float>" else "grid long, cell long, kind int, node long, weight long, embedding array<double>")
+    placed = nodes.select("grid", "size", "node", "weight", "embedding").mapInArrow(_assign(books), "grid long, cell long, home long, kind int, node long, weight long, embedding array<float>" if dict(df.dtypes)[vector] == "array<float>" else "grid long, cell long, home long, kind int, node long, weight long, embedding array<double>")
     placed = scratch.save(placed, "placed")
     counts = placed.groupBy("grid", "cell").agg(F.count_if(F.col("kind") == 0).alias("members"), F.count_if(F.col("kind") == 1).alias("visitors")).where("members > 0 and visitors > 0")
     counts = scratch.save(counts.select("grid", "cell", F.ceil(F.col("members") / F.lit(BLOCK)).cast("int").alias("blocks"), F.ceil(F.col("visitors") / F.lit(VISITORS)).cast("int").alias("rounds")), "counts")
@@ -234,8 +291,8 @@ def link_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     others = F.sequence(F.lit(0), F.when(F.col("kind") == 0, F.col("rounds")).otherwise(F.col("blocks")) - 1)
     dealt = dealt.withColumn("mine", mine).withColumn("other", F.explode(others))
     group = F.when(F.col("kind") == 0, F.xxhash64("grid", "cell", "mine", "other")).otherwise(F.xxhash64("grid", "cell", "other", "mine"))
-    dealt = dealt.select(group.alias("group"), "kind", "node", "weight", "embedding").repartition(parts, "group").sortWithinPartitions("group")
-    found = scratch.save(dealt.mapInArrow(_compare(threshold), "a long, b long, n long"), "found")
+    dealt = dealt.select(group.alias("group"), "home", "kind", "node", "weight", "embedding").repartition(parts, "group").sortWithinPartitions("group")
+    found = scratch.save(dealt.mapInArrow(_compare(threshold, books), "a long, b long, n long"), "found")
     scratch.drop("placed", "counts")
     groups = components(found.select("a", "b"), scratch)
     degree = found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))

@@ -192,6 +192,20 @@ def test_vectors_against_brute_force(spark, monkeypatch, block):
     assert embedding.link_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_low_rank(spark, monkeypatch):
+    # Neighbours differ along the few directions of the data, over a grid of 40 by 40 cells.
+    monkeypatch.setattr(embedding, "CELL", 2)
+    rng = np.random.default_rng(3)
+    x = (rng.normal(size=(3200, 8)) @ rng.normal(size=(8, 64))).astype(np.float32)
+    got = {r["vec_id"]: r for r in embedding.link_vectors(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")).collect()}
+    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = y @ y.T >= 0.93
+    np.fill_diagonal(near, False)
+    n = near.sum(1)
+    found = np.array([got[i]["n_links"] for i in range(len(x))])
+    assert n.sum() > 1000 and (found <= n).all() and found.sum() >= 0.999 * n.sum()
+
+
 # HTML
 
 PAGE = """<html><head><title>T</title></head><body><header><h1>Site</h1></header><nav>menu</nav><div id="cookie-notice">We use cookies</div><main><article class="post"><h1>Head &amp; line</h1>
