@@ -1,15 +1,15 @@
 """BPE encoding and decoding over a trie of the distinct words.
 
-The distinct words of a batch go into one trie. A depth-first pass gives every node the last token of
-the encoding of its path: the one token that ends the path and may stand behind the last token of the
-rest. So a prefix that many words share is encoded once, and a word's tokens are read off by walking
-back from its end.
+The distinct words of a batch go into one trie, walked depth first. Every node gets the last token of the
+encoding of its path: the one token that ends the path and may stand behind the last token of the rest.
+So a prefix that many words share is encoded once; the walk keeps only the nodes from the root to where it is.
 """
 
 import json
-import struct
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,7 @@ BATCH_BYTES = 1 << 19
 
 _SPACES = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPACE_RUN = regex.compile(f"[{_SPACES}]+")
+_NO_SPACES = regex.compile(r"[\x1c-\x1f]")
 
 
 def _byte_letters() -> list[str]:
@@ -56,6 +57,16 @@ class Recent:
             self.young, self.old = {}, self.young
 
 
+@dataclass(slots=True)
+class Suffix:
+    """The longest end of a path that some token starts with, and the tokens that are an end of it, longest first."""
+
+    text: str
+    inside: list[tuple[int, int]]
+    last: list[tuple[int, int]]
+    onward: dict[str, "Suffix"]
+
+
 class WordBpe:
     """Encoder of one tokenizer file: BPE with word ends, lower case, white space dropped, no decoder."""
 
@@ -78,17 +89,29 @@ class WordBpe:
             a, b, whole = self.vocab[left], self.vocab[right], self.vocab[left + right]
             self.rank.setdefault((a, b), r)
             self.made.setdefault(whole, (a, b, r))
-        #: Longest token that ends in certain three letters (or fewer, if that is all of it).
-        self.reach: dict[str, int] = {}
-        for t in self.vocab:
-            final = t.endswith(self.end)
-            letters = t.removesuffix(self.end)
-            for k in (3,) if len(letters) >= 3 else (2, 1):
-                tail = letters[-k:] + (self.end if final else "")
-                self.reach[tail] = max(self.reach.get(tail, 0), len(letters))
+        self.raw = {i: i.to_bytes(4, "little") for i in self.vocab.values()}
+        self.starts = {t[:k] for whole in self.vocab for t in [whole.removesuffix(self.end)] for k in range(len(t) + 1)}
+        self.suffixes: dict[str, Suffix] = {}
+        self.root = self._suffix("")
         self.right_edges: dict[int, list] = {}
         self.left_edges: dict[int, list] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        #: By the second token: which tokens it may follow.
+        self.fits: dict[int, dict[int, bool]] = {i: {} for i in self.vocab.values()}
+
+    def _suffix(self, text: str) -> Suffix:
+        while text not in self.starts:
+            text = text[1:]
+        known = self.suffixes.get(text)
+        if known is None:
+            ends = [(k, text[len(text) - k :]) for k in range(len(text), 0, -1)]
+            inside = [(self.vocab[t], k) for k, t in ends if t in self.vocab]
+            last = [(self.vocab[t + self.end], k) for k, t in ends if t + self.end in self.vocab]
+            known = self.suffixes[text] = Suffix(text, inside, last, {})
+        return known
+
+    def _onward(self, suffix: Suffix, letter: str) -> Suffix:
+        found = suffix.onward[letter] = self._suffix(suffix.text + letter)
+        return found
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int, int]]:
         """(part, rank it is made at, rank it is used up at) of the parts that are ever at one edge of a token, largest first."""
@@ -107,9 +130,6 @@ class WordBpe:
         same time, merge at a rank before either is used up inside its own token. At equal ranks the
         leftmost merge comes first: a's own merge before the joint one, the joint one before b's own.
         """
-        known = self.fits.get((a, b))
-        if known is not None:
-            return known
         right = self.right_edges.get(a) or self.right_edges.setdefault(a, self._edge(a, 1))
         left = self.left_edges.get(b) or self.left_edges.setdefault(b, self._edge(b, 0))
         apart = True
@@ -118,76 +138,74 @@ class WordBpe:
                 r = self.rank.get((x, y))
                 if r is not None and r < x_to and r <= y_to and x_from < y_to and y_from < x_to:
                     apart = False
-        self.fits[(a, b)] = apart
+        self.fits[b][a] = apart
         return apart
 
-    def encode_words(self, words: list[str]) -> dict[str, list[int]]:
-        """Token ids of distinct words, given in byte letters; all over one trie."""
-        vocab, end, may_follow, reach = self.vocab, self.end, self.may_follow, self.reach
-        # The trie, numbered in depth-first order: sorted words share their path down to the common prefix.
-        token: list[int] = [-1]
-        back: list[int] = [-1]
-        path: list[int] = [0]
+    def encode_words(self, words: set[str]) -> dict[str, bytes]:
+        """Token ids of distinct words, given in byte letters; all over one trie, in depth-first order since sorted words share their path."""
+        fits, raw, may_follow, onward = self.fits, self.raw, self.may_follow, self._onward
+        deepest = max(map(len, words), default=0) + 1
+        # By depth on the path: its suffix, its last token (-1 if no token can end there) and its ids. The root is before all tokens.
+        suffix, token, ids = [self.root] * deepest, [-1] * deepest, [b""] * deepest
         before = ""
-        out: dict[str, list[int]] = {}
-
-        def state(text: str, stop: str, depth: int) -> None:
-            """Append a node below ``path``: its last token, and the node that the token starts at."""
-            longest = reach.get(text[depth - 3 : depth] + stop, 2) if depth > 3 else depth
-            for size in range(longest if longest < depth else depth, 0, -1):
-                t = vocab.get(text[depth - size : depth] + stop)
-                if t is None:
-                    continue
-                start = path[depth - size]
-                if start == 0 or (token[start] >= 0 and may_follow(token[start], t)):
-                    token.append(t)
-                    back.append(start)
-                    return
-            token.append(-1)
-            back.append(-1)
-
+        out: dict[str, bytes] = {}
         for w in sorted(words):
             n = len(w)
-            common = 0
-            most = min(len(before), n - 1, len(path) - 1)
-            while common < most and before[common] == w[common]:
-                common += 1
-            del path[common + 1 :]
-            for depth in range(common + 1, n):
-                state(w, "", depth)
-                path.append(len(token) - 1)
-            state(w, end, n)
-            ids, node = [], len(token) - 1
-            while node > 0:
-                ids.append(token[node])
-                node = back[node]
-            out[w] = ids[::-1]
-            before = w[: n - 1]
+            depth, most = 0, min(len(before), n) - 1
+            while depth < most and before[depth] == w[depth]:
+                depth += 1
+            here = suffix[depth]
+            while depth < n:
+                letter = w[depth]
+                here = here.onward.get(letter) or onward(here, letter)
+                depth += 1
+                last, own = -1, b""
+                for t, size in here.inside if depth < n else here.last:
+                    a = token[depth - size]
+                    if a < 0:
+                        apart = size == depth
+                    else:
+                        apart = fits[t].get(a)
+                        if apart is None:
+                            apart = may_follow(a, t)
+                    if apart:
+                        last, own = t, ids[depth - size] + raw[t]
+                        break
+                if depth < n:
+                    suffix[depth], token[depth], ids[depth] = here, last, own
+            out[w] = own
+            before = w
         return out
 
-    def normalise(self, text: str) -> str:
-        text = unicodedata.normalize("NFC", text) if not text.isascii() else text
-        text = _SPACE_RUN.sub(" ", text)
+    def runs(self, text: str) -> list[str]:
+        """The text's runs without white space, normalised."""
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
         # Lower case letter by letter: a final sigma is not special.
-        return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
+        text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
+        # Python also splits at these four, which are no white space here.
+        return text.split() if not _NO_SPACES.search(text) else _SPACE_RUN.sub(" ", text).split(" ")
 
     def parts(self, text: str) -> list[str | int]:
         """Runs without white space, and ids of special tokens that stand in the text."""
         if not any(t in text for t in self.special):
-            return self.normalise(text).split(" ")
+            return self.runs(text)
         out: list[str | int] = []
         for piece in self.special_cut.split(text):
-            out += [self.special[piece]] if piece in self.special else self.normalise(piece).split(" ")
+            out += [self.special[piece]] if piece in self.special else self.runs(piece)
         return out
 
+    def words_of(self, run: str) -> list[str]:
+        """The words of a run, in byte letters."""
+        return [run] if run.isascii() and run.isalpha() else [self.as_letters(w) for w in self.word.findall(run)]
+
     def encode_texts(self, texts: list[str], memory: Recent, words: Recent) -> list[bytes]:
         """Ids of every text as little-endian unsigned 32-bit integers; ``memory`` and ``words`` keep runs and words already encoded."""
         split = [self.parts(t) for t in texts]
-        new = memory.unknown({p for parts in split for p in parts})
-        runs = {p: [self.as_letters(w) for w in self.word.findall(p)] for p in new if isinstance(p, str)}
-        ids = self.encode_words([*words.unknown({w for run in runs.values() for w in run})])
-        words.young.update({w: struct.pack(f"<{len(x)}I", *x) for w, x in ids.items()})
-        memory.young.update({p: b"".join([words.young[w] for w in run]) for p, run in runs.items()})
+        new = memory.unknown(set().union(*split))
+        runs = {p: self.words_of(p) for p in new if isinstance(p, str)}
+        words.young.update(self.encode_words(words.unknown({w for run in runs.values() for w in run})))
+        memory.young.update({p: words.young[run[0]] if len(run) == 1 else b"".join([words.young[w] for w in run]) for p, run in runs.items()})
         memory.young.update({p: p.to_bytes(4, "little") for p in new if not isinstance(p, str)})
         out = [b"".join([memory.young[p] for p in parts]) for parts in split]
         memory.age()
@@ -205,11 +223,36 @@ class WordDecoder:
 
     def __init__(self, spec: str):
         file = json.loads(spec)
-        self.tokens = {i: t for t, i in file["model"]["vocab"].items()} | {t["id"]: t["content"] for t in file["added_tokens"]}
+        named = {i: t for t, i in file["model"]["vocab"].items()} | {t["id"]: t["content"] for t in file["added_tokens"]}
+        #: Tokens by id; null where an id names none.
+        self.tokens = pa.array([named.get(i) for i in range(max(named, default=-1) + 1)], pa.string())
+
+    def decode(self, ids: list[bytes]) -> pa.Array:
+        """The texts of some rows of ids."""
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        ends = np.cumsum([len(r) // 4 for r in ids])
+        taken = self.tokens.take(pa.array(np.where(flat < len(self.tokens), flat, 0)))
+        good = (flat < len(self.tokens)) & taken.is_valid().to_numpy(zero_copy_only=False)
+        if not good.all():
+            ends = np.append(0, np.cumsum(good))[ends]
+            taken = taken.filter(pa.array(good))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), taken)
+        return pc.binary_join(lists, " ")
+
+
+class Held:
+    """What the tasks of one Python process share: encoder, decoder and remembered encodings of the tokenizer last used."""
+
+    def __init__(self, spec: str):
+        self.bpe, self.decoder, self.memory, self.words = WordBpe(spec), WordDecoder(spec), Recent(), Recent()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return self.bpe.encode_texts(texts, self.memory, self.words)
+
 
-    def decode(self, ids: np.ndarray) -> str:
-        tokens = self.tokens
-        return " ".join([tokens[i] for i in ids.tolist() if i in tokens])
+@lru_cache(maxsize=1)
+def held(spec: str) -> Held:
+    return Held(spec)
 
 
 def load_spec(path: str) -> str:
@@ -218,13 +261,13 @@ def load_spec(path: str) -> str:
         return f.read()
 
 
-def _runs(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
-    """(first row, texts) of runs of rows of a bounded number of bytes; nulls are empty."""
+def _runs(column: pa.Array, null: str | bytes = "") -> Iterator[tuple[int, list]]:
+    """(first row, values) of runs of rows of a bounded number of bytes; nulls are empty."""
     sizes = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False))
     a = 0
     while a < len(column):
         b = max(int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + BATCH_BYTES, side="right")), a + 1)
-        yield a, [t or "" for t in column.slice(a, b - a).to_pylist()]
+        yield a, [t or null for t in column.slice(a, b - a).to_pylist()]
         a = b
 
 
@@ -241,15 +284,15 @@ def encode(df: DataFrame, spec: str, text: str = "text", ids: str = "ids") -> Da
 
     - Special tokens' strings in a text become their ids; none are added. Null and empty texts have no tokens.
     - Rows come out as they came in, repeated rows repeated; a column named ``ids`` is replaced. No shuffle.
-    - A task holds one batch of rows and at most twice ``REMEMBERED`` encoded runs and words, besides those of the batch.
+    - A Python process holds one batch of rows and at most twice ``REMEMBERED`` encoded runs and words, besides those of the batch.
     """
     shared = df.sparkSession.sparkContext.broadcast(spec)
 
     def work(batches):
-        bpe, memory, words = WordBpe(shared.value), Recent(), Recent()
+        own = held(shared.value)
         for batch in batches:
             for a, texts in _runs(batch.column(text)):
-                got = pa.array(bpe.encode_texts(texts, memory, words), pa.binary())
+                got = pa.array(own.encode(texts), pa.binary())
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, len(texts)).columns, got], names=[*batch.schema.names, ids])
 
     return _mapped(df, {ids: "binary"}, work)
@@ -262,11 +305,8 @@ def decode(df: DataFrame, spec: str, ids: str = "ids", text: str = "decoded") ->
     def work(batches):
         tokens = WordDecoder(shared.value)
         for batch in batches:
-            column = batch.column(ids)
-            for a in range(0, batch.num_rows, 256):
-                rows = column.slice(a, 256).to_pylist()
-                got = pa.array([tokens.decode(np.frombuffer(r or b"", "<u4")) for r in rows], pa.string())
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, len(rows)).columns, got], names=[*batch.schema.names, text])
+            for a, rows in _runs(batch.column(ids), b""):
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, len(rows)).columns, tokens.decode(rows)], names=[*batch.schema.names, text])
 
     return _mapped(df, {text: "string"}, work)
 
@@ -276,12 +316,11 @@ def round_trip(df: DataFrame, spec: str, text: str = "text", ids: str = "ids", d
     shared = df.sparkSession.sparkContext.broadcast(spec)
 
     def work(batches):
-        bpe, tokens, memory, words = WordBpe(shared.value), WordDecoder(shared.value), Recent(), Recent()
+        own = held(shared.value)
         for batch in batches:
             for a, texts in _runs(batch.column(text)):
-                got = bpe.encode_texts(texts, memory, words)
-                back = pa.array([tokens.decode(np.frombuffer(r, "<u4")) for r in got], pa.string())
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, len(texts)).columns, pa.array(got, pa.binary()), back], names=[*batch.schema.names, ids, decoded])
+                got = own.encode(texts)
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, len(texts)).columns, pa.array(got, pa.binary()), own.decoder.decode(got)], names=[*batch.schema.names, ids, decoded])
 
     return _mapped(df, {ids: "binary", decoded: "string"}, work)
 

@@ -70,7 +70,7 @@ def test_quality_holds_out_on_the_corpus(spark):
 
 # BPE
 
-STRANGE = [None, "", "  ", "It's a TEST's 'S don't we'LL", "<|endoftext|> hi<|startoftext|>there <|endoftext|", "ΑΣ Σ ΟΔΟΣ", "İstanbul naïve café é ﬁ", "a\x1cb\x85c　d ​", "😀😃 ½ ² 123 4.5", "日本語 テスト", "aaaaaaaaaaaaaaab ababababab", "x" * 20_000, "\x00\x01 \x7f", "don'tdon't 'tis 're're", "word " * 100_000]
+STRANGE = [None, "", "  ", "It's a TEST's 'S don't we'LL", "<|endoftext|> hi<|startoftext|>there <|endoftext|", "ΑΣ Σ ΟΔΟΣ", "İstanbul naïve café é ﬁ", "a\x1cb\x85c　d ​", "😀😃 ½ ² 123 4.5", "日本語 テスト", "aaaaaaaaaaaaaaab ababababab", "x" * 20_000, "\x00\x01 \x7f", "don'tdon't 'tis 're're", "a</w> </w> <</w>>b x</w>y", "word " * 100_000]
 
 
 def test_bpe_is_the_library(spark):
