@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lettermill.llm.scratch import Scratch
 
-#: Each pair of steps at least halves the depth; 64-bit ids cannot need more.
+#: Each pair of steps at least halves the depth; 64-bit ids cannot need more, so more is an error.
 MOST_STEPS = 64
 
 
@@ -43,5 +43,7 @@ def components(links: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
+    else:
+        raise RuntimeError(f"components still change after {MOST_STEPS} steps")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -3,9 +3,10 @@
 Each tree sorts the documents by a signature order of its own; documents with a long common prefix
 are neighbours. A region is the set of documents under one prefix. Its depth adapts: a crowded prefix
 is first followed deeper until it holds few enough documents, and where no prefix does, dealt into
-chunks that all hold the region's least document. What that leaves apart is then compared at the
-shallow prefix itself, block against block. Neighbours whose signatures agree well enough are
-confirmed on their full shingle sets, and confirmed links are closed to components.
+chunks that all hold the region's least document. There each document is confirmed with its leader on
+the full texts. What that leaves apart is compared at the shallow prefix itself, crowded or not: block
+against block, first by signatures, then the documents with a likely partner by their full shingle
+sets. Confirmed links are closed to components; a block gives a tree of links, never all pairs.
 """
 
 import math
@@ -24,10 +25,10 @@ TREES = 16
 VALUES = 128
 #: Documents of one region; a region's pairs are looked at in one task.
 REGION = 64
-#: Documents of one block of a crowded region; two blocks are compared in one task.
+#: Weight of one block of a crowded region, 1 for a document and 1 for every ``BLOCK`` shingles of it; two blocks are compared in one task.
 BLOCK = 1024
-#: Pairs in one batch of those that cross components.
-PAIRS = 100_000
+#: Shingles of one step of a block's table of intersections.
+COLUMNS = 4096
 #: Chance of losing a pair at the threshold in all trees.
 MISS = 2e-5
 #: Depths below the least one that crowded regions are followed to.
@@ -37,6 +38,7 @@ BROADCAST_IDS = 2_000_000
 
 _rng = np.random.Generator(np.random.PCG64(8086))
 _FACTORS = _rng.integers(1, 1 << 63, VALUES, dtype=np.uint64) * U(2) + U(1)
+_ASKED = ("region", "tree", "side", "node", "component", "n_shingles", "signature")
 _SKETCH = "key long, n_shingles long, set_1 long, set_2 long, signature binary"
 
 
@@ -52,7 +54,8 @@ def _signatures(offsets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     filled = np.flatnonzero(offsets[1:] > offsets[:-1])
     if len(filled):
         for j in range(VALUES):
-            out[filled, j] = np.minimum.reduceat(hashes * _FACTORS[j], offsets[filled]) >> U(48)
+            # Mixed, since the least of many hashes has only zeros at its top.
+            out[filled, j] = mix(np.minimum.reduceat(hashes * _FACTORS[j], offsets[filled])) >> U(48)
     return out
 
 
@@ -80,8 +83,22 @@ def _sketch(shingle: int):
     return run
 
 
+def _hashes(shingle: int):
+    """(node, hashes): the shingle sets as sorted 64-bit hashes."""
+
+    def run(batches):
+        for batch in batches:
+            for a, b, texts in pieces(batch.column("text")):
+                texts.words(lower=True)
+                offsets, hashes = texts.shingle_sets(shingle)
+                rows = [hashes[i:j].tobytes() for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), pa.array(rows, pa.binary())], names=["node", "hashes"])
+
+    return run
+
+
 def _regions(nodes: DataFrame, depth: int, region: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(region, node): which documents meet where, no region with more than about ``region`` rows; and the crowded regions, whole."""
+    """(region, node): which documents meet where, no region with more than about ``region`` rows; and (node, tree, region, n): the shallow regions, whole."""
 
     def prefixes(depths, tree):
         # A tree's order runs through the whole signature from its own place on; 2 bytes a value.
@@ -110,32 +127,30 @@ def _regions(nodes: DataFrame, depth: int, region: int, scratch: Scratch) -> tup
     all_sizes = sizes.unionByName(below_sizes).where(F.col("n") > region)
     heads = all_sizes.select("region", F.col("head").alias("node"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("c")).select(F.xxhash64("region", "c").alias("region"), "node")
     out = scratch.save(rows.unionByName(heads).distinct(), "regions")
-    crowds = scratch.save(met.where(F.col("n") > region).select("region", "node"), "crowds")
-    scratch.drop("sizes", "met", "below", "below-sizes")
-    return out, crowds
+    scratch.drop("sizes", "below", "below-sizes")
+    return out, met
 
 
-def _blocks(crowds: DataFrame, groups: DataFrame, block: int) -> DataFrame:
-    """(region, side, node, component): every two blocks of a crowded region that hold different components meet as a region.
+def _blocks(rows: DataFrame, block: int) -> DataFrame:
+    """(region, tree, side, node, component): every two blocks of a crowded region that hold different components meet as a region.
 
-    A component of ``block`` documents or more has blocks of its own, which never meet each other; the rest share blocks.
-    A block that meets itself has side 0 only.
+    ``rows`` has (region, tree, node, component, weight). A component that fills a block has blocks of its own, which never
+    meet each other; the rest share blocks. A block that meets itself has side 0 only.
     """
-    rows = crowds.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    parts = rows.groupBy("region", "component").agg(F.count("*").alias("n"))
-    small = F.sum(F.when(F.col("n") < block, F.col("n")).otherwise(0)).alias("small")
-    parts = parts.join(parts.groupBy("region").agg(F.count("*").alias("parts"), small).where("parts > 1"), "region")
-    own = F.col("n") >= block
+    parts = rows.groupBy("region", "component").agg(F.sum("weight").alias("of"))
+    small = F.coalesce(F.sum(F.when(F.col("of") < block, F.col("of"))), F.lit(0.0)).alias("small")
+    parts = parts.join(parts.groupBy("region").agg(small), "region")
+    own = F.col("of") >= block
     share = lambda n: F.ceil(F.col(n) / F.lit(block)).cast("int")
-    name = F.when(own, F.xxhash64("component", F.pmod(F.xxhash64("node"), share("n")))).otherwise(F.xxhash64(F.lit("rest"), F.pmod(F.xxhash64("component"), share("small"))))
-    dealt = rows.join(parts, ["region", "component"]).select("region", "node", "component", name.alias("block"), F.when(own, F.col("component")).alias("whose"))
+    name = F.when(own, F.xxhash64("component", F.pmod(F.xxhash64("node"), share("of")))).otherwise(F.xxhash64(F.lit("rest"), F.pmod(F.xxhash64("component"), share("small"))))
+    dealt = rows.join(parts, ["region", "component"]).select("region", "tree", "node", "component", name.alias("block"), F.when(own, F.col("component")).alias("whose"))
     known = dealt.select("region", "block", "whose").distinct()
     other = known.select("region", F.col("block").alias("block_2"), F.col("whose").alias("whose_2"))
     pairs = known.join(other, "region").where("block <= block_2 and not coalesce(whose = whose_2, false)")
     pair = F.xxhash64("region", "block", "block_2")
     sides = F.when(F.col("block") == F.col("block_2"), F.array(F.struct(F.lit(0).alias("side"), F.col("block")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("block")), F.struct(F.lit(1).alias("side"), F.col("block_2").alias("block"))))
     sides = pairs.select("region", pair.alias("pair"), F.explode(sides).alias("s")).select("region", "pair", "s.side", "s.block")
-    return dealt.join(sides, ["region", "block"]).select(F.col("pair").alias("region"), "side", "node", "component")
+    return dealt.join(sides, ["region", "block"]).select(F.col("pair").alias("region"), "tree", "side", "node", "component")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -186,62 +201,123 @@ def _leaders(percent: int, low: float):
     return run
 
 
-def _across(percent: int, low: float, best: bool):
-    """Pairs of a region that seem to match and are in different components, across the sides if it has two.
+def _meetings(table: pa.Table, component: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, columns) of each region of a table: its two sides, or all of it against itself; regions of one component are left out."""
+    region, side = (table.column(c).to_numpy() for c in ("region", "side"))
+    bounds = np.append(np.flatnonzero(np.append(True, region[1:] != region[:-1])), len(region))
+    for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if (component[s:e] == component[s]).all():
+            continue
+        two = side[s:e] == 1
+        rows = s + np.flatnonzero(~two)
+        cols = s + np.flatnonzero(two) if two.any() else rows
+        if len(rows):
+            yield rows, cols
 
-    With ``best`` each document names two partners only: the one that agrees most, and the one that most documents agree with.
-    """
+
+def _likely(size, signature, component, rows: np.ndarray, cols: np.ndarray, percent: int, low: float) -> np.ndarray:
+    """Which documents of the rows and columns may be similar by signature and size, and are of different components."""
+    theirs = signature[cols]
+    agree = np.empty((len(rows), len(cols)), np.int16)
+    for i, x in enumerate(signature[rows]):
+        agree[i] = np.count_nonzero(theirs == x, axis=1)
+    a, b = size[rows][:, None], size[cols][None]
+    return (agree >= low * VALUES) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (component[rows][:, None] != component[cols][None])
+
+
+def _candidates(percent: int, low: float, depth: int):
+    """The documents of each region that have a likely partner there whom they have not met in an earlier tree."""
+    width = VALUES // TREES
+    ahead = (np.arange(TREES)[:, None] * width + np.arange(depth)) % VALUES
 
     def run(batches):
         for table in _groups(batches):
-            region, node, size, signature = _columns(table)
-            component, side = table.column("component").to_numpy(), table.column("side").to_numpy()
-            bounds = np.append(np.flatnonzero(np.append(True, region[1:] != region[:-1])), len(region))
-            found: list[np.ndarray] = []
-            for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                if e - s < 2 or (component[s:e] == component[s]).all():
-                    continue
-                two = bool(side[s:e].any())
-                rows = s + np.flatnonzero(side[s:e] == 0)
-                cols = s + np.flatnonzero(side[s:e] == 1) if two else rows
-                if not len(rows):
-                    continue
-                theirs = signature[cols]
-                agree = np.stack([np.count_nonzero(theirs == x, axis=1) for x in signature[rows]])
-                a, b = size[rows][:, None], size[cols][None]
-                good = (agree >= low * VALUES) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (component[rows][:, None] != component[cols][None])
-                if best:
-                    i, j = _partners(agree, good, percent)
-                    if two:
-                        more_j, more_i = _partners(agree.T, good.T, percent)
-                        i, j = np.concatenate([i, more_i]), np.concatenate([j, more_j])
-                else:
-                    i, j = np.nonzero(good if two else np.triu(good))
-                found.append(np.stack([node[rows[i]], node[cols[j]]]))
-                if sum(f.shape[1] for f in found) >= PAIRS:
-                    yield from _pair_batches(found)
-                    found = []
-            yield from _pair_batches(found)
+            _, _, size, signature = _columns(table)
+            tree, component = table.column("tree").to_numpy(), table.column("component").to_numpy()
+            asked = np.zeros(len(table), bool)
+            for rows, cols in _meetings(table, component):
+                i, j = np.nonzero(_likely(size, signature, component, rows, cols, percent, low))
+                i, j = rows[i], cols[j]
+                for t in range(int(tree[rows[0]]) if len(i) else 0):
+                    met = (signature[i][:, ahead[t]] == signature[j][:, ahead[t]]).all(1)
+                    i, j = i[~met], j[~met]
+                asked[i] = asked[j] = True
+            if asked.any():
+                yield from table.filter(pa.array(asked)).to_batches(max_chunksize=1024)
 
     return run
 
 
-def _partners(agree: np.ndarray, good: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of each row's best column by agreement, and by how many rows reach the threshold with it."""
-    some = np.flatnonzero(good.any(1))
-    if not len(some):
-        return some, some
-    asked = (good & (100 * agree >= percent * VALUES)).sum(0)
-    near = np.where(good[some], agree[some], -1).argmax(1)
-    hub = np.where(good[some], asked[None], -1).argmax(1)
-    return np.concatenate([some, some]), np.concatenate([near, hub])
+def _links(percent: int, low: float):
+    """Links between the likely partners of each region, confirmed on their full sets: (a, b), a tree for each group that they join."""
 
+    def run(batches):
+        for table in _groups(batches):
+            _, node, size, signature = _columns(table)
+            component = table.column("component").to_numpy()
+            sets = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+            for rows, cols in _meetings(table, component):
+                near = _similar(sets, rows, cols, _likely(size, signature, component, rows, cols, percent, low), percent)
+                i, j = np.nonzero(near)
+                if len(i):
+                    a, b = _tree(node[rows[i]], node[cols[j]])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
 
-def _pair_batches(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    for pairs in found:
-        for k in range(0, pairs.shape[1], PAIRS):
-            a, b = pairs[:, k : k + PAIRS]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+def _similar(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray, likely: np.ndarray, percent: int) -> np.ndarray:
+    """Which likely pairs are similar: 100 * intersection >= percent * union."""
+    left, right = [sets[i] for i in rows], [sets[j] for j in cols]
+    n, m = (np.array([len(x) for x in side]) for side in (left, right))
+    i, j = np.nonzero(likely)
+    if len(i) < 64:
+        both = np.array([len(np.intersect1d(left[a], right[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
+    else:
+        both = _intersections(left, right)[i, j].astype(np.int64)
+    out = np.zeros_like(likely)
+    out[i, j] = 100 * both >= percent * (n[i] + m[j] - both)
+    return out
+
+
+def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, as the product of two tables of zeros and ones; ``COLUMNS`` of the shared shingles at a time."""
+    sides = [(np.concatenate(s), np.repeat(np.arange(len(s)), [len(x) for x in s])) for s in (left, right)]
+    shared = np.intersect1d(np.unique(sides[0][0]), np.unique(sides[1][0]), assume_unique=True)
+    placed = []
+    for h, row in sides:
+        at = np.searchsorted(shared, h)
+        held = at < len(shared)
+        held[held] = shared[at[held]] == h[held]
+        order = np.argsort(at[held], kind="stable")
+        placed.append((at[held][order], row[held][order]))
+    out = np.zeros((len(left), len(right)), np.float32)
+    for c in range(0, len(shared), COLUMNS):
+        tables = []
+        for (at, row), n in zip(placed, out.shape, strict=True):
+            s, e = np.searchsorted(at, [c, c + COLUMNS])
+            ones = np.zeros((n, min(COLUMNS, len(shared) - c)), np.float32)
+            ones[row[s:e], at[s:e] - c] = 1
+            tables.append(ones)
+        out += tables[0] @ tables[1].T
+    return out
+
+
+def _tree(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of the pairs with the least node that the pairs join it to."""
+    node, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    label = np.arange(len(node))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, i, label[j])
+        np.minimum.at(new, j, new[i])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    apart = label != np.arange(len(node))
+    return node[label[apart]], node[apart]
 
 
 def _confirm(shingle: int, percent: int):
@@ -288,10 +364,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
       is kept. Repeated keys: their rows are one document, linked with all that any of them is linked with; repeated
       rows come out repeated. Other columns are ignored. Empty table: no rows.
 
-    Three rounds of candidates are confirmed: each document with its region's leader, then with its best partners in
-    other components, then all pairs left between components. The last two rounds look at every shallow region, crowded
-    or not, in whole. So no pair of two components that meets under a shallow prefix and whose signatures agree to within
-    four standard deviations goes unconfirmed. Pairs within a component are not looked at.
+    Two rounds of candidates are confirmed: each document with its region's leader, then all pairs of different components
+    under every shallow prefix, crowded or not. So no pair of two components that meets under a shallow prefix and whose
+    signatures agree to within four standard deviations goes unconfirmed. Pairs within a component are not looked at.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "near")
@@ -308,45 +383,43 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     heads = own.withColumnRenamed("key", "node").join(named, "node").where("set_1 = c_1 and set_2 = c_2")
     nodes = scratch.save(heads.groupBy("node").agg(F.max(F.struct("n_shingles", "signature")).alias("h")).select("node", "h.*"), "nodes")
 
-    met, crowds = _regions(nodes, least_depth(percent), region, scratch)
+    depth = least_depth(percent)
+    meet, met = _regions(nodes, depth, region, scratch)
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ids = scratch.save(met.select("node").distinct(), "ids")
+    ids = scratch.save(meet.select("node").distinct(), "ids")
     known = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    wide = scratch.save(met.join(nodes, "node"), "wide")
     texts = docs.withColumnRenamed("key", "node").join(known, "node", "left_semi")
     texts = scratch.save(texts, "texts")
-    scratch.drop("ids", "regions")
-
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        """Links among ``pairs``; texts are joined to the pairs, so a document with many pairs is split like any skewed key."""
-        left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-        right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-        return scratch.save(joined.mapInArrow(_confirm(shingle, percent), "a long, b long"), name)
+    scratch.drop("ids")
 
     def by_region(rows: DataFrame) -> DataFrame:
         return rows.repartition(n_parts, "region").sortWithinPartitions("region", "node")
 
-    star = by_region(wide).mapInArrow(_leaders(percent, low), "a long, b long")
-    # A document follows the least of its leaders in this round.
-    tested = scratch.save(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tested-1")
-    links = confirmed(tested, "links-1")
+    star = by_region(meet.join(nodes, "node")).mapInArrow(_leaders(percent, low), "a long, b long")
+    # A document follows the least of its leaders. Texts are joined to the pairs, so a leader with many is split like any skewed key.
+    pairs = scratch.save(star.groupBy("b").agg(F.min("a").alias("a")), "pairs")
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    links = scratch.save(joined.mapInArrow(_confirm(shingle, percent), "a long, b long"), "links")
     groups = scratch.save(components(links, scratch, "cc-1"), "groups-1")
-    for step in (2, 3):
-        now = wide.join(groups, "node", "left").withColumns({"component": F.coalesce("component", "node"), "side": F.lit(0)})
-        now = now.unionByName(_blocks(crowds, groups, BLOCK).join(nodes, "node"))
-        mixed = by_region(now).mapInArrow(_across(percent, low, step == 2), "a long, b long")
-        old = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        fresh = scratch.save(mixed.distinct().join(old, ["a", "b"], "left_anti"), f"fresh-{step}")
-        if fresh.isEmpty():
-            break
-        found = confirmed(fresh, f"links-{step}")
-        tested = old.unionByName(fresh)
-        if not found.isEmpty():
-            # Components of the earlier rounds are stars, so that the new links only join stars.
-            so_far = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)
-            groups = scratch.save(components(so_far, scratch, f"cc-{step}"), f"groups-{step}")
-    scratch.drop("wide", "crowds", "texts", "nodes")
+
+    rows = met.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    apart = rows.groupBy("region").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("region")
+    rows = scratch.save(rows.join(apart, "region"), "apart")
+    few = rows.where(F.col("n") <= region).select("region", "tree", F.lit(0).alias("side"), "node", "component")
+    weight = nodes.select("node", (F.lit(1.0) + F.col("n_shingles") / F.lit(BLOCK)).alias("weight"))
+    many = _blocks(rows.where(F.col("n") > region).select("region", "tree", "node", "component").join(weight, "node"), BLOCK)
+    asked = by_region(few.unionByName(many).join(nodes.select("node", "n_shingles", "signature"), "node").select(*_ASKED))
+    asked = scratch.save(asked.mapInArrow(_candidates(percent, low, depth), asked.schema), "asked")
+    sets = texts.join(asked.select("node").distinct(), "node", "left_semi").mapInArrow(_hashes(shingle), "node long, hashes binary")
+    asked = by_region(asked.join(scratch.save(sets, "sets"), "node"))
+    more = scratch.save(asked.mapInArrow(_links(percent, low), "a long, b long"), "more")
+    if not more.isEmpty():
+        # The first components are stars, so that the new links only join stars.
+        so_far = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
+        groups = scratch.save(components(so_far, scratch, "cc-2"), "groups-2")
+    scratch.drop("regions", "met", "pairs", "links", "apart", "asked", "sets", "more", "texts", "nodes")
 
     whole = classes.join(groups, "node", "left").select("set_1", "set_2", F.coalesce("component", "node").alias("component"))
     whole = scratch.save(whole, "components")
