@@ -1,12 +1,17 @@
 """HTML extraction by equivalence-class template deduction.
 
-Tokens are tags in their place: the path of open elements with their classes. Over the pages of a host,
-tokens with the same occurrence vector (so often on each page) form an equivalence class. Classes that
-enough pages share are valid; nested by their paths they are the host's template, and the places
-between its tokens are slots. Menus, adverts and the like are template nodes known by their names; the
-main node is the innermost once-a-page node that holds the article, and its remaining slots are the text.
+Tokens are block tags in their place (the path of open elements with their classes) and blocks of text in
+theirs. Over the pages of a host, tokens with the same occurrence vector (so often on each page) form an
+equivalence class. A class is valid if enough pages share it, if its tokens stand in the same order on all of
+them, and if it nests: every token lies in an element of another valid class, or at the top. The valid classes
+are the host's template. Its text is dropped wherever it stands; its innermost once-a-page element that holds
+most text is the main node, and what the slots below that node hold is the text.
+
+Menus, adverts, comments and the like whose text differs from page to page are no template text; they are
+known by tag, role, or a class all of whose words name such a thing.
 """
 
+import hashlib
 import html
 import re
 from collections import Counter
@@ -19,12 +24,17 @@ from pyspark.sql import functions as F
 from lettermill.llm.scratch import Scratch, small_batches
 from lettermill.llm.url_filter import split_url
 
-#: A token is kept for its host's template if this share of the pages of the host (and at least 2, if there are 2) has it.
+#: A class of tags may be valid if this share of the pages of its host (and at least 2, if there are 2) has it.
 SUPPORT = 0.05
-#: A token stands for a frame of the template if this share of the pages has it exactly once.
+#: A class of texts may be valid if this share of the pages, and at least so many, has it.
+TEXT_SUPPORT = 0.5
+TEXT_PAGES = 3
+#: A tag frames a slot if this share of the pages that have it has it exactly once.
 FRAME = 0.5
 #: Share of a host's slot text that the main node must hold where no article element says so.
 MAIN_SHARE = 0.6
+#: Least share of the text in the slots that is not the template's.
+OWN_SHARE = 0.2
 #: Templates (rows of one host each) that may be broadcast; beyond it, pages are joined to them by shuffle.
 BROADCAST_HOSTS = 20_000
 
@@ -35,13 +45,15 @@ INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark",
     "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
 }
-DROPPED = {"nav", "header", "footer", "aside", "form", "button", "head", "menu", "dialog", "fieldset"}
+DROPPED = {"nav", "footer", "aside", "form", "button", "head", "menu", "dialog", "fieldset"}
 DROPPED_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar"}
 DROPPED_WORDS = {
     "ad", "ads", "adbox", "adsense", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies", "consent", "gdpr",
     "notice", "notices", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "comment", "comments", "respond",
     "replies", "disqus", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "header", "footer", "masthead", "related", "recommended", "widget", "toolbar", "pagination",
 }
+#: Words of a class that say where or how a thing stands, not what it is.
+PLACE_WORDS = {"box", "wrap", "wrapper", "list", "area", "bar", "slot", "container", "block", "unit", "top", "bottom", "left", "right", "inner", "outer", "section", "site", "page", "global", "item", "thread", "form", "count", "reader", "user"}
 #: Start tags that end an open paragraph or item of the same kind.
 ENDS_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
@@ -59,17 +71,22 @@ _ATTR = re.compile(r"(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([
 _WORD = re.compile(r"[a-z]+")
 
 
+def _names_boilerplate(name: str) -> bool:
+    """Whether a class or id says nothing but that it holds a menu, an advert, comments or the like."""
+    words = set(_WORD.findall(name))
+    return bool(words & DROPPED_WORDS) and words <= DROPPED_WORDS | PLACE_WORDS
+
+
 def _name_of(name: str, attrs: str) -> tuple[str, bool]:
-    """(step of the path, whether the element is boilerplate by its name, role or class words)."""
+    """(step of the path, whether the element is boilerplate by its tag, role, id or a class)."""
     said = {k.lower(): (a or b or c).lower() for k, a, b, c in _ATTR.findall(attrs)} if "=" in attrs else {}
     step = name
     if said.get("class"):
         step += "." + ".".join(sorted(said["class"].split()))
-    words = {w for k in ("class", "id") for w in _WORD.findall(said.get(k, ""))}
-    drop = name in DROPPED or said.get("role") in DROPPED_ROLES or (bool(words & DROPPED_WORDS) and name not in ("html", "body", "article", "main"))
-    if said.get("role") in ("main", "article"):
-        step += "[main]"
-    if said.get("itemprop") == "articlebody":
+    drop = name in DROPPED or said.get("role") in DROPPED_ROLES
+    if name not in ("html", "body", "article", "main"):
+        drop = drop or any(_names_boilerplate(n) for k in ("class", "id") for n in said.get(k, "").split())
+    if said.get("role") in ("main", "article") or said.get("itemprop") == "articlebody":
         step += "[main]"
     return step, drop
 
@@ -118,6 +135,8 @@ def walk(page: str) -> Iterator[tuple[str, str, bool, bool, str]]:
         if key not in known:
             known[key] = _name_of(*key)
         step, drop = known[key]
+        # A header is the site's, but for that of an article.
+        drop = drop or name == "header" and not any(e in ("article", "main") for e, _, _ in stack)
         if name not in VOID and not m["attrs"].endswith("/"):
             path = f"{path}/{step}" if block else path
             dropped = dropped or drop
@@ -125,132 +144,221 @@ def walk(page: str) -> Iterator[tuple[str, str, bool, bool, str]]:
         yield "open", path, dropped or drop, block, name
 
 
-def tokens_of(page: str) -> dict[str, tuple[int, int]]:
-    """{path: (times it is opened, characters of text right in it)} of the block tokens outside boilerplate, and of boilerplate roots."""
-    opened: Counter[str] = Counter()
-    chars: Counter[str] = Counter()
+def read(page: str) -> Iterator[tuple[str, str | None, bool]]:
+    """(path, text, dropped) in page order: block elements as they open (text is None), and the blocks of text outside boilerplate."""
+    inside: list[str] = []
+    at = ""
     for kind, path, dropped, block, text in walk(page):
-        if kind == "open" and block and text not in VOID:
-            opened[path] += 1
-        elif kind == "text" and not dropped:
-            chars[path] += len(text.strip())
-    return {p: (n, chars[p]) for p, n in opened.items()}
+        if kind == "text":
+            if not dropped:
+                inside.append(text)
+                at = path
+        elif block:
+            said = " ".join(html.unescape("".join(inside)).split()) if inside else ""
+            inside.clear()
+            if said:
+                yield at, said, False
+            if kind == "open" and text not in VOID:
+                yield path, None, dropped
+        elif text == "br":
+            inside.append(" ")
+    said = " ".join(html.unescape("".join(inside)).split())
+    if said:
+        yield at, said, False
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def token(path: str, text: str | None = None) -> int:
+    """64 bits that stand for a tag, or for a block of text in its place."""
+    said = path if text is None else f"{path}\0{text}"
+    return int.from_bytes(hashlib.blake2b(said.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of few pages, since each page makes many rows."""
     for batch in batches:
         for a in range(0, batch.num_rows, 200):
-            part = batch.slice(a, 200)
-            host, page, path, n, chars = [], [], [], [], []
-            for h, i, text in zip(*(part.column(c).to_pylist() for c in ("host", "page", "html")), strict=True):
-                for p, (times, size) in tokens_of(text or "").items():
-                    host.append(h)
-                    page.append(i)
-                    path.append(p)
-                    n.append(times)
-                    chars.append(size)
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(page, pa.int64()), pa.array(path, pa.string()), pa.array(n, pa.int64()), pa.array(chars, pa.int64())], names=["host", "page", "path", "n", "chars"])
+            yield batch.slice(a, 200)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in _parts(batches):
+        host, page, copies, ids, parent, path, n, chars = [], [], [], [], [], [], [], []
+        for h, i, c, text in zip(*(part.column(c).to_pylist() for c in ("host", "page", "copies", "html")), strict=True):
+            opened: Counter[str] = Counter()
+            size: Counter[str] = Counter()
+            texts: Counter[tuple[str, int]] = Counter()
+            for p, said, _ in read(text):
+                if said is None:
+                    opened[p] += 1
+                else:
+                    size[p] += len(said)
+                    texts[p, token(p, said)] += 1
+            host += [h] * (len(opened) + len(texts))
+            page += [i] * (len(opened) + len(texts))
+            copies += [c] * (len(opened) + len(texts))
+            place = {p: token(p) for p in {*opened, *(q for q, _ in texts)}} | {"": 0}
+            ids += [place[p] for p in opened] + [t for _, t in texts]
+            parent += [place.get(p.rpartition("/")[0], 1) for p in opened] + [place[p] for p, _ in texts]
+            path += [*opened] + [None] * len(texts)
+            n += [*opened.values(), *texts.values()]
+            chars += [size[p] for p in opened] + [0] * len(texts)
+        columns = (pa.array(host, pa.string()), pa.array(page, pa.int64()), pa.array(copies, pa.int64()), pa.array(ids, pa.int64()), pa.array(parent, pa.int64()), pa.array(path, pa.string()), pa.array(n, pa.int64()), pa.array(chars, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*columns], names=["host", "page", "copies", "token", "parent", "path", "n", "chars"])
 
 
 def token_classes(pages: DataFrame) -> DataFrame:
-    """(host, pages, tokens): per host its tokens' classes, as an array of (path, vector, pages, once, chars).
+    """(host, pages, tokens): per host its tokens' classes, as an array of (token, parent, path, vector, pages, once, chars).
 
-    ``vector`` is a sum over pages of hash(page, count): equal for equal occurrence vectors. Everything is summed up
-    before the shuffle, so a host with a third of all pages costs no more than its distinct tokens a task. The array of a
-    host is bounded: a token that less than ``SUPPORT`` of the pages have is left out.
+    ``parent`` is the token of the element around it, 0 at the top; ``path`` is null for texts.
+    ``pages`` has (host, page, copies, html), where each of ``copies`` equal pages counts for its part of one. ``vector`` is a sum over pages of hash(page, count): equal for equal
+    occurrence vectors. Everything is summed up before the shuffle, so a host with a third of all
+    pages costs no more than its distinct tokens a task. The array of a host is bounded: a tag that less than ``SUPPORT``, or a
+    text that less than ``TEXT_SUPPORT`` of the pages have is left out.
     """
-    counts = pages.mapInArrow(_count, "host string, page long, path string, n long, chars long")
+    counts = pages.mapInArrow(_count, "host string, page long, copies long, token long, parent long, path string, n long, chars long")
     vector = F.shiftright(F.xxhash64("page", "n"), 24)
-    tokens = counts.groupBy("host", "path").agg(F.sum(vector).alias("vector"), F.count("*").alias("pages"), F.count_if(F.col("n") == 1).alias("once"), F.sum("chars").alias("chars"))
-    totals = pages.groupBy("host").agg(F.count("*").alias("all"))
-    kept = tokens.join(totals, "host").where((F.col("pages") >= F.least(F.lit(2), F.col("all"))) & (F.col("pages") >= F.lit(SUPPORT) * F.col("all")))
-    return kept.groupBy("host").agg(F.first("all").alias("pages"), F.collect_list(F.struct("path", "vector", "pages", "once", "chars")).alias("tokens"))
+    one = F.round(F.sum(1 / F.col("copies"))).cast("long")
+    tokens = counts.groupBy("host", "token").agg(F.first("path").alias("path"), F.sum(vector).alias("vector"), F.first("parent").alias("parent"), one.alias("pages"), F.round(F.sum(F.when(F.col("n") == 1, 1 / F.col("copies")).otherwise(0.0))).cast("long").alias("once"), F.sum("chars").alias("chars"))
+    totals = pages.groupBy("host").agg(one.alias("all"))
+    tag = (F.col("pages") >= F.least(F.lit(2), F.col("all"))) & (F.col("pages") >= F.lit(SUPPORT) * F.col("all"))
+    text = (F.col("pages") >= TEXT_PAGES) & (F.col("pages") >= F.lit(TEXT_SUPPORT) * F.col("all"))
+    kept = tokens.join(totals, "host").where(F.when(F.col("path").isNotNull(), tag).otherwise(text))
+    return kept.groupBy("host").agg(F.first("all").alias("pages"), F.collect_list(F.struct("token", "parent", "path", "vector", "pages", "once", "chars")).alias("tokens"))
+
+
+def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, vector, least, most): in what order each page has the tokens of each class, 0 if it is not the same in each of its rounds."""
+    known: dict[str, tuple[dict[int, int], Counter[int]]] = {}
+    tags: dict[str, int] = {}
+    for part in _parts(batches):
+        out: dict[tuple[str, int], list[int]] = {}
+        tags.clear()
+        for h, text, ids, vectors in zip(*(part.column(c).to_pylist() for c in ("host", "html", "ids", "vectors")), strict=True):
+            if h not in known:
+                known.clear()
+                known[h] = dict(zip(ids, vectors, strict=True)), Counter(vectors)
+            vector_of, sizes = known[h]
+            order: dict[int, list[int]] = {}
+            for p, said, _ in read(text):
+                t = token(p, said) if said is not None else tags.get(p) or tags.setdefault(p, token(p))
+                if t in vector_of:
+                    order.setdefault(vector_of[t], []).append(t)
+            for v, seen in order.items():
+                size = sizes[v]
+                same = len(seen) % size == 0 and all(seen[i] == seen[i % size] for i in range(size, len(seen))) and len(set(seen[:size])) == size
+                got = hash(tuple(seen[:size])) | 1 if same else 0
+                both = out.setdefault((h, v), [got, got])
+                both[:] = min(both[0], got), max(both[1], got)
+        columns = (pa.array([h for h, _ in out], pa.string()), pa.array([v for _, v in out], pa.int64()), pa.array([a for a, _ in out.values()], pa.int64()), pa.array([b for _, b in out.values()], pa.int64()))
+        yield pa.RecordBatch.from_arrays([*columns], names=["host", "vector", "least", "most"])
+
+
+def template(tokens: list[dict], ordered: set[int]) -> list[dict]:
+    """The tokens of a host's valid classes that nest; ``ordered``: the vectors of the classes in order.
+
+    A class out of order is split: its tags, told apart by their place, are classes of their own; its texts are no template.
+    A class nests if the element around each of its tokens is a tag of a valid class, or the token stands at the top.
+    """
+    part = {t["token"]: t["vector"] if t["vector"] in ordered else ("own", t["token"]) for t in tokens if t["path"] is not None or t["vector"] in ordered}
+    of = [t for t in tokens if t["token"] in part]
+    while True:
+        held = {t["token"] for t in of if t["path"] is not None} | {0}
+        lost = {part[t["token"]] for t in of if t["parent"] not in held}
+        if not lost:
+            return of
+        of = [t for t in of if part[t["token"]] not in lost]
 
 
-def main_node(pages: int, tokens: list[dict]) -> str | None:
-    """The path of the main node of a host's template, or None if its classes give none.
+def main_nodes(tokens: list[dict]) -> list[str]:
+    """The paths of the main nodes of a template, none within another: the innermost elements, once on a page, that hold most of its text.
 
-    Valid classes are those with a token on at least ``FRAME`` of the pages; a class nests in another if its paths lie
-    below one of the other's. Only tokens that are there once a page bound a slot that is the same on each page.
+    Of several such elements within each other an article is the main node. Where layouts differ, each article that is once on
+    its pages is one. Without either the host has no main node.
     """
-    classes: dict[int, list[dict]] = {}
-    for t in tokens:
-        classes.setdefault(t["vector"], []).append(t)
-    frames = [t for group in classes.values() for t in group if t["once"] >= FRAME * pages]
-    said = [t["path"] for t in frames if re.search(r"(?:/article|/main)(?=[./\[]|$)[^/]*$|\[main\][^/]*$", t["path"])]
-    said = [p for p in said if not _boilerplate(p)]
-    if said:
-        article = [p for p in said if re.search(r"/article[^/]*$", p)]
-        return min(article or said, key=lambda p: (p.count("/"), p))
-    below = lambda p: sum(t["chars"] for t in tokens if (t["path"] + "/").startswith(p + "/"))
-    paths = [t["path"] for t in frames if not _boilerplate(t["path"])]
-    whole = max((below(p) for p in paths), default=0)
-    good = [p for p in paths if whole and below(p) >= MAIN_SHARE * whole and not re.search(r"/(?:p|h[1-6]|li|td|tr|ul|ol|table|tbody)[^/]*$", p)]
-    return max(good, key=lambda p: (p.count("/"), p), default=None)
+    tags = [t for t in tokens if t["path"] is not None]
+    frames = [t["path"] for t in tags if t["once"] >= FRAME * t["pages"] and not _boilerplate(t["path"]) and not _TEXTUAL.search(t["path"])]
+    below = {p: sum(t["chars"] for t in tags if (t["path"] + "/").startswith(p + "/")) for p in frames}
+    whole = max(below.values(), default=0)
+    most = [p for p in frames if whole and below[p] >= MAIN_SHARE * whole]
+    on = {t["path"]: t["pages"] for t in tags}
+    articles = [p for p in frames if _ARTICLE.search(p)]
+    # Those that hold most; then those of other layouts, on pages that the former leave free.
+    chosen = [p for p in articles if p in most]
+    for p in sorted(set(articles) - set(chosen), key=lambda p: (-below[p], p)):
+        if sum(map(on.get, chosen)) + on[p] <= max(on.values()):
+            chosen.append(p)
+    if chosen:
+        return [p for p in chosen if not any(p.startswith(q + "/") for q in chosen)]
+    mains = [p for p in most if _MAIN.search(p)]
+    return [max(mains or most, key=lambda p: (p.count("/"), p))] if most else []
+
+
+_TEXTUAL = re.compile(r"/(?:p|h[1-6]|li|td|th|tr|ul|ol|dl|dt|dd|table|tbody|thead|blockquote|pre|figure)(?![a-z0-9])[^/]*$")
+_ARTICLE = re.compile(r"/article(?![a-z0-9-])[^/]*$")
+_MAIN = re.compile(r"(?:/main(?![a-z0-9-])[^/]*|\[main\][^/]*)$")
 
 
 def _boilerplate(path: str) -> bool:
-    """Whether a path runs through an element that is boilerplate by its name or classes."""
-    for step in path.split("/"):
-        name, *classes = step.split(".")
-        if name in DROPPED or {w for c in classes for w in _WORD.findall(c)} & DROPPED_WORDS and name not in ("html", "body", "article", "main"):
-            return True
-    return False
+    """Whether a path runs through an element that is boilerplate by its tag or classes."""
+    steps = [step.partition("[")[0].split(".") for step in path.split("/")]
+    inner = next((i for i, (name, *_) in enumerate(steps) if name in ("article", "main")), len(steps))
+    return any(
+        name in DROPPED or name == "header" and i < inner or name not in ("html", "body", "article", "main") and any(map(_names_boilerplate, classes))
+        for i, (name, *classes) in enumerate(steps)
+    )
 
 
 def _deduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        main = [main_node(n, t) for n, t in zip(batch.column("pages").to_pylist(), batch.column("tokens").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(main, pa.string())], names=["host", "main"])
+        made = [template(t, set(v or ())) for t, v in zip(*(batch.column(c).to_pylist() for c in ("tokens", "ordered")), strict=True)]
+        fixed = [[t["token"] for t in tokens if t["path"] is None] for tokens in made]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([main_nodes(t) for t in made], pa.list_(pa.string())), pa.array(fixed, pa.list_(pa.int64()))], names=["host", "mains", "fixed"])
 
 
-def blocks_of(page: str, main: str | None) -> list[str]:
-    """The text blocks in the slots below the main node (all slots of the page if it has no such node), in page order."""
-    out: list[tuple[bool, str]] = []
-    inside: list[str] = []
-    here = False
-    found = False
-    prefix = f"{main}/" if main else None
-
-    def end() -> None:
-        if inside:
-            said = " ".join(html.unescape("".join(inside)).split())
-            if said:
-                out.append((here, said))
-            inside.clear()
+def main_text(page: str, mains: list[str], fixed: set[int]) -> str:
+    """What the slots below the page's main node hold (all slots if it has none), without the template's text.
 
-    for kind, path, dropped, block, text in walk(page):
-        now = prefix is not None and f"{path}/".startswith(prefix)
-        if kind == "text":
-            if not dropped:
-                if now != here:
-                    end()
-                    here = now
-                inside.append(text)
-            continue
-        if block:
-            end()
-        elif text in ("br", "img", "wbr"):
-            inside.append(" " if text == "br" else "")
-        found = found or now
-    end()
-    return [said for there, said in out if there or not found]
+    Where less than ``OWN_SHARE`` of it is the page's own, the host's pages are versions of one text, and all of it stays.
+    """
+    opened, blocks = set(), []
+    for path, said, _ in read(page):
+        if said is None:
+            opened.add(path)
+        else:
+            blocks.append((path, said))
+    heads = tuple(f"{m}/" for m in mains if m in opened)
+    inside = [(p, said) for p, said in blocks if f"{p}/".startswith(heads)] if heads else blocks
+    own = [said for p, said in inside if not fixed or token(p, said) not in fixed]
+    whole = [said for _, said in inside]
+    return "\n".join(own if sum(map(len, own)) >= OWN_SHARE * sum(map(len, whole)) else whole)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        names = [n for n in batch.schema.names if n not in ("__html", "__main")]
-        for a in range(0, batch.num_rows, 200):
-            part = batch.slice(a, 200)
-            got = ["\n".join(blocks_of(p or "", m)) for p, m in zip(part.column("__html").to_pylist(), part.column("__main").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(got, pa.string())], names=[*names, "text"])
+    for part in _parts(batches):
+        names = [n for n in part.schema.names if n not in ("__html", "__mains", "__fixed")]
+        rows = zip(*(part.column(c).to_pylist() for c in ("__html", "__mains", "__fixed")), strict=True)
+        got = [main_text(p or "", mains or [], set(fixed or ())) for p, mains, fixed in rows]
+        yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(got, pa.string())], names=[*names, "text"])
+
+
+def _small(hosts: DataFrame) -> DataFrame:
+    return F.broadcast(hosts) if hosts.count() <= BROADCAST_HOSTS else hosts
 
 
-def templates(df: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """(host, main): the main node of the template of every host, deduced from all its pages."""
+def templates(df: DataFrame, scratch: Scratch, url: str = "url", page: str = "html") -> DataFrame:
+    """(host, mains, fixed): the main nodes and the text tokens of the template of every host, deduced from all its pages."""
     host, _ = split_url(F.col(url))
     pages = df.where(F.col(page).isNotNull()).select(host.alias("host"), F.xxhash64(page).alias("page"), F.col(page).alias("html"))
-    return token_classes(pages).mapInArrow(_deduce, "host string, main string")
+    # Equal pages count once: they say nothing about what is template.
+    repeated = pages.groupBy("host", "page").agg(F.count("*").alias("copies")).where("copies > 1")
+    repeated = scratch.save(repeated.select(F.col("host").alias("__h"), F.col("page").alias("__p"), "copies"), "repeated")
+    pages = pages.join(_small(repeated), (F.col("host") == F.col("__h")) & (F.col("page") == F.col("__p")), "left").select("host", "page", F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), "html")
+    found = scratch.save(token_classes(pages), "classes")
+    classes = _small(found.select("host", F.transform("tokens", lambda t: t["token"]).alias("ids"), F.transform("tokens", lambda t: t["vector"]).alias("vectors")))
+    orders = pages.join(classes, "host").mapInArrow(_orders, "host string, vector long, least long, most long")
+    orders = orders.groupBy("host", "vector").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least = most and least <> 0")
+    ordered = scratch.save(orders.groupBy("host").agg(F.collect_list("vector").alias("ordered")), "ordered")
+    return found.join(ordered, "host", "left").select("host", "tokens", "ordered").mapInArrow(_deduce, "host string, mains array<string>, fixed array<long>")
 
 
 def extract_main_text(df: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
@@ -259,19 +367,19 @@ def extract_main_text(df: DataFrame, url: str = "url", page: str = "html") -> Da
     - Blocks are runs of text between block tags; character references are decoded, white space becomes one space,
       blocks are trimmed, empty ones left out, the rest joined by \n in page order.
     - Null and empty html give an empty text. Null urls, and those without a host, form one host.
-    - A host with one page takes its template from that page; a page without its host's main node gives all its slots
-      outside boilerplate. Markup that is cut off at the end is no text.
-    - Columns named ``text`` and ``n_chars`` are replaced, others kept; repeated rows come out repeated; an empty table
-      gives no rows.
+    - A host with few pages takes its main node from those; text is template only on ``TEXT_PAGES`` pages or more. A page
+      without a main node gives all its slots outside boilerplate. Markup that is cut off at the end is no text.
+    - Equal pages of a host count once. Columns named ``text`` and ``n_chars`` are replaced, others kept; repeated rows come
+      out repeated; an empty table gives no rows.
     """
     scratch = Scratch(df.sparkSession, "html")
     small_batches(df.sparkSession)
-    made = scratch.save(templates(df, url, page), "templates").select(F.col("host").alias("__host"), F.col("main").alias("__main"))
-    made = F.broadcast(made) if made.count() <= BROADCAST_HOSTS else made
+    made = scratch.save(templates(df, scratch, url, page), "templates").select(F.col("host").alias("__host"), F.col("mains").alias("__mains"), F.col("fixed").alias("__fixed"))
+    scratch.drop("repeated", "classes", "ordered")
     host, _ = split_url(F.col(url))
     own = df.select(*[c for c in df.columns if c not in ("text", "n_chars", page)], F.col(page).alias("__html"))
-    rows = own.withColumn("__host", host).join(made, "__host", "left").drop("__host")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("__html", "__main")) + ", text string"
+    rows = own.withColumn("__host", host).join(_small(made), "__host", "left").drop("__host")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("__html", "__mains", "__fixed")) + ", text string"
     out = rows.mapInArrow(_extract, schema)
     return out.withColumn("n_chars", F.length("text").cast("long"))
 

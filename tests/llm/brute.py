@@ -2,6 +2,7 @@
 
 import re
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 UPPER = {i: i + 32 for i in range(65, 91)}
@@ -59,3 +60,41 @@ def base_counts(text):
     covered = {j for i in range(len(w) - 4) if grams[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
     n = len(w)
     return n, sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), dup, len(covered), n < 10 or 100 * len(covered) > 20 * n
+
+
+class Blocks(HTMLParser):
+    """(path, text) of the text blocks of a page, and the paths of its block elements."""
+
+    def __init__(self, page, without):
+        super().__init__()
+        self.stack, self.blocks, self.opened, self.without = [], [], Counter(), without
+        self.feed(page)
+
+    def handle_starttag(self, tag, attrs):
+        if tag != "b":
+            if tag == "li" and self.stack[-1] == "li":
+                self.stack.pop()
+            self.stack.append(tag + "".join(f".{v}" for _, v in attrs))
+            self.opened["/".join(self.stack)] += 1
+            self.blocks.append(["/".join(self.stack), ""])
+
+    def handle_endtag(self, tag):
+        if tag != "b":
+            while self.stack.pop().partition(".")[0] != tag:
+                pass
+            self.blocks.append(["/".join(self.stack), ""])
+
+    def handle_data(self, data):
+        if self.blocks and not any(s.partition(".")[2] in self.without for s in self.stack):
+            self.blocks[-1][1] += data
+
+
+def host_texts(pages, without):
+    """The main texts of a host's pages: what differs between them, in the deepest element that each has once and that holds most."""
+    read = [Blocks(p, without) for p in pages]
+    blocks = [[(path, " ".join(text.split())) for path, text in r.blocks if text.strip()] for r in read]
+    on = Counter(b for page in blocks for b in set(page))
+    size = lambda path: sum(len(t) for page in blocks for p, t in page if f"{p}/".startswith(f"{path}/"))
+    once = [p for p in read[0].opened if all(r.opened[p] == 1 for r in read) and not re.search("/(p|h1|ul|li)$", p)]
+    main = max((p for p in once if size(p) >= 0.6 * size("html")), key=lambda p: p.count("/"))
+    return ["\n".join(t for p, t in page if f"{p}/".startswith(f"{main}/") and on[p, t] < max(3, len(pages) / 2)) for page in blocks]

@@ -220,12 +220,65 @@ def test_html_edges(spark):
     got = html_extract.extract_main_text(df).collect()
     by = {r["page_id"]: r["text"] for r in got}
     assert len(got) == len(rows) and by[2] == "Head & line\nOne link, two three four\na\nb 2\nq bold" and by[13].endswith("q bold")
-    assert by[10] == by[11] == "" and by[12] == "other layout" and by[14] == "Head & line\nOne link, two three fo" and by[15] == "plain < text & more"
+    # The headline is on every page of the host and leaves where the page has enough text of its own.
+    assert by[10] == by[11] == "" and by[12] == "other layout" and by[14] == "One link, two three fo" and by[15] == "plain < text & more"
     assert by[16].startswith("long <text> long") and all(r["n_chars"] == len(r["text"]) for r in got)
     assert html_extract.extract_main_text(df.limit(0)).count() == 0
 
 
-def test_template_without_article_element():
-    tokens = [{"path": p, "vector": v, "pages": 10, "once": o, "chars": c} for p, v, o, c in [("/html", 1, 10, 0), ("/html/body", 1, 10, 0), ("/html/body/nav", 1, 10, 90), ("/html/body/div.content", 1, 10, 5), ("/html/body/div.content/p", 2, 1, 900), ("/html/body/div.list", 1, 10, 50)]]
-    assert html_extract.main_node(10, tokens) == "/html/body/div.content"
-    assert html_extract.main_node(1, []) is None
+OWN = """<html><body><div class="k1">Start Politics Sport</div>{late}<div class="k2"><h1>Title {i}</h1><div class="k9">Read it in our app today</div><div class="related-work"><p>Earlier work {i} {w}</p></div>
+<div class="social-history"><p>History {i}</p></div>{also}<ul>{items}</ul><p>Words {w} of {i}</p><div class="comment-list"><p>me too {i}</p></div></div><div class="k3">Imprint</div></body></html>"""
+
+
+def own_pages(n):
+    rng = np.random.default_rng(2)
+    words = lambda k: " ".join(f"w{x}" for x in rng.integers(0, 999, k))
+    also = '<div class="k5"><b>Members</b> only</div>'
+    return [OWN.format(i=i, w=words(30), also=also if i % 3 else "", late='<div class="k7">Live now</div>' if i % 2 else "", items="".join(f"<li>item {i} {j}" for j in range(i % 4))) for i in range(n)]
+
+
+def test_template_text_goes_by_its_class(spark):
+    pages = own_pages(12)
+    want = brute.host_texts(pages, {"comment-list"})
+    assert "app today" not in "".join(want) and "Members" not in "".join(want) and all("Earlier work" in t and "History" in t for t in want)
+    df = spark.createDataFrame([(i, f"http://own/{i}", p) for i, p in enumerate(pages)] + [(100 + i, "http://own/0", pages[0]) for i in range(40)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_main_text(df).collect()}
+    assert [got[i] for i in range(12)] == want and got[120] == want[0]
+
+
+def test_shuffled_vectors_give_another_template():
+    import pyarrow as pa
+
+    pages = own_pages(12)
+    batch = pa.RecordBatch.from_pydict({"host": ["own"] * 12, "page": range(12), "copies": [1] * 12, "html": pages})
+    rows = pa.Table.from_batches(html_extract._count([batch])).to_pandas()
+    tokens = []
+    for t, g in rows.groupby("token"):
+        path = g["path"].iloc[0]
+        if path is not None or len(g) >= 6:
+            tokens.append({"token": t, "parent": g["parent"].iloc[0], "path": path, "vector": hash(tuple(zip(g["page"], g["n"], strict=True))), "pages": len(g), "once": (g["n"] == 1).sum(), "chars": g["chars"].sum()})
+
+    def fixed(vectors):
+        some = [t | {"vector": v} for t, v in zip(tokens, vectors, strict=True)]
+        with_host = pa.RecordBatch.from_pydict({"host": ["own"] * 12, "html": pages, "ids": [[t["token"] for t in some]] * 12, "vectors": [vectors] * 12})
+        orders = pa.Table.from_batches(html_extract._orders([with_host])).to_pylist()
+        ordered = {r["vector"] for r in orders if r["least"] == r["most"] != 0}
+        return {t["token"] for t in html_extract.template(some, ordered) if t["path"] is None}
+
+    true = [t["vector"] for t in tokens]
+    assert len(fixed(true)) == 5
+    rng = np.random.default_rng(1)
+    assert all(fixed([true[i] for i in rng.permutation(len(true))]) != fixed(true) for _ in range(5))
+
+
+def test_two_layouts_in_one_host(spark):
+    rows = [(i, f"http://two/{i}", f"<body><nav>n {i}</nav><article><h1>A {i}</h1><header><p>by {i}</header><p>text {i}</article></body>") for i in range(6)]
+    rows += [(10 + i, f"http://two/{i}", f"<body><div class='new'><article><p>new {i}</article></div><div class='other'>more {i}</div></body>") for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[2] == "A 2\nby 2\ntext 2" and got[12] == "new 2"
+
+
+def test_main_node_without_article_element():
+    tokens = [{"path": p, "pages": 10, "once": o, "chars": c} for p, o, c in [("/html", 10, 0), ("/html/body", 10, 0), ("/html/body/nav", 10, 90), ("/html/body/div.content", 10, 5), ("/html/body/div.content/p", 1, 900), ("/html/body/div.list", 10, 50)]]
+    assert html_extract.main_nodes(tokens) == ["/html/body/div.content"]
+    assert html_extract.main_nodes([]) == []
