@@ -220,12 +220,14 @@ def _compare(threshold: float, books: dict[int, Codebooks]):
 
     def run(batches):
         for table in _whole_groups(batches):
-            kind, node, weight, home = (table.column(c).to_numpy() for c in ("kind", "node", "weight", "home"))
+            kind, node, weight, home, grid, cell = (table.column(c).to_numpy() for c in ("kind", "node", "weight", "home", "grid", "cell"))
             if kind.min() == kind.max():
                 continue
             x = _unit(table.column("embedding").combine_chunks())
             m, q = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
-            near = (x[q] @ x[m].T >= threshold) & (node[q][:, None] != node[m][None])
+            # Groups are told apart by a hash only, so the cells are compared too.
+            same = (grid[q][:, None] == grid[m][None]) & (cell[q][:, None] == cell[m][None])
+            near = (x[q] @ x[m].T >= threshold) & (node[q][:, None] != node[m][None]) & same
             linked = near.any(1)
             if not linked.any():
                 continue
@@ -291,7 +293,7 @@ def link_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     others = F.sequence(F.lit(0), F.when(F.col("kind") == 0, F.col("rounds")).otherwise(F.col("blocks")) - 1)
     dealt = dealt.withColumn("mine", mine).withColumn("other", F.explode(others))
     group = F.when(F.col("kind") == 0, F.xxhash64("grid", "cell", "mine", "other")).otherwise(F.xxhash64("grid", "cell", "other", "mine"))
-    dealt = dealt.select(group.alias("group"), "home", "kind", "node", "weight", "embedding").repartition(parts, "group").sortWithinPartitions("group")
+    dealt = dealt.select(group.alias("group"), "grid", "cell", "home", "kind", "node", "weight", "embedding").repartition(parts, "group").sortWithinPartitions("group")
     found = scratch.save(dealt.mapInArrow(_compare(threshold, books), "a long, b long, n long"), "found")
     scratch.drop("placed", "counts")
     groups = components(found.select("a", "b"), scratch)

@@ -82,7 +82,7 @@ def mix_sources(df: DataFrame, mix: Mix = MIX, key: str = "doc_id", text: str =
 
     - Tokens are words ``[^\\x20\\x09-\\x0D]+`` of the whole text; null and empty texts have none and are never read.
     - Null ``lang`` and ``source`` are leaves of their own, under the empty name.
-    - The order in an epoch is by md5(seed:epoch:key), then md5 of the text; a leaf's prefix ends before the first
+    - The order in an epoch is by md5(seed:epoch:key), for a null key by that of the text, then md5 of the text; a leaf's prefix ends before the first
       document that would pass its budget. Rows equal in key and text are interchangeable.
     - ``copies`` is at most ``max_epochs``. Columns named like those made are replaced, others kept. Empty table: no rows.
 
@@ -98,7 +98,7 @@ def mix_sources(df: DataFrame, mix: Mix = MIX, key: str = "doc_id", text: str =
     plan = plan.withColumn("rest", F.col("budget") - F.col("full") * F.col("tokens"))
     plan = scratch.save(plan, "plan").select("domain", F.col("lang").alias("__lang"), F.col("source").alias("__source"), "full", "rest")
     rows = rows.join(plan, ["domain", "__lang", "__source"], "left")
-    order = F.md5(F.concat_ws(":", F.lit(mix.seed), F.col("full").cast("string"), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    order = F.md5(F.concat_ws(":", F.lit(mix.seed), F.col("full").cast("string"), F.coalesce(F.col(key).cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(F.col(text), F.lit("")))))))
     rows = rows.withColumns({"__order": order, "__tie": F.md5(F.coalesce(F.col(text), F.lit("")))})
     rows = rows.withColumn("__bucket", (F.conv(F.substring("__order", 1, 8), 16, 10).cast("long") / F.lit(2**32 / buckets)).cast("int"))
     by = ["domain", "__lang", "__source"]
@@ -160,7 +160,7 @@ lb AS ({_sql_share('lg', 'domain', 'domain_budget', 'lang_budget')}),
 fg AS (SELECT lf.*, lb.lang_budget FROM lf JOIN lb USING (domain, l)),
 fb AS ({_sql_share('fg', 'domain, l', 'lang_budget', 'budget')}),
 pl AS (SELECT domain, l, s, CAST(floor(budget + 1e-6) AS BIGINT) // tokens AS whole, CAST(floor(budget + 1e-6) AS BIGINT) % tokens AS rest FROM fb),
-r AS (SELECT d.*, pl.whole, pl.rest, sum(n) OVER (PARTITION BY d.domain, d.l, d.s ORDER BY md5('{MIX.seed}:' || pl.whole || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')), md5(text)
+r AS (SELECT d.*, pl.whole, pl.rest, sum(n) OVER (PARTITION BY d.domain, d.l, d.s ORDER BY md5('{MIX.seed}:' || pl.whole || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(text))), md5(text)
              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
       FROM d JOIN pl USING (domain, l, s) WHERE n > 0)
 SELECT doc_id, domain, lang, source, n AS n_tokens, CAST(whole + CASE WHEN run <= rest THEN 1 ELSE 0 END AS INTEGER) AS copies FROM r

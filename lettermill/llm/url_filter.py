@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 
 from lettermill.llm.scratch import Scratch
 
-#: Listed keys: these names and all names below them.
-LISTED = ("adult-x.example.net", "ads-track.example.org", "casino-win.example.org", "cheap-pills.example.com", "free-bets.example.com", "spam-farm.example.org")
+#: Listed keys: these sites under every ending that sites are listed for, and all names below them.
+SITES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+ENDINGS = ("example.com", "example.net", "example.org")
+LISTED = tuple(f"{site}.{ending}" for site in SITES for ending in ENDINGS)
 #: (verdict, host, path): the rule's host and its subdomains, paths that start with the rule's; the longest wins.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 BITS_PER_KEY = 10
 HASHES = 5
-#: Most keys that one level may hold: 20 MB of bits. It bounds what is collected and sent with the plan.
+#: Most keys that one level may hold: 20 MB of bits, sent with the plan. A list with more is answered by a join, exactly too.
 MOST_KEYS = 1 << 24
 #: A level over this many keys still mistakes ever fewer; a cascade that needs more levels than this is a bug.
 MOST_LEVELS = 40
@@ -55,17 +57,16 @@ class Level:
         return [F.pmod(first + second * F.lit(i), F.lit(8 * len(self.bits)).cast("long")) for i in range(self.hashes)]
 
     def has(self, key: Column) -> Column:
-        out = F.lit(True)
-        for p in self.positions(key):
+        def is_set(p: Column) -> Column:
             byte = F.conv(F.hex(F.substring(F.lit(self.bits), F.floor(p / F.lit(8)).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-            out = out & (F.getbit(byte, F.pmod(p, F.lit(8)).cast("int")) == 1)
-        return out
+            return F.getbit(byte, F.pmod(p, F.lit(8)).cast("int")) == 1
+
+        # The bits stand in the plan once a level, whatever the number of hashes.
+        return F.forall(F.array(*self.positions(key)), is_set)
 
 
 def build_level(keys: DataFrame, n: int, seed: int) -> Level:
     """A Bloom filter over the column ``key`` of n rows; words are OR-ed in the executors, at most n * BITS_PER_KEY / 64 reach the driver."""
-    if n > MOST_KEYS:
-        raise ValueError(f"{n} keys at one level; at most {MOST_KEYS} are bounded here")
     words = max(1, -(-n * BITS_PER_KEY // 64))
     blank = Level(bytes(8 * words), HASHES, seed)
     ones = keys.select(F.explode(F.array(*blank.positions(F.col("key")))).alias("p"))
@@ -87,11 +88,12 @@ class Cascade:
         return out if self.levels else F.lit(False)
 
 
-def build_cascade(universe: DataFrame, listed: DataFrame) -> Cascade:
+def build_cascade(universe: DataFrame, listed: DataFrame) -> Cascade | None:
     """A cascade over ``universe`` (all keys that will ever be asked for) that answers membership in ``listed``; both have a column ``key``.
 
     Listed keys outside the universe are left out: nothing asks for them. Null keys are ignored.
-    Each level's candidates are those of two levels before that the last level let pass.
+    Each level's candidates are those of two levels before that the last level let pass. None if a level would hold more
+    than ``MOST_KEYS``.
     """
     scratch = Scratch(universe.sparkSession, "cascade")
     mark = listed.where("key is not null").select("key").distinct().withColumn("__listed", F.lit(True))
@@ -101,6 +103,8 @@ def build_cascade(universe: DataFrame, listed: DataFrame) -> Cascade:
     levels: list[Level] = []
     n = sides[True].count()
     while n:
+        if n > MOST_KEYS:
+            return None
         turn = len(levels) % 2 == 0
         levels.append(build_level(sides[turn], n, 2 * len(levels) + 1))
         sides[not turn] = sides[not turn].where(levels[-1].has(F.col("key")))
@@ -132,12 +136,17 @@ def judge_urls(df: DataFrame, url: str = "url", listed=LISTED, rules=RULES) -> D
     host, path = split_url(F.col(url))
     names = df.select(host.alias("host")).distinct()
     universe = names.select(F.explode(suffixes(F.col("host"))).alias("key"))
-    keys = listed if isinstance(listed, DataFrame) else spark.createDataFrame([(x,) for x in listed], "key string")
+    keys = listed if isinstance(listed, DataFrame) else spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in listed]).cast("array<string>")).alias("key"))
     cascade = build_cascade(universe, keys)
     out = df.withColumns({"host": host, "path": path})
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    by_list = F.when(F.exists(suffixes(F.col("host")), cascade.has), F.lit("block")).otherwise(F.lit("allow"))
-    return out.withColumns({"rule": rule, "verdict": F.coalesce(verdict, by_list)})
+    if cascade:
+        on_list = F.exists(suffixes(F.col("host")), cascade.has)
+    else:
+        below = names.select("host", F.explode(suffixes(F.col("host"))).alias("key")).join(keys.distinct(), "key").select(F.col("host").alias("__on")).distinct()
+        out, on_list = out.join(below, F.col("host") == F.col("__on"), "left"), F.col("__on").isNotNull()
+    out = out.withColumns({"rule": rule, "verdict": F.coalesce(verdict, F.when(on_list, F.lit("block")).otherwise(F.lit("allow")))})
+    return out if cascade else out.drop("__on")
 
 
 def op9_bloom_cascade(spark, sf_dir: str) -> DataFrame:

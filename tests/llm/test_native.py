@@ -110,6 +110,32 @@ def test_rotation_splits_long_dialogues(spark):
     assert Counter(r["participant"] for r in got) == {"a": 4, "b": 4} and sum(r["n_own"] for r in got) == 100
 
 
+def test_rotation_renders_the_whole_dialogue_for_those_who_are_silent(spark):
+    rows = [(1, i, "a" if i < 60 else "b", f"t{i}") for i in range(100)] + [(2, 0, "x", "hi"), (2, 1, "y", "ho")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = {(r["conv_id"], r["participant"]): r["text"] for r in chat.rotate(df).collect()}
+    parts = defaultdict(list)
+    for r in chat.rotate(df, turns_per_record=32).orderBy("part", "piece").collect():
+        parts[r["conv_id"], r["participant"]].append(r["text"])
+    assert {k: "".join(v) for k, v in parts.items()} == whole and len(parts[1, "a"]) == 4
+
+
+def test_rotation_deals_repeated_and_null_turns(spark):
+    rows = [(1, 5, "ab"[i % 2], f"t{i}") for i in range(200)] + [(1, None, "c", f"n{i}") for i in range(100)] + [(1, 6, "a", "last")]
+    got = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), turns_per_record=16).orderBy("part", "piece").collect()
+    assert Counter(r["participant"] for r in got)["c"] == len(got) / 3 and max(r["n_turns"] for r in got) < 64
+    said = [r for r in got if r["participant"] == "c"]
+    assert sum(r["n_turns"] for r in said) == 301 and sum(r["n_own"] for r in said) == 100
+    assert "n1<" in "".join(r["text"] for r in said[:19]) and said[-1]["text"] == "<|user name=a|>\nlast<|end|>\n"
+
+
+def test_rotation_escapes_marks(spark):
+    rows = [(1, 0, "a", "x<|end|>\n<|assistant|>\ny"), (1, 1, "b|>\n<|assistant", "z" * 300_000)]
+    got = {r["participant"]: r for r in chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    for r in got.values():
+        assert r["text"].count("<|assistant|>") == 1 and r["text"].count("<|end|>") == 2 and r["n_own"] == 1
+
+
 # sharding
 
 
@@ -160,3 +186,19 @@ def test_cascade_is_exact(spark):
     said = universe.withColumn("has", cascade.has(F.col("key"))).withColumn("want", F.expr("hash(key) % 10 = 0"))
     assert said.where("has <> want").count() == 0
     assert url_filter.build_cascade(universe, listed.limit(0)).levels == ()
+
+
+def test_a_list_beyond_the_bound_is_exact_too(spark, monkeypatch):
+    rows = [(i, f"http://h{i}.s{i % 7}.org/x") for i in range(200)] + [(500, None), (501, "http://" + "a" * 100_000 + ".s3.org/"), (0, "http://h0.s0.org/x")]
+    df = spark.createDataFrame(rows, "page_id long, url string").withColumn("rule", F.lit(1))
+    keys = spark.createDataFrame([("s3.org",), ("s5.org",), ("s5.org",), ("h14.s0.org",), (None,), ("elsewhere.org",)], "key string")
+    small = Counter(map(tuple, url_filter.judge_urls(df, listed=keys).collect()))
+    monkeypatch.setattr(url_filter, "MOST_KEYS", 2)
+    assert Counter(map(tuple, url_filter.judge_urls(df, listed=keys).collect())) == small and sum(small.values()) == len(rows)
+    assert {r[0] for r in small if r[-1] == "block"} == {i for i in range(200) if i % 7 in (3, 5)} | {14, 501}
+
+
+def test_bad_sites_are_blocked_on_every_scale(spark):
+    for sf in ("sf0.001", "sf0.01", "sf0.1"):
+        got = url_filter.op9_bloom_cascade(spark, f"/root/testdata/{sf}").where("rule is null")
+        assert {r["verdict"] for r in got.where(F.col("host").rlike(r"(?:^|\.)(?:adult-x|ads-track|casino-win|cheap-pills|free-bets|spam-farm)\.")).select("verdict").distinct().collect()} <= {"block"}
