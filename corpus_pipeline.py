@@ -28,11 +28,20 @@ def line_dedup_by_site(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that with the least id; repeated ids are one document, null ids all stay."""
+    """One document of each near-duplicate group, that with the least id; rows without an id all stay.
+
+    Rows of one id are one document, and go or stay together; of those that stay, equal texts become one row.
+    """
+    scratch = Scratch(spark, "near-dedup")
     judged = near_dup.near_duplicates(docs, shingle=5, percent=80)
-    stay = judged.where("kept and doc_id is not null").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    gone = scratch.save(judged.where("not kept").select("doc_id").distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= near_dup.BROADCAST_IDS else gone
+    # Few ids repeat; only their rows are shuffled to be compared.
+    twice = scratch.save(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "twice")
+    twice = F.broadcast(twice) if twice.count() <= near_dup.BROADCAST_IDS else twice
+    stay = docs.join(gone, "doc_id", "left_anti")
+    repeated = stay.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return stay.join(twice, "doc_id", "left_anti").unionByName(repeated).select(*docs.columns)
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
