@@ -137,6 +137,11 @@ def parse_mail_date(text: Column) -> Column:
     return F.coalesce(*tried, found)
 
 
+def header_date(raw: Column) -> Column:
+    """The first ``Date:`` line of a raw message as a timestamp."""
+    return parse_mail_date(F.nullif(F.trim(F.regexp_extract(raw, r"(?mi)^Date:[ \t]*([^\r\n]*)", 1)), F.lit("")))
+
+
 def year_month(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM")
 

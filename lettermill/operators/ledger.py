@@ -83,6 +83,40 @@ def gauges(samples: DataFrame) -> DataFrame:
     return samples.groupBy("name").agg(F.count("*").alias("counter"), F.max_by("value", "ts").alias("gauge"))
 
 
+#: The states of a fetch, and those that each may turn into.
+TRANSITIONS = {"pending": ("in_progress", "failed"), "in_progress": ("in_progress", "completed", "failed", "interrupted"), "interrupted": ("in_progress", "failed"), "failed": (), "completed": ()}
+RESUMABLE = ("interrupted", "in_progress")
+
+
+def checkpoints(events: DataFrame) -> DataFrame:
+    """(sync_id, state, processed, total, seq, rejected) after all ``events`` (sync_id, seq, state, processed, total), in the order of seq.
+
+    Each sync starts as pending. A change that ``TRANSITIONS`` does not allow is counted as rejected and changes nothing. A sync's
+    events are one array: it reports every so many mails, so they are few.
+    """
+    row = F.struct("seq", "state", F.col("processed").cast("long").alias("processed"), F.col("total").cast("long").alias("total"))
+    allowed = F.create_map(*[x for k, v in TRANSITIONS.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))])
+    zero = F.struct(F.lit("pending").alias("state"), F.lit(0).cast("long").alias("processed"), F.lit(0).cast("long").alias("total"), F.lit(None).cast("long").alias("seq"), F.lit(0).cast("long").alias("rejected"))
+
+    def step(was: Column, e: Column) -> Column:
+        new = F.struct(e["state"].alias("state"), e["processed"].alias("processed"), e["total"].alias("total"), e["seq"].cast("long").alias("seq"), was["rejected"].alias("rejected"))
+        return F.when(F.coalesce(F.array_contains(allowed[was["state"]], e["state"]), F.lit(False)), new).otherwise(was.withField("rejected", was["rejected"] + 1))
+
+    out = events.groupBy("sync_id").agg(F.array_sort(F.collect_list(row)).alias("e"))
+    return out.select("sync_id", F.aggregate("e", zero, step).alias("r")).select("sync_id", "r.*")
+
+
+def resume_points(states: DataFrame) -> DataFrame:
+    """(sync_id, skip): where each resumable sync of ``checkpoints`` goes on."""
+    return states.where(F.col("state").isin(*RESUMABLE)).select("sync_id", F.col("processed").alias("skip"))
+
+
+def extraction_stats(log: DataFrame) -> DataFrame:
+    """One row: (total, extracted, failed, success_rate in percent) of a log with (error); 0 of nothing."""
+    out = log.agg(F.count("*").alias("total"), F.count_if(F.col("error").isNull()).alias("extracted"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+    return out.withColumn("success_rate", F.round(progress(F.col("extracted"), F.col("total")), 2))
+
+
 def progress(processed: Column, total: Column) -> Column:
     """Percent done; 0 of nothing."""
     return F.coalesce(F.try_divide(processed * 100.0, total), F.lit(0.0)).cast("double")

@@ -194,6 +194,45 @@ def change_labels(mail: DataFrame, add: list[str], remove: list[str], ids: DataF
     return j.withColumn("labels", F.when(F.col("__k").isNotNull(), new).otherwise(F.col("labels"))).drop("__k")
 
 
+def relabel(mail: DataFrame, changes: DataFrame, key: str = "gmail_id") -> DataFrame:
+    """Labels changed row by row: ``changes`` has (key, add, remove) with arrays, each key once; sorted, so that the result is defined."""
+    c = changes.select(F.col(key).alias("__k"), F.col("add").alias("__add"), F.col("remove").alias("__remove"))
+    none = F.array().cast("array<string>")
+    new = F.array_sort(F.array_except(F.array_union(F.coalesce("labels", none), F.coalesce("__add", none)), F.coalesce("__remove", none)))
+    j = mail.join(c, F.col(key) == F.col("__k"), "left")
+    return j.withColumn("labels", F.when(F.col("__k").isNotNull(), new).otherwise(F.col("labels"))).select(*mail.columns)
+
+
+def unprocessed(mail: DataFrame, column: str = "primary_category") -> DataFrame:
+    """Rows whose ``column`` is null, or empty text: those that a classifier or a plain-text pass has not seen yet."""
+    empty = F.col(column) == "" if dict(mail.dtypes)[column] == "string" else F.lit(False)
+    return mail.where(F.col(column).isNull() | empty)
+
+
+def write_back(mail: DataFrame, results: DataFrame, key: str = "gmail_id") -> DataFrame:
+    """``mail`` with the columns of ``results`` (each key once) set for the rows that it names; other rows keep theirs, or have null."""
+    made = [c for c in results.columns if c != key]
+    r = results.select(F.col(key).alias("__k"), *[F.col(c).alias(f"__{c}") for c in made])
+    j = mail.join(r, F.col(key) == F.col("__k"), "left")
+    value = lambda c: F.when(F.col("__k").isNotNull(), F.col(f"__{c}")).otherwise(F.col(c) if c in mail.columns else F.lit(None))
+    return j.withColumns({c: value(c) for c in made}).select(*mail.columns, *[c for c in made if c not in mail.columns])
+
+
+def deletion_plan(mail: DataFrame, where: Column, most: int | None = None, dry_run: bool = True, confirmed: bool = False, ask_from: int = 1000, key: str = "gmail_id") -> DataFrame:
+    """(key, action) of the mail that a deletion by predicate takes: at most ``most``, the least keys first.
+
+    ``action`` is would_delete in a dry run, else delete; needs_confirmation if more than ``ask_from`` mails are taken unconfirmed.
+    """
+    hit = mail.where(where).select(key).distinct()
+    hit = hit.orderBy(key).limit(most) if most is not None else hit
+    if dry_run:
+        return hit.withColumn("action", F.lit("would_delete"))
+    if confirmed:
+        return hit.withColumn("action", F.lit("delete"))
+    n = hit.agg(F.count("*")).scalar()
+    return hit.withColumn("action", F.when(n > ask_from, "needs_confirmation").otherwise("delete"))
+
+
 def high_water(mail: DataFrame, date: str = "date_received") -> DataFrame:
     """(high_water, after): the newest date, and the day from which mail is read again."""
     return mail.agg(F.max(date).alias("high_water")).withColumn("after", F.date_format("high_water", "yyyy/MM/dd"))

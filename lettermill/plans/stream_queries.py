@@ -1,28 +1,15 @@
 """Queries that run a stream over the event files to its end and read what it wrote."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from lettermill.plans.registry import Registry
+from lettermill.plans.scratch import shared_folder
 from lettermill.plans.views import SQL_EVENTS
 from lettermill.streaming import mail_stream
 
 Q = Registry()
 
 
-def _folder(spark) -> str:
-    """A folder that driver and executors share."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="lettermill-")
-    return f"{base}/stream-{uuid.uuid4().hex[:12]}"
-
-
 def _events(spark, d):
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     e = mail_stream.read_stream(spark, f"{d}/events.parque[t]", schema)
@@ -32,7 +19,7 @@ def _events(spark, d):
 
 def _run(spark, df, mode="complete"):
     """Complete results go to a table in memory by way of a written file, so that open windows are seen as well."""
-    folder = _folder(spark)
+    folder = shared_folder(spark, "stream")
     if mode == "append":
         mail_stream.write_available(df, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     else:

@@ -60,10 +60,38 @@ def html_to_markdown(page: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", text).strip()
 
 
+#: Headers that a damaged file may hold further down. Fixed values.
+KNOWN_HEADERS = ("Message-ID", "Subject", "From", "To", "Cc", "Bcc", "Date", "X-Gmail-ID", "X-Thread-ID", "X-Gmail-Labels", "Content-Type", "Content-Transfer-Encoding", "MIME-Version")
+_HEADER = re.compile(rb"^(" + b"|".join(re.escape(h.encode()) for h in KNOWN_HEADERS) + rb"):[ \t]*([^\r\n]*(?:\r?\n[ \t]+[^\r\n]+)*)", re.M | re.I)
+_BOUNDARY = re.compile(rb"boundary=\"?([^\";\r\n]+)", re.I)
+
+
+def repair_message(raw: bytes) -> bytes:
+    """A message whose headers lie behind other lines, with its headers in front and its body behind one blank line.
+
+    Known headers are gathered from the whole file up to its body, continuation lines with them; of repeated ones the last counts.
+    The body starts at the first line of the MIME boundary, else behind the last known header's next blank line.
+    """
+    found = {m[1].lower(): m for m in _HEADER.finditer(raw)}
+    mark = next((m[1] for m in [_BOUNDARY.search(h[2]) for h in found.values()] if m), None)
+    first_part = raw.find(b"--" + mark) if mark else -1
+    if first_part >= 0:
+        found = {m[1].lower(): m for m in _HEADER.finditer(raw, 0, first_part)}
+        body = first_part
+    else:
+        last = max((m.end() for m in found.values()), default=0)
+        gap = re.compile(rb"\r?\n[ \t]*\r?\n").search(raw, last)
+        body = gap.end() if gap else len(raw)
+    head = b"\r\n".join(m[1] + b": " + re.sub(rb"\r?\n[ \t]+", b" ", m[2]) for m in found.values())
+    return head + b"\r\n\r\n" + raw[body:]
+
+
 def parse_message(raw: bytes) -> dict:
     """Headers, plain text, HTML, and attachment flag of one message. A message that cannot be parsed gives ``error``."""
     try:
         m = email.message_from_bytes(raw or b"", policy=policy.default)
+        if raw and m["From"] is None and m["Subject"] is None and _HEADER.search(raw):
+            m = email.message_from_bytes(repair_message(raw), policy=policy.default)
         plain, pages, files = [], [], False
         for part in m.walk():
             if part.is_multipart():

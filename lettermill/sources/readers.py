@@ -44,7 +44,17 @@ def _parse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_eml(spark: SparkSession, path: str, glob: str = "*.eml") -> DataFrame:
     """EML files below ``path`` in the canonical schema, with ``to, cc, bcc, error``; the id comes from the header, else from the file name."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    return parse_eml(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path))
+
+
+def first_files(files: DataFrame, limit: int | None = None) -> DataFrame:
+    """Files in the order of their lower-case paths; the first ``limit`` if it is given."""
+    ordered = files.orderBy(F.lower("path"), "path")
+    return ordered if limit is None else ordered.limit(limit)
+
+
+def parse_eml(files: DataFrame) -> DataFrame:
+    """Mail of (path, content) rows; see ``read_eml``."""
     raw = files.select("path", "content").mapInPandas(_parse_files, _EML)
     raw = raw.withColumn("gmail_id", F.coalesce("gmail_id", text.message_id(F.col("source_file")), F.col("source_file")))
     return _with_extra(raw, ("to", "cc", "bcc", "error"))
@@ -63,7 +73,11 @@ def _table_value(page: Column, name: str) -> Column:
 
 def read_markdown(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
     """Markdown mails: a metadata table, then the body after ``## Email Content`` or ``## Message Content``, else after the first heading, else all."""
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob).withColumn("source_file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    return parse_markdown(spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob).withColumn("source_file", F.element_at(F.split(F.input_file_name(), "/"), -1)))
+
+
+def parse_markdown(files: DataFrame) -> DataFrame:
+    """Mail of (value, source_file) rows; see ``read_markdown``."""
     page = F.col("value")
     body = F.coalesce(
         F.when(page.rlike(r"(?m)^## (?:Email|Message) Content\s*$"), F.regexp_extract(page, r"(?ms)^## (?:Email|Message) Content\s*\n(.*)\z", 1)),
@@ -89,7 +103,11 @@ def read_directory(spark: SparkSession, path: str, first: str | None = None, las
 
 def read_monthly_json(spark: SparkSession, path: str, done: DataFrame | None = None) -> DataFrame:
     """Monthly envelopes ``{year_month, emails: [...]}`` as mail; months in ``done`` (year_month) are left out."""
-    files = spark.read.option("multiLine", "true").json(path)
+    return mail_of_envelopes(spark.read.option("multiLine", "true").json(path), done)
+
+
+def mail_of_envelopes(files: DataFrame, done: DataFrame | None = None) -> DataFrame:
+    """Mail of (year_month, emails) rows; see ``read_monthly_json``."""
     if done is not None:
         files = files.join(done.select("year_month").distinct(), "year_month", "left_anti")
     rows = files.select(F.explode("emails").alias("e")).select("e.*")
@@ -127,6 +145,16 @@ def decode_base64url(data: Column) -> Column:
     return F.coalesce(F.decode(F.try_to_binary(padded, F.lit("base64")), "UTF-8"), F.lit(""))
 
 
+def read_table(spark: SparkSession, url: str, table: str, key: str | None = None, parts: int = 8, **options: str) -> DataFrame:
+    """A database table over JDBC (its driver must be on the class path), in ``parts`` ranges of the number ``key`` if one is given."""
+    reader = spark.read.format("jdbc").options(url=url, **options)
+    if key is None:
+        return reader.option("dbtable", table).load()
+    least, most = reader.option("query", f"select min({key}) as a, max({key}) as b from {table}").load().first()
+    ranges = {"partitionColumn": key, "lowerBound": least or 0, "upperBound": (most or 0) + 1, "numPartitions": parts}
+    return reader.options(**ranges).option("dbtable", table).load()
+
+
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """Ids of a Parquet table, nulls left out; only that column is read."""
     return spark.read.parquet(path).select("gmail_id").na.drop()

@@ -10,7 +10,8 @@ class MailStore:
     """save, get, find, delete, count and exists over the newest snapshot below ``path``.
 
     Readers keep the snapshot they opened. A write that fails leaves the pointer, and so the table, as it was.
-    One writer at a time. Old snapshots are kept until ``vacuum``.
+    Of several rows of one id the newest counts: by history id, then date, then what they hold. One writer at a time. Old
+    snapshots are kept until ``vacuum``.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -36,16 +37,31 @@ class MailStore:
         self.spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("append").json(f"{self.path}/_versions")
         return version
 
+    def _newest(self, mail: DataFrame) -> DataFrame:
+        order = [c for c in ("history_id", "date_received") if c in mail.columns]
+        mail = mail.withColumn("__what", F.xxhash64(*mail.columns))
+        return store.dedup(mail, "gmail_id", [*order, "__what"], "last").drop("__what")
+
+    def vacuum(self, keep: int = 1) -> None:
+        """Remove all but the newest ``keep`` snapshots."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for version in range(1, (self._version() or 0) - max(keep, 1) + 1):
+            old = jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{version}")
+            old.getFileSystem(conf).delete(old, True)
+
     def create(self, mail: DataFrame) -> int:
         base = mail if "deleted_at" in mail.columns else mail.withColumn("deleted_at", F.lit(None).cast("timestamp_ntz"))
-        return self._write(store.dedup(base, "gmail_id", ["gmail_id"]))
+        return self._write(self._newest(base))
 
     def upsert(self, delta: DataFrame) -> int:
-        return self._write(store.upsert(self.read(), store.dedup(delta, "gmail_id", ["gmail_id"])).drop("merge_action"))
+        return self._write(store.upsert(self.read(), self._newest(delta)).drop("merge_action"))
 
     def delete(self, ids: DataFrame, at) -> int:
         return self._write(store.soft_delete(self.read(), ids, at))
 
+    def relabel(self, changes: DataFrame) -> int:
+        return self._write(store.relabel(self.read(), changes))
+
     def restore(self, ids: DataFrame) -> int:
         return self._write(store.restore(self.read(), ids))
 

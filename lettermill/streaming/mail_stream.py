@@ -47,22 +47,33 @@ def write_available(df: DataFrame, path: str, checkpoint: str, mode: str = "appe
 
 
 def sync_history(changes: DataFrame, store: MailStore, letters_path: str, checkpoint: str) -> StreamingQuery:
-    """Apply a stream of changes (gmail_id, history_id, type, subject, sender, body, error) to a mail store, batch by batch.
+    """Apply a stream of changes (gmail_id, history_id, type, subject, sender, body, error; ``labels`` for label changes) to a mail store, batch by batch.
 
-    Of each id the newest change of a batch counts. Failed changes (``error`` set) go to the dead letters. A batch that is
-    repeated after a crash changes nothing more: upserts and deletions are idempotent, letters are keyed by batch.
+    Types are added, deleted, label_added and label_removed. In a batch each kind counts for itself: of an id's additions the newest
+    gives the mail; the last of its additions and deletions says whether it lives; of each label the last change counts. Failed changes
+    (``error`` set) go to the dead letters. A batch that is repeated after a crash changes nothing more: letters are keyed by batch.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
         good = batch.where("error is null")
-        newest = good.groupBy("gmail_id").agg(F.max_by(F.struct(*batch.columns), "history_id").alias("r")).select("r.*")
-        adds = newest.where("type = 'added'").select("gmail_id", "subject", "sender", "body")
-        gone = newest.where("type = 'deleted'").select("gmail_id")
-        if not adds.isEmpty():
-            store.upsert(adds)
+        added = good.where("type = 'added'").groupBy("gmail_id").agg(F.max_by(F.struct("subject", "sender", "body"), "history_id").alias("r"))
+        last = good.where("type in ('added', 'deleted')").groupBy("gmail_id").agg(F.max_by("type", "history_id").alias("last"))
+        gone, back = last.where("last = 'deleted'"), last.where("last = 'added'")
+        if not added.isEmpty():
+            store.upsert(added.select("gmail_id", "r.*"))
+            store.restore(back)
         if not gone.isEmpty():
             store.delete(gone, F.localtimestamp())
+        if "labels" in batch.columns:
+            one = good.where("type in ('label_added', 'label_removed')").select("gmail_id", "history_id", "type", F.explode("labels").alias("label"))
+            one = one.groupBy("gmail_id", "label").agg(F.max_by("type", "history_id").alias("type"))
+            of = lambda kind: F.collect_set(F.when(F.col("type") == kind, F.col("label")))
+            changed = one.groupBy("gmail_id").agg(of("label_added").alias("add"), of("label_removed").alias("remove"))
+            if not changed.isEmpty():
+                store.relabel(changed)
         failed = batch.where("error is not null").select(F.col("gmail_id").alias("message_id"), F.col("error").alias("failure_type"), F.localtimestamp().alias("failed_at"))
         dead_letters(failed).write.mode("overwrite").json(f"{letters_path}/batch={number}")
+        batch.unpersist()
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

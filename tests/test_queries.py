@@ -19,7 +19,7 @@ def duck():
 
 
 def plain(v):
-    if v is None or v is pd.NaT or v != v:
+    if v is None or v is pd.NaT or v is pd.NA or v != v:
         return "~"
     if isinstance(v, float):
         return repr(round(v, 9) + 0.0)
