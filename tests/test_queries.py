@@ -22,7 +22,8 @@ def plain(v):
     if v is None or v is pd.NaT or v is pd.NA or v != v:
         return "~"
     if isinstance(v, float):
-        return repr(round(v, 9) + 0.0)
+        # A whole number in a column with nulls is a float in pandas.
+        return str(int(v)) if v.is_integer() else repr(round(v, 9) + 0.0)
     return pd.Timestamp(v).isoformat() if hasattr(v, "isoformat") else str(v)
 
 
