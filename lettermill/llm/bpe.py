@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from lettermill.llm.scratch import small_batches
 
 #: Words, and runs of words and marks, of one generation whose encodings a task remembers (see ``Recent``). Bounds memory, changes no result.
-REMEMBERED = 120_000
+REMEMBERED = 60_000
 #: Bytes of text that are held as Python strings at once.
 BATCH_BYTES = 1 << 19
 
