@@ -153,7 +153,7 @@ def header_dates(spark, d):
 def valid_inputs(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
     address = F.concat(F.when(F.col("user_id") % 3 == 0, "user ").otherwise("user"), F.col("user_id").cast("string"), F.lit("@example.com"))
-    day = F.when(F.col("event_id") % 2 == 0, "2024/02/29").otherwise("2023/13/01")
+    day = F.when(F.col("event_id") % 2 == 0, "2024/02/29").otherwise("29.02.2023")
     return e.select("event_id", text.valid_address(address).alias("address_ok"), text.valid_date(day).alias("date_ok"), markup.valid_integer(F.col("user_id").cast("string"), 1, 50).alias("size"))
 
 
