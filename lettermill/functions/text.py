@@ -125,7 +125,7 @@ def markdown_to_plain(text: Column) -> Column:
     return F.regexp_replace(out, r"^\s+|\s+$", "")
 
 
-_MAIL_DATES = ["d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "d MMM yyyy", "MM/dd/yyyy", "dd.MM.yyyy"]
+_MAIL_DATES = ["d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "d MMM yyyy", "MM/dd/yyyy", "dd.MM.yyyy", "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"]
 
 
 def parse_mail_date(text: Column) -> Column:
