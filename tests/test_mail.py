@@ -154,3 +154,15 @@ def test_mail_query(spark):
     assert ids("is:unread OR larger:10M") == ["1", "2"] and ids("newer_than:7d") == ["2"] and ids("(from:ann OR from:shop) before:2024/02/01") == ["1"]
     with pytest.raises(ValueError):
         search.mail_query("rfc:1")
+
+
+def test_mail_query_operators_and_groups(spark):
+    rows = [("1", "Bob <b@x>", "inv.pdf", "<id1@x>", ["INBOX", "circle_pals"], "see https://drive.google.com/x"), ("2", "Cy <c@x>", None, "id2@x", ["category_promo"], "hello")]
+    df = spark.createDataFrame(rows, "gmail_id string, to string, attachments string, message_id string, labels array<string>, body string")
+    df = df.withColumns({"subject": F.lit("s"), "sender": F.lit("z"), "cc": F.lit("cc@x"), "bcc": F.lit(None).cast("string"), "delivered_to": F.col("to")})
+    ids = lambda q: "".join(r["gmail_id"] for r in df.where(search.mail_query(q)).select("gmail_id").orderBy("gmail_id").collect())
+    assert ids("to:bob") == ids("filename:pdf") == ids("rfc822msgid:id1@x") == ids("has:drive") == ids("circle:pals") == "1"
+    assert ids("{to:bob to:cy}") == ids("in:anywhere") == "12" and ids("to:(bob OR cy) -has:drive") == "2" and ids("cc:cc -{circle:pals category:promo}") == ids("bcc:x") == ""
+    for bad in ("(a", "a)", "foo:1", "newer_than:xx"):
+        with pytest.raises(ValueError):
+            search.mail_query(bad)
