@@ -63,19 +63,37 @@ def checkpoint_stats(checkpoints: DataFrame, resumable=("interrupted", "in_progr
     return checkpoints.groupBy("state").agg(F.count("*").alias("n"), F.count_if(F.col("state").isin(*resumable)).alias("resumable"), F.round(F.avg(progress), 3).alias("mean_progress"))
 
 
+#: Ranks of a histogram: name, share, and the least number of samples that it needs (with fewer it is the largest value).
+RANKS = (("p50", 0.5, 0), ("p95", 0.95, 20), ("p99", 0.99, 100))
+#: The quantile sketch errs by 1 / SKETCH of the samples at most; bounds are taken MARGIN (five times that) to both sides of a rank.
+SKETCH, MARGIN = 10_000, 5e-4
+
+
 def histograms(samples: DataFrame) -> DataFrame:
     """(name, n, total, least, most, p50, p95, p99) by nearest rank: value number n/2, 0.95 n if n > 20, 0.99 n if n > 100, else the largest.
 
-    percentile() interpolates, so the ranks are asked for at exact positions (i / (n - 1)), where it does not.
+    A sketch gives two values around each rank. The samples below them are counted; only those between (a thousandth, and
+    repeats of one value as one row) are ordered, so no metric's samples are sorted in one task. Null values are counted in ``n`` and come first.
     """
+    shares = [p for _, share, _ in RANKS for p in (share - MARGIN, share + MARGIN)]
     counted = samples.groupBy("name").agg(
-        F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"), F.min("value").alias("least"), F.max("value").alias("most"))
-    ranked = samples.select("name", "value", (F.row_number().over(Window.partitionBy("name").orderBy("value")) - 1).alias("i"))
-    at = lambda share, least: F.when(F.col("n") > least, F.floor(F.col("n") * F.lit(share))).otherwise(F.col("n") - 1)
-    j = ranked.join(counted, "name")
-    pick = lambda pos: F.max(F.when(F.col("i") == pos, F.col("value")))
-    got = j.groupBy("name").agg(pick(F.floor(F.col("n") / 2)).alias("p50"), pick(at(0.95, 20)).alias("p95"), pick(at(0.99, 100)).alias("p99"))
-    return counted.join(got, "name")
+        F.count("*").alias("n"), F.count_if(F.col("value").isNull()).alias("nulls"), F.round(F.sum("value"), 6).alias("total"), F.min("value").alias("least"), F.max("value").alias("most"),
+        F.percentile_approx("value", shares, SKETCH).alias("around"))
+    near = counted.select(F.col("name").alias("__name"), "n", "nulls", "around")
+    rows = samples.where("value is not null").join(near, F.col("name").eqNullSafe(F.col("__name"))).drop("__name")
+    # One row per rank that a sample is below or near; those below only add to a count.
+    low, high = (lambda k: F.col("around")[2 * k]), (lambda k: F.col("around")[2 * k + 1])
+    each = [F.when(F.col("value") <= high(k), F.struct(F.lit(k).alias("k"), F.when(F.col("value") >= low(k), F.col("value")).alias("at"))) for k in range(len(RANKS))]
+    values = rows.select("name", "n", "nulls", F.explode(F.array_compact(F.array(*each))).alias("e")).groupBy("name", "n", "nulls", "e.k", "e.at").agg(F.count("*").alias("m"))
+    # Those below come first: they are the null.
+    upto = F.col("nulls") + F.sum("m").over(Window.partitionBy("name", "k").orderBy(F.asc_nulls_first("at")))
+    position = F.lit(None).cast("long")
+    for k, (_, share, _) in enumerate(RANKS):
+        position = F.when(F.col("k") == k, F.floor(F.col("n") * F.lit(share)).cast("long")).otherwise(position)
+    got = values.withColumn("upto", upto).where(F.col("upto") > position).groupBy(F.col("name").alias("__name")).agg(*[F.min(F.when(F.col("k") == k, F.col("at"))).alias(rank) for k, (rank, _, _) in enumerate(RANKS)])
+    j = counted.join(got, F.col("name").eqNullSafe(F.col("__name")), "left")
+    pick = lambda rank, share, least: F.when(F.floor(F.col("n") * F.lit(share)) < F.col("nulls"), F.lit(None)).when(F.col("n") > least, F.col(rank)).otherwise(F.col("most")).alias(rank)
+    return j.select("name", "n", "total", "least", "most", *[pick(*r) for r in RANKS])
 
 
 def gauges(samples: DataFrame) -> DataFrame:

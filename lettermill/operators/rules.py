@@ -60,15 +60,20 @@ def classify(df: DataFrame, rules: list[Rule] | None = None, cap: bool = True, s
     # The text is lower-cased once, in a projection of its own.
     df = df.withColumns({"__text": mail_text(subject, body), "__from": F.lower(F.coalesce(F.col(sender), F.lit("")))})
     text, who = F.col("__text"), F.col("__from")
+    # The winner is a column of its own, so that each rule is tried once and only the winner's patterns are counted.
+    winner = F.lit(-1)
+    for i, r in reversed(list(enumerate(rules))):
+        winner = F.when(any_of(text, r.keywords) | any_match(who, r.senders), i).otherwise(winner)
+    df = df.withColumn("__rule", winner)
     category, confidence = F.lit("Other"), F.lit(0.5).cast("double")
-    for r in reversed(rules):
-        fits = any_of(text, r.keywords) | any_match(who, r.senders)
+    for i, r in enumerate(rules):
         total = len(r.keywords) + len(r.senders)
         score = F.lit(0.7).cast("double") + F.lit(0.3).cast("double") * F.least((hits(text, r.keywords) + matches(who, r.senders)) / F.lit(float(total)), F.lit(1.0).cast("double"))
         score = F.least(score, F.lit(float(r.threshold))) if cap else score
-        category = F.when(fits, F.lit(r.name)).otherwise(category)
-        confidence = F.when(fits, F.round(score, 3)).otherwise(confidence)
-    return df.withColumns({"category": category, "confidence": confidence, "is_automated": automated(who, F.coalesce(F.col(subject), F.lit("")))}).drop("__text", "__from")
+        wins = F.col("__rule") == i
+        category = F.when(wins, F.lit(r.name)).otherwise(category)
+        confidence = F.when(wins, F.round(score, 3)).otherwise(confidence)
+    return df.withColumns({"category": category, "confidence": confidence, "is_automated": automated(who, F.coalesce(F.col(subject), F.lit("")))}).drop("__text", "__from", "__rule")
 
 
 def automated(sender: Column, subject: Column) -> Column:
@@ -123,7 +128,8 @@ def three_signals(df: DataFrame, subject: str = "subject", body: str = "body", s
     unsubscribe = text.contains("unsubscribe")
     automation = F.least(hits(text, packs.AUTOMATION_INDICATORS) * F.lit(0.2).cast("double"), F.lit(1.0).cast("double"))
     # A fold over each word list: one small expression, where a sum of all words would outgrow a generated method.
-    count = lambda acc, w: acc + F.floor((F.length(text) - F.length(F.replace(text, w, F.lit("")))) / F.length(w))
+    # Bytes are counted, since their number is known and that of characters is not.
+    count = lambda acc, w: acc + F.floor((F.octet_length(text) - F.octet_length(F.replace(text, w, F.lit("")))) / F.octet_length(w))
     scores = {d: F.aggregate(F.array(*[F.lit(w) for w in words]), F.lit(0).cast("long"), count) for d, words in packs.DOMAIN_KEYWORDS.items()}
     df = df.withColumn("__scores", F.array(*[s.cast("int") for s in scores.values()]))
     best = F.array_max("__scores")

@@ -174,11 +174,16 @@ def quality_counts(df: DataFrame) -> DataFrame:
 
 def retain(df: DataFrame, group: str, order: str, keep: dict[str, int]) -> DataFrame:
     """The newest ``keep[state]`` rows of each state; states that are not named stay whole."""
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(order)))
+    if not keep:
+        return df
     limit = F.lit(None).cast("int")
     for state, n in keep.items():
         limit = F.when(F.col(group) == state, n).otherwise(limit)
-    return df.withColumn("__r", rank).where(limit.isNull() | (F.col("__r") <= limit)).drop("__r")
+    # Only limited states are ranked, and the largest limit as a constant lets each task drop most rows before the shuffle.
+    limited = F.coalesce(F.col(group).isin(*keep), F.lit(False))
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(order)))
+    newest = df.where(limited).withColumn("__r", rank).where(F.col("__r") <= max(keep.values())).where(F.col("__r") <= limit).drop("__r")
+    return newest.unionByName(df.where(~limited))
 
 
 def latest(df: DataFrame, key: str, order: str) -> DataFrame:
