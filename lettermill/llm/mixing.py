@@ -90,37 +90,37 @@ def mix_sources(df: DataFrame, mix: Mix = MIX, key: str = "doc_id", text: str =
     rows at most), and only the one bucket in which a leaf's budget ends is ordered document by document.
     """
     scratch = Scratch(df.sparkSession, "mix")
+    by = ["domain", "__lang", "__source"]
     rows = df.withColumns({"domain": domain_of(F.coalesce("source", F.lit(""))), "n_tokens": n_words(F.col(text)), "__lang": F.coalesce("lang", F.lit("")), "__source": F.coalesce("source", F.lit(""))})
-    leaf = ["domain", "lang", "source"]
-    sums = rows.where("n_tokens > 0").groupBy("domain", F.col("__lang").alias("lang"), F.col("__source").alias("source")).agg(F.sum("n_tokens").alias("tokens"))
+    tie = F.md5(F.coalesce(F.col(text), F.lit("")))
+    name = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("null:"), tie))
+    # Texts are read twice: here for what the budgets need of them (some 100 bytes a row), and for the result.
+    facts = scratch.save(rows.where("n_tokens > 0").select(*by, "n_tokens", name.alias("__name"), tie.alias("__tie")), "facts")
+    sums = facts.groupBy("domain", F.col("__lang").alias("lang"), F.col("__source").alias("source")).agg(F.sum("n_tokens").alias("tokens"))
     plan = budgets(sums, mix)
     plan = plan.withColumns({"full": F.floor(F.col("budget") / F.col("tokens")).cast("int")})
     plan = plan.withColumn("rest", F.col("budget") - F.col("full") * F.col("tokens"))
-    plan = scratch.save(plan, "plan").select("domain", F.col("lang").alias("__lang"), F.col("source").alias("__source"), "full", "rest")
-    rows = rows.join(plan, ["domain", "__lang", "__source"], "left")
-    order = F.md5(F.concat_ws(":", F.lit(mix.seed), F.col("full").cast("string"), F.coalesce(F.col(key).cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(F.col(text), F.lit("")))))))
-    rows = rows.withColumns({"__order": order, "__tie": F.md5(F.coalesce(F.col(text), F.lit("")))})
-    rows = rows.withColumn("__bucket", (F.conv(F.substring("__order", 1, 8), 16, 10).cast("long") / F.lit(2**32 / buckets)).cast("int"))
-    by = ["domain", "__lang", "__source"]
-    slim = rows.where("n_tokens > 0").select(*by, "rest", "__bucket", "n_tokens")
-    totals = slim.groupBy(*by, "__bucket").agg(F.sum("n_tokens").alias("__in"), F.first("rest").alias("__rest"))
+    plan = scratch.save(plan, "plan").select("domain", F.col("lang").alias("__lang"), F.col("source").alias("__source"), F.col("full").alias("__full"), F.col("rest").alias("__rest"))
+    order = lambda of: F.md5(F.concat_ws(":", F.lit(mix.seed), F.col("__full").cast("string"), of))
+    bucket = (F.conv(F.substring("__order", 1, 8), 16, 10).cast("long") / F.lit(2**32 / buckets)).cast("int")
+    facts = facts.join(plan, by).withColumn("__order", order(F.col("__name"))).withColumn("__bucket", bucket)
+    totals = facts.groupBy(*by, "__bucket").agg(F.sum("n_tokens").alias("__in"), F.first("__rest").alias("__rest"))
     before = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("__before", F.coalesce(F.sum("__in").over(before), F.lit(0)))
     # The bucket where a leaf's prefix ends, and how much of the prefix is left on entering it: one row per leaf.
     ends = totals.where((F.col("__before") <= F.col("__rest")) & (F.col("__before") + F.col("__in") > F.col("__rest"))).select(*by, F.col("__bucket").alias("__end"), (F.col("__rest") - F.col("__before")).alias("__left"))
     ends = scratch.save(ends, "ends")
-    rows = rows.join(ends, by, "left")
-    inside = F.col("__bucket") == F.col("__end")
-    last = rows.where(inside & (F.col("n_tokens") > 0)).select(*by, "__bucket", "__left", "n_tokens", "__order", "__tie")
+    last = facts.join(ends, by).where(F.col("__bucket") == F.col("__end")).select(*by, "__bucket", "__left", "n_tokens", "__order", "__tie")
     run = F.sum("n_tokens").over(Window.partitionBy(*by, "__bucket").orderBy("__order", "__tie").rowsBetween(Window.unboundedPreceding, 0))
     # The first document over the budget ends the prefix, even if a later one would fit.
     stop = last.withColumn("__run", run).where(F.col("__run") > F.col("__left")).groupBy(*by).agg(F.min(F.struct("__order", "__tie")).alias("__stop"))
-    stop = scratch.save(stop, "stop")
-    rows = rows.join(stop, by, "left")
+    # All that the result needs of a leaf is one row of it.
+    leaves = scratch.save(plan.join(ends.drop("__left"), by, "left").join(stop, by, "left"), "leaves")
+    rows = rows.join(leaves, by, "left").withColumn("__order", order(name)).withColumn("__bucket", bucket)
     # No end: the prefix takes all (its budget is at least the leaf's tokens, or it is read in full only).
-    more = (F.col("__bucket") < F.col("__end")) | (inside & (F.struct("__order", "__tie") < F.col("__stop")))
-    copies = F.when(F.col("n_tokens") > 0, F.col("full") + F.when(more & (F.col("rest") > 0), 1).otherwise(0)).otherwise(0)
-    return rows.withColumn("copies", F.coalesce(copies, F.lit(0)).cast("int")).drop("__lang", "__source", "full", "rest", "__order", "__tie", "__bucket", "__end", "__left", "__stop")
+    more = (F.col("__bucket") < F.col("__end")) | ((F.col("__bucket") == F.col("__end")) & (F.struct(F.col("__order"), tie.alias("__tie")) < F.col("__stop")))
+    copies = F.when(F.col("n_tokens") > 0, F.col("__full") + F.when(more & (F.col("__rest") > 0), 1).otherwise(0)).otherwise(0)
+    return rows.withColumn("copies", F.coalesce(copies, F.lit(0)).cast("int")).drop("__lang", "__source", "__full", "__rest", "__order", "__bucket", "__end", "__stop")
 
 
 def mixture(df: DataFrame, mix: Mix = MIX) -> DataFrame:
