@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lettermill.functions import markup
-from lettermill.operators import ledger
+from lettermill.operators import ledger, rules, store
 from lettermill.sources.mime import best_body, html_to_markdown, parse_message
 from lettermill.streaming.lockout import lockouts
 
@@ -61,3 +61,31 @@ def test_lockout_stream_keeps_state_between_batches(spark, tmp_path):
         q.awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).select("client", F.unix_timestamp("locked_at").alias("s"), F.unix_timestamp("until").alias("u")).collect()
     assert [tuple(r) for r in got] == [("a", 40, 940)]
+
+
+def test_histograms_by_nearest_rank(spark):
+    # Sizes around the bounds, one value repeated, a heavy tail, nulls, and a metric without a name.
+    metrics = {"one": [3.5], "few": [float(i) for i in range(20)], "more": [float(i % 7) for i in range(21)], "hundred": [float(-i) for i in range(100)], "tail": [2.0**i for i in range(101)] + [1.0] * 500,
+               "same": [1.0] * 300, "nulls": [None] * 60 + [5.0, 4.0], "void": [None] * 3, None: [float(i * 37 % 5000) for i in range(5000)]}
+    rows = [(name, v) for name, values in metrics.items() for v in values]
+    got = {r["name"]: r for r in ledger.histograms(spark.createDataFrame(rows, "name string, value double").repartition(5)).collect()}
+    assert got.keys() == metrics.keys()
+    for name, values in metrics.items():
+        s, n = sorted(values, key=lambda v: (v is not None, v)), len(values)
+        r = got[name]
+        assert (r["n"], r["most"]) == (n, s[-1])
+        assert (r["p50"], r["p95"], r["p99"]) == (s[n // 2], s[int(n * 0.95) if n > 20 else n - 1], s[int(n * 0.99) if n > 100 else n - 1]), name
+
+
+def test_retention_keeps_the_newest_of_limited_states(spark):
+    df = spark.createDataFrame([(s, i) for i in range(30) for s in ("a", "b", "c", None)], "state string, at int")
+    got = store.retain(df, "state", "at", {"a": 2, "b": 5}).groupBy("state").agg(F.count("*").alias("n"), F.min("at").alias("least")).collect()
+    assert {r["state"]: (r["n"], r["least"]) for r in got} == {"a": (2, 28), "b": (5, 25), "c": (30, 0), None: (30, 0)}
+    assert store.retain(df, "state", "at", {}).count() == 120
+
+
+def test_classification_counts_the_winning_rule_only(spark):
+    rules_ = [rules.Rule("x", 1, ("é", "bb"), (), 0.99), rules.Rule("y", 2, ("bb", "cc"), ("@z",), 0.99)]
+    df = spark.createDataFrame([(1, "É bb", None, "q"), (2, "cc", None, "a@z"), (3, None, None, None)], "id int, subject string, body string, sender string")
+    got = {r["id"]: (r["category"], r["confidence"]) for r in rules.classify(df, rules_).collect()}
+    assert got == {1: ("x", 0.99), 2: ("y", 0.9), 3: ("Other", 0.5)}
