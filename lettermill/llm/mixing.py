@@ -83,7 +83,7 @@ def mix_sources(df: DataFrame, mix: Mix = MIX, key: str = "doc_id", text: str =
     - Tokens are words ``[^\\x20\\x09-\\x0D]+`` of the whole text; null and empty texts have none and are never read.
     - Null ``lang`` and ``source`` are leaves of their own, under the empty name.
     - The order in an epoch is by md5(seed:epoch:key), for a null key by that of the text, then md5 of the text; a leaf's prefix ends before the first
-      document that would pass its budget. Rows equal in key and text are interchangeable.
+      document that would pass its budget. Rows equal in key and text have one place in the order: the budget holds all of them, or they end it.
     - ``copies`` is at most ``max_epochs``. Columns named like those made are replaced, others kept. Empty table: no rows.
 
     The running total of a leaf is never one task's work: bucket totals come from an aggregate (leaves x buckets
@@ -161,7 +161,7 @@ fg AS (SELECT lf.*, lb.lang_budget FROM lf JOIN lb USING (domain, l)),
 fb AS ({_sql_share('fg', 'domain, l', 'lang_budget', 'budget')}),
 pl AS (SELECT domain, l, s, CAST(floor(budget + 1e-6) AS BIGINT) // tokens AS whole, CAST(floor(budget + 1e-6) AS BIGINT) % tokens AS rest FROM fb),
 r AS (SELECT d.*, pl.whole, pl.rest, sum(n) OVER (PARTITION BY d.domain, d.l, d.s ORDER BY md5('{MIX.seed}:' || pl.whole || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(text))), md5(text)
-             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
+             RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
       FROM d JOIN pl USING (domain, l, s) WHERE n > 0)
 SELECT doc_id, domain, lang, source, n AS n_tokens, CAST(whole + CASE WHEN run <= rest THEN 1 ELSE 0 END AS INTEGER) AS copies FROM r
 UNION ALL SELECT doc_id, domain, lang, source, n, 0 FROM d WHERE n = 0

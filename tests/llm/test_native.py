@@ -1,5 +1,6 @@
 """Line dedup, mixing, chat formatting, sharding and URL filters: edge cases, and no Python in their plans."""
 
+import hashlib
 from collections import Counter, defaultdict
 
 import pytest
@@ -87,6 +88,26 @@ def test_mixing_reads_whole_epochs_and_a_prefix(spark):
     assert mixing.mixture(df, mix).count() == sum(r["copies"] for r in got) and mixing.mixture(df, mix).columns == df.columns
 
 
+def test_mixing_prefix_against_a_plain_walk(spark):
+    # Two leaves; one key holds many rows, some equal in text too, and columns are named like those of the budgets.
+    rows = [(7 if i % 3 else i, "w " * (i % 5 + 1), "en", "src0") for i in range(300)] + [(None, "x y", "de", "src9")] * 40
+    df = docs(spark, rows).withColumns({"full": F.lit(1), "rest": F.lit("r"), "domain": F.lit("d")})
+    mix = mixing.Mix(total=0.7, max_epochs=2)
+    got = Counter((r["doc_id"], r["text"], r["copies"]) for r in mixing.mix_sources(df, mix, buckets=8).collect())
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    tokens = {s: sum(len(t.split()) for _, t, _, x in rows if x == s) for s in ("src0", "src9")}
+    leaves = spark.createDataFrame([("web", "en", "src0", tokens["src0"]), ("forum", "de", "src9", tokens["src9"])], "domain string, lang string, source string, tokens long")
+    want = Counter()
+    for leaf in mixing.budgets(leaves, mix).collect():
+        full, left = divmod(leaf["budget"], leaf["tokens"])
+        mine = [(md5(f"{mix.seed}:{full}:{f'null:{md5(t)}' if k is None else k}"), md5(t), k, t) for k, t, _, x in rows if x == leaf["source"]]
+        for (_, _, k, t), n in sorted(Counter(mine).items(), key=lambda m: m[0][:2]):
+            left = left - n * len(t.split()) if left >= 0 else -1
+            want[(k, t, full + (left >= 0))] += n
+    assert got == want
+    assert {"full", "rest"} <= set(mixing.mix_sources(df, mix).columns)
+
+
 # chat
 
 
