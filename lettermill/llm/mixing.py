@@ -29,6 +29,8 @@ class Mix:
 MIX = Mix()
 #: Hash buckets of a leaf's epoch order: running totals are taken within a bucket, never over a whole leaf.
 BUCKETS = 4096
+#: Neighbouring buckets of one span: running totals go over a leaf's spans first, then over the buckets of one of them.
+SPAN = 64
 
 
 def domain_of(source: Column) -> Column:
@@ -87,7 +89,8 @@ def mix_sources(df: DataFrame, mix: Mix = MIX, key: str = "doc_id", text: str =
     - ``copies`` is at most ``max_epochs``. Columns named like those made are replaced, others kept. Empty table: no rows.
 
     The running total of a leaf is never one task's work: bucket totals come from an aggregate (leaves x buckets
-    rows at most), and only the one bucket in which a leaf's budget ends is ordered document by document.
+    rows at most), added up by spans of buckets first, and only the one bucket in which a leaf's budget ends is ordered
+    document by document.
     """
     scratch = Scratch(df.sparkSession, "mix")
     by = ["domain", "__lang", "__source"]
@@ -104,11 +107,14 @@ def mix_sources(df: DataFrame, mix: Mix = MIX, key: str = "doc_id", text: str =
     order = lambda of: F.md5(F.concat_ws(":", F.lit(mix.seed), F.col("__full").cast("string"), of))
     bucket = (F.conv(F.substring("__order", 1, 8), 16, 10).cast("long") / F.lit(2**32 / buckets)).cast("int")
     facts = facts.join(plan, by).withColumn("__order", order(F.col("__name"))).withColumn("__bucket", bucket)
-    totals = facts.groupBy(*by, "__bucket").agg(F.sum("n_tokens").alias("__in"), F.first("__rest").alias("__rest"))
-    before = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("__before", F.coalesce(F.sum("__in").over(before), F.lit(0)))
+    totals = facts.groupBy(*by, "__bucket", (F.col("__bucket") / SPAN).cast("int").alias("__span")).agg(F.sum("n_tokens").alias("__in"), F.first("__rest").alias("__rest"))
+    ends_here = lambda ahead, own: (ahead <= F.col("__rest")) & (ahead + own > F.col("__rest"))
+    so_far = lambda of, by, order: F.coalesce(F.sum(of).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = totals.groupBy(*by, "__span").agg(F.sum("__in").alias("__of"), F.first("__rest").alias("__rest")).withColumn("__ahead", so_far("__of", by, "__span"))
+    spans = spans.where(ends_here(F.col("__ahead"), F.col("__of"))).select(*by, "__span", "__ahead")
+    totals = totals.join(spans, [*by, "__span"]).withColumn("__before", F.col("__ahead") + so_far("__in", [*by, "__span"], "__bucket"))
     # The bucket where a leaf's prefix ends, and how much of the prefix is left on entering it: one row per leaf.
-    ends = totals.where((F.col("__before") <= F.col("__rest")) & (F.col("__before") + F.col("__in") > F.col("__rest"))).select(*by, F.col("__bucket").alias("__end"), (F.col("__rest") - F.col("__before")).alias("__left"))
+    ends = totals.where(ends_here(F.col("__before"), F.col("__in"))).select(*by, F.col("__bucket").alias("__end"), (F.col("__rest") - F.col("__before")).alias("__left"))
     ends = scratch.save(ends, "ends")
     last = facts.join(ends, by).where(F.col("__bucket") == F.col("__end")).select(*by, "__bucket", "__left", "n_tokens", "__order", "__tie")
     run = F.sum("n_tokens").over(Window.partitionBy(*by, "__bucket").orderBy("__order", "__tie").rowsBetween(Window.unboundedPreceding, 0))
