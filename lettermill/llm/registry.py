@@ -1,7 +1,7 @@
 """Queries and DuckDB SQL of this subpackage, for the entry module."""
 
 import corpus_pipeline
-from lettermill.llm import bpe, chat, embedding, html_extract, line_dedup, mixing, near_dup, quality, sharding, url_filter
+from lettermill.llm import bpe, chat, divergence, embedding, html_extract, line_dedup, mixing, near_dup, quality, sharding, suffix_dedup, url_filter, vector_codes
 
 QUERIES = {
     "op1_site_line_dedup": line_dedup.op1_site_line_dedup,
@@ -14,6 +14,9 @@ QUERIES = {
     "op8_lsh_forest": near_dup.op8_lsh_forest,
     "op9_bloom_cascade": url_filter.op9_bloom_cascade,
     "op10_template_extraction": html_extract.op10_template_extraction,
+    "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_suffix_dedup": suffix_dedup.op13_suffix_dedup,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {
@@ -22,5 +25,8 @@ ORACLE_SQL = {
     "op6_perspective_rotation": chat.OP6_SQL,
     "op7_rendezvous_sharding": sharding.OP7_SQL,
     "op9_bloom_cascade": url_filter.OP9_SQL,
+    "op11_source_divergence": divergence.OP11_SQL,
+    "op12_vector_codes": vector_codes.OP12_SQL,
+    "op13_suffix_dedup": suffix_dedup.OP13_SQL,
     "pipeline": corpus_pipeline.ORACLE_SQL,
 }
