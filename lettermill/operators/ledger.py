@@ -17,6 +17,25 @@ def dead_letters(failures: DataFrame) -> DataFrame:
     return out.withColumn("next_retry", next_retry(F.col("last_failure"), F.col("attempts"), most=MOST_ATTEMPTS).cast("timestamp_ntz"))
 
 
+def add_attempts(letters: DataFrame, failures: DataFrame) -> DataFrame:
+    """Letters after a batch of failures (message_id, failure_type, n, first, last, said), one row a letter: an open letter's attempts add up, others are opened.
+
+    ``letters`` has the columns of ``sources.snapshots.LETTERS``. With the last attempt ``next_retry`` is null.
+    """
+    open_, closed = letters.where(~F.col("resolved")), letters.where("resolved")
+    f = failures.select(F.col("message_id").alias("__id"), F.col("failure_type").alias("__kind"), "n", "first", "last", "said")
+    j = open_.join(f, F.col("message_id").eqNullSafe(F.col("__id")) & F.col("failure_type").eqNullSafe(F.col("__kind")), "full")
+    was, failed = F.col("resolved").isNotNull(), F.col("n").isNotNull()
+    attempts = F.coalesce("attempts", F.lit(0)) + F.coalesce("n", F.lit(0))
+    last = F.greatest("last_failure", "last")
+    merged = j.select(
+        F.when(was, F.col("message_id")).otherwise(F.col("__id")).alias("message_id"), F.when(was, F.col("failure_type")).otherwise(F.col("__kind")).alias("failure_type"), F.coalesce("said", "error").alias("error"), attempts.alias("attempts"),
+        F.least("first_failure", "first").alias("first_failure"), last.alias("last_failure"),
+        F.when(failed, next_retry(last, attempts.cast("int"), most=MOST_ATTEMPTS).cast("timestamp_ntz")).otherwise(F.col("next_retry")).alias("next_retry"),
+        F.lit(False).alias("resolved"), F.lit(None).cast("timestamp_ntz").alias("resolved_at"), F.col("reason"))
+    return merged.unionByName(closed.select(*merged.columns))
+
+
 def ready(letters: DataFrame, now: Column, limit: int = 100) -> DataFrame:
     """The ``limit`` letters that are due, earliest first."""
     return letters.where(F.col("next_retry") <= now).orderBy("next_retry", "message_id", "failure_type").limit(limit)

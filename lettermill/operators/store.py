@@ -208,6 +208,36 @@ def relabel(mail: DataFrame, changes: DataFrame, key: str = "gmail_id") -> DataF
     return j.withColumn("labels", F.when(F.col("__k").isNotNull(), new).otherwise(F.col("labels"))).select(*mail.columns)
 
 
+def merge_changes(mail: DataFrame, changes: DataFrame, at: Column, key: str = "gmail_id") -> DataFrame:
+    """``mail`` after ``changes``, by one full outer join: (key, mail, back, gone, labels_) as far as these columns are there, each key once.
+
+    ``mail`` is a struct whose values replace where they are not null, and a new row where the key is new; ``back`` clears
+    ``deleted_at``, ``gone`` then sets it to ``at`` on live rows; ``labels_`` is a struct of the arrays add and remove. A change
+    other than ``mail`` to a key that is not there does nothing.
+    """
+    have = set(changes.columns)
+    c = changes.select(F.col(key).alias("__k"), *[F.col(x).alias(f"__{x}") for x in ("mail", "back", "gone", "labels_") if x in have])
+    j = mail.withColumn("__old", F.lit(True)).join(c, F.col(key) == F.col("__k"), "full")
+    new = {key: F.coalesce(F.col(key), F.col("__k"))}
+    if "mail" in have:
+        j = j.where(F.col("__old").isNotNull() | F.col("__mail").isNotNull())
+        new |= {x: F.coalesce(F.col("__mail")[x], F.col(x)) for x in changes.schema["mail"].dataType.names if x in mail.columns}
+    else:
+        j = j.where(F.col("__old").isNotNull())
+    deleted = F.col("deleted_at")
+    if "back" in have:
+        deleted = F.when(F.col("__back").isNull(), deleted)
+    if "gone" in have:
+        deleted = F.when(F.col("__gone") & deleted.isNull(), at).otherwise(deleted)
+    new["deleted_at"] = deleted
+    if "labels_" in have and "labels" in mail.columns:
+        none = F.array().cast("array<string>")
+        was = new.get("labels", F.col("labels"))
+        changed = F.array_sort(F.array_except(F.array_union(F.coalesce(was, none), F.coalesce(F.col("__labels_")["add"], none)), F.coalesce(F.col("__labels_")["remove"], none)))
+        new["labels"] = F.when(F.col("__labels_").isNotNull(), changed).otherwise(was)
+    return j.select(*[new.get(x, F.col(x)).alias(x) for x in mail.columns])
+
+
 def unprocessed(mail: DataFrame, column: str = "primary_category") -> DataFrame:
     """Rows whose ``column`` is null, or empty text: those that a classifier or a plain-text pass has not seen yet."""
     empty = F.col(column) == "" if dict(mail.dtypes)[column] == "string" else F.lit(False)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lettermill.operators.ledger import dead_letters
-from lettermill.sources.snapshots import MailStore
+from lettermill.sources.snapshots import DeadLetterStore, MailStore
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -46,12 +46,14 @@ def write_available(df: DataFrame, path: str, checkpoint: str, mode: str = "appe
     return df.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def sync_history(changes: DataFrame, store: MailStore, letters_path: str, checkpoint: str) -> StreamingQuery:
+def sync_history(changes: DataFrame, store: MailStore, letters: str | DeadLetterStore, checkpoint: str) -> StreamingQuery:
     """Apply a stream of changes (gmail_id, history_id, type, subject, sender, body, error; ``labels`` for label changes) to a mail store, batch by batch.
 
     Types are added, deleted, label_added and label_removed. In a batch each kind counts for itself: of an id's additions the newest
-    gives the mail; the last of its additions and deletions says whether it lives; of each label the last change counts. Failed changes
-    (``error`` set) go to the dead letters. A batch that is repeated after a crash changes nothing more: letters are keyed by batch.
+    gives the mail; the last of its additions and deletions says whether it lives; of each label the last change counts. A batch is
+    one commit of the store, in which readers see all of it or nothing; a batch that is repeated after a crash changes nothing more,
+    since the commit holds its number. Failed changes (``error`` set) go to the dead letters: to a ``DeadLetterStore``, where attempts
+    add up over batches, or to JSON files by batch below a path.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
@@ -59,21 +61,18 @@ def sync_history(changes: DataFrame, store: MailStore, letters_path: str, checkp
         good = batch.where("error is null")
         added = good.where("type = 'added'").groupBy("gmail_id").agg(F.max_by(F.struct("subject", "sender", "body"), "history_id").alias("r"))
         last = good.where("type in ('added', 'deleted')").groupBy("gmail_id").agg(F.max_by("type", "history_id").alias("last"))
-        gone, back = last.where("last = 'deleted'"), last.where("last = 'added'")
-        if not added.isEmpty():
-            store.upsert(added.select("gmail_id", "r.*"))
-            store.restore(back)
-        if not gone.isEmpty():
-            store.delete(gone, F.localtimestamp())
+        changed = None
         if "labels" in batch.columns:
             one = good.where("type in ('label_added', 'label_removed')").select("gmail_id", "history_id", "type", F.explode("labels").alias("label"))
             one = one.groupBy("gmail_id", "label").agg(F.max_by("type", "history_id").alias("type"))
             of = lambda kind: F.collect_set(F.when(F.col("type") == kind, F.col("label")))
             changed = one.groupBy("gmail_id").agg(of("label_added").alias("add"), of("label_removed").alias("remove"))
-            if not changed.isEmpty():
-                store.relabel(changed)
+        store.apply(added.select("gmail_id", "r.*"), last.where("last = 'added'"), last.where("last = 'deleted'"), changed, batch=(checkpoint, number))
         failed = batch.where("error is not null").select(F.col("gmail_id").alias("message_id"), F.col("error").alias("failure_type"), F.localtimestamp().alias("failed_at"))
-        dead_letters(failed).write.mode("overwrite").json(f"{letters_path}/batch={number}")
+        if isinstance(letters, DeadLetterStore):
+            letters.add(failed, batch=(checkpoint, number))
+        else:
+            dead_letters(failed).write.mode("overwrite").json(f"{letters}/batch={number}")
         batch.unpersist()
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
