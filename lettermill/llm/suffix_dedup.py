@@ -5,7 +5,7 @@ the group to fit a task's memory; how many suffixes each prefix has is counted f
 the order of their next words are its subtree: neighbours that agree in 13 words hang below one internal node of that
 depth. Such a deep node with suffixes of two documents is a repeat, and windows that follow one another in a text join to
 maximal repeats. Nodes between prefix and window decide nothing, so they are not made: a suffix carries its group and
-one hash of its window. Suffixes of less than 13 words have no deep node above them and are left out.
+56 bits of its window's hash. Suffixes of less than 13 words have no deep node above them and are left out.
 
 A task holds a chunk of whole texts and decides within it first, so that of each window it sends one suffix, however often
 the chunk repeats it. A passage that stands in a third of all documents is one suffix a chunk.
@@ -30,7 +30,11 @@ BITS, LEVELS = 6, 3
 #: Suffixes a group may have before those of one chunk are joined; larger groups take a longer prefix.
 GROUP = 1 << 19
 #: Bytes of text of one chunk. A longer text is a chunk of its own.
-CHUNK = 32 << 20
+CHUNK = 16 << 20
+#: Bytes of a window's hash that a suffix carries. Only suffixes of one group are compared, which a prefix has parted by other bits before.
+HASH = 7
+#: Bytes of spans that may be broadcast to the texts; beyond it, texts and spans are joined by shuffle.
+BROADCAST_BYTES = 32 << 20
 _NONE = np.int64(2**63 - 1)
 
 
@@ -82,45 +86,53 @@ def choose_prefixes(counts: np.ndarray, group: int) -> tuple[np.ndarray, np.ndar
     return first, bits
 
 
-def _chunk_rows(number: str, ids: np.ndarray, keys: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], first: np.ndarray, bits: np.ndarray) -> Iterator[tuple]:
-    """Rows of one chunk: (chunk, group, a, b, c, d). ``parts``: per piece of text (words a row, digits, window hashes by word with a mask).
+def _chunk_rows(number: str, ids: np.ndarray, keys: np.ndarray, parts: list[tuple], first: np.ndarray, bits: np.ndarray) -> Iterator[tuple]:
+    """Rows of one chunk: (chunk, group, a, b, c, d). ``parts``: per piece of text (words a row, first words of windows, digits, window hashes).
 
-    Group -1 keeps what the chunk has decided itself; the others are sorted suffixes with their documents.
+    Group -1 keeps what the chunk has decided itself; the others are its suffixes of a group with their documents, in the order of the text.
     """
-    words = np.concatenate([p[0] for p in parts])
-    bounds = np.concatenate([[0], np.cumsum(words)])
-    at = np.concatenate([p[1] for p in parts])
-    digits = np.concatenate([p[2] for p in parts])
-    h = np.concatenate([p[3] for p in parts])
-    doc = np.searchsorted(bounds, at, side="right") - 1
-    group = first[digits] + np.where(bits[digits] > 0, (h >> (U(64) - np.maximum(bits[digits], 1).astype(U))).astype(np.int64), 0)
+    bounds = np.concatenate([[0], np.cumsum(np.concatenate([p[0] for p in parts]))])
+    at, digits, h = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
+    parts.clear()
+    doc = (np.searchsorted(bounds, at, side="right") - 1).astype(np.int32)
+    group = first[digits].astype(np.int32)
+    deep = np.flatnonzero(bits[digits])
+    group[deep] += (h[deep] >> (U(64) - bits[digits[deep]].astype(U))).astype(np.int32)
+    del digits, deep
     # The order of a subtree: by window, then by document.
     order = np.lexsort((at, ids[doc], h))
-    h, at, doc, group = h[order], at[order], doc[order], group[order]
     new = np.ones(len(h), bool)
-    new[1:] = h[1:] != h[:-1]
-    lead = np.flatnonzero(new)[np.cumsum(new) - 1] if len(h) else np.zeros(0, int)
-    later = ids[doc] > ids[doc[lead]]
+    new[1:] = h[order[1:]] != h[order[:-1]]
+    lead = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(h) else order
+    later = ids[doc[order]] > ids[doc[lead]]
     follow = ~new & ~later
-    yield number, -1, np.sort(at[later]).astype(np.uint32).tobytes(), at[follow].astype(np.uint32).tobytes() + at[lead[follow]].astype(np.uint32).tobytes(), bounds.astype(np.uint32).tobytes(), np.concatenate([ids, keys]).tobytes()
-    h, at, group, doc = h[new], at[new], group[new], doc[new]
-    order = np.argsort(group, kind="stable")
-    h, at, doc, group = h[order], at[order], doc[order], group[order]
+    gone = np.zeros(bounds[-1] + 1, bool)
+    gone[at[order[later]]] = True
+    yield number, -1, np.packbits(gone).tobytes(), at[order[follow]].tobytes() + at[lead[follow]].tobytes(), bounds.astype(np.uint32).tobytes(), np.concatenate([ids, keys]).tobytes()
+    del lead, later, follow, gone
+    own = np.sort(order[new])
+    own = own[np.argsort(group[own], kind="stable")]
+    h, at, doc, group = h[own], at[own], doc[own], group[own]
     cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])) if len(group) else np.zeros(1, int)
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        # Differences of sorted hashes, byte by byte: the high bytes are zeros, which the shuffle's compression takes away.
-        steps = np.diff(h[a:b], prepend=U(0))
-        mine, number_of = np.unique(doc[a:b], return_inverse=True)
-        yield number, int(group[a]), _planes(steps), _planes(at[a:b].astype(np.uint32)), _planes(number_of.astype(np.uint32)), _planes(np.diff(ids[mine], prepend=np.int64(0)))
+        # Positions and ids as differences, byte by byte: the high bytes are zeros, which the shuffle's compression takes away.
+        next_doc = np.diff(doc[a:b], prepend=doc[a]) > 0
+        mine = ids[doc[a:b][np.concatenate([[True], next_doc[1:]])]]
+        yield number, int(group[a]), _planes(h[a:b])[: HASH * (b - a)], _planes(np.diff(at[a:b], prepend=np.uint32(0))), np.packbits(next_doc).tobytes(), _planes(np.diff(mine, prepend=np.int64(0)))
 
 
 def _planes(x: np.ndarray) -> bytes:
+    """The bytes of numbers, all lowest ones first."""
     return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes()
 
 
-def _numbers(data: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+def _numbers(data: bytes, kind, size: int | None = None) -> np.ndarray:
+    """Numbers of ``_planes``; with ``size`` that many bytes of each are there, the others are zeros."""
+    size, whole = size or np.dtype(kind).itemsize, np.dtype(kind).itemsize
+    planes = np.frombuffer(data, np.uint8).reshape(size, -1)
+    out = np.zeros((planes.shape[1], whole), np.uint8)
+    out[:, :size] = planes.T
+    return out.view(kind).ravel()
 
 
 def suffixes(docs: DataFrame, key: str, text: str, window: int, first: np.ndarray, bits: np.ndarray) -> DataFrame:
@@ -150,7 +162,7 @@ def suffixes(docs: DataFrame, key: str, text: str, window: int, first: np.ndarra
                 at, h = texts.windows(window)
                 ids.append(id_[a:b])
                 keys.append(key_[a:b])
-                parts.append((texts.n_words, at + words, _digits(texts, at), h))
+                parts.append((texts.n_words, (at + words).astype(np.uint32), _digits(texts, at).astype(np.int32), h))
                 words += len(texts.word)
                 size += len(texts.data)
         yield from flush()
@@ -164,9 +176,9 @@ def _subtree(table: pa.Table) -> Iterator[tuple[str, bytes]]:
     rows = table.to_pylist()
     h, at, ids, chunk = [], [], [], []
     for i, r in enumerate(rows):
-        h.append(np.cumsum(_numbers(r["a"], np.uint64), dtype=np.uint64))
-        at.append(_numbers(r["b"], np.uint32))
-        ids.append(np.cumsum(_numbers(r["d"], np.int64))[_numbers(r["c"], np.uint32)])
+        h.append(_numbers(r["a"], np.uint64, HASH))
+        at.append(np.cumsum(_numbers(r["b"], np.uint32), dtype=np.uint32))
+        ids.append(np.cumsum(_numbers(r["d"], np.int64))[np.cumsum(np.unpackbits(np.frombuffer(r["c"], np.uint8), count=len(at[-1])), dtype=np.int32)])
         chunk.append(np.full(len(at[-1]), i, np.int32))
     h, at, ids, chunk = map(np.concatenate, (h, at, ids, chunk))
     # Leaves in the order of the subtree; a change of the window's hash ends a deep node.
@@ -193,8 +205,7 @@ def _spans(table: pa.Table, window: int) -> Iterator[tuple[int, int, list[int]]]
             replies.append(np.frombuffer(r["a"], np.uint32))
     bounds = np.frombuffer(own["c"], np.uint32).astype(np.int64)
     ids, keys = np.frombuffer(own["d"], np.int64).reshape(2, -1)
-    starts = np.zeros(bounds[-1] + 1, bool)
-    starts[np.frombuffer(own["a"], np.uint32)] = True
+    starts = np.unpackbits(np.frombuffer(own["a"], np.uint8), count=int(bounds[-1]) + 1).astype(bool)
     for r in replies:
         starts[r] = True
     follow, lead = np.frombuffer(own["b"], np.uint32).reshape(2, -1)
@@ -282,12 +293,14 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
     - A text of any length is one piece of work: its words are numbers of 8 bytes in some arrays, linear in its length.
     - An empty table gives no rows. Columns of these names are replaced, all others are kept.
 
-    Windows are equal if their 64-bit hashes are. Spans are joined to the texts by key and the text's hash.
+    Windows of one group are equal if 56 bits of their hashes are. Spans are joined to the texts by key and the text's hash.
     """
     made = ["n_words", "n_removed", "n_repeats", "kept"]
     spans = repeat_spans(docs, key, text, window, group).select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"))
     own = docs.drop(*[c for c in made if c not in (key, text)])
     own = own.withColumns({"__key": F.coalesce(F.col(key).cast("long"), F.lit(int(_NONE))), "__text": F.xxhash64(text)})
+    size = spans.agg(F.coalesce(F.sum(F.size("__spans") * 8 + 64), F.lit(0))).first()[0]
+    spans = F.broadcast(spans) if size <= BROADCAST_BYTES else spans
     joined = own.join(spans, (F.col("__key") == F.col("__id")) & (F.col("__text") == F.col("__hash")), "left").drop("__key", "__text", "__id", "__hash")
     columns = [c for c in joined.columns if c != "__spans"]
 
