@@ -12,6 +12,8 @@ from lettermill.llm.scratch import Scratch
 
 #: Fixed values of the audit: what a term is, in how many documents of its language, the scale of probabilities, and how many terms are told.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: The same matches in a text without A-Z; one range less to look at for every character.
+LOWER_TERM = r"[^\x00-\x60\x7B-\x7F]+"
 MIN_DOCS = 3
 SCALE = 1_000_000_000
 TOP = 200
@@ -34,7 +36,7 @@ def term_counts(df: DataFrame, lang: str = "lang", source: str = "source", text:
     after counting on the map side; terms of a document go in twice, as often as they occur and once each.
     """
     read = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in ((lang, "lang"), (source, "source"), (text, "text"))])
-    terms = read.select("lang", "source", F.regexp_extract_all(_lower_ascii(F.col("text")), F.lit(TERM), F.lit(0)).alias("all"))
+    terms = read.select("lang", "source", F.regexp_extract_all(_lower_ascii(F.col("text")), F.lit(LOWER_TERM), F.lit(0)).alias("all"))
     each = terms.select("lang", "source", F.explode_outer(F.array(F.struct(F.lit(1).alias("n"), F.lit(0).alias("docs"), F.col("all").alias("terms")), F.struct(F.lit(0).alias("n"), F.lit(1).alias("docs"), F.array_distinct("all").alias("terms")))).alias("e"))
     rows = each.select("lang", "source", "e.n", "e.docs", F.explode_outer("e.terms").alias("term"))
     return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
@@ -45,26 +47,35 @@ def _share(count: str, total: str, size: str) -> Column:
     return F.expr(f"1 + (cast({count} + 1 as decimal(20, 0)) * cast({SCALE} as decimal(10, 0))) div cast({total} + {size} as decimal(20, 0))")
 
 
-def dense_shares(counts: DataFrame, scratch: Scratch, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
-    """(groups, dense): (lang, source) of every group, and (lang, source, term, n, p, q) of every group and kept term of its language.
+def _numbered(df: DataFrame, name: str, scratch: Scratch, table: str) -> DataFrame:
+    """``df`` with a number for each row, stable since the table is written: numbers stand for strings in all later shuffles."""
+    return scratch.save(df.withColumn(name, F.monotonically_increasing_id()), table)
+
+
+def dense_shares(counts: DataFrame, scratch: Scratch, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(groups, vocabulary, dense): (lang, source, g), (lang, term, of_lang, t), and (t, g, n, p, q) of every group and kept term of its language.
 
     p is the group's share of the term and q its language's. Kept are terms that ``min_docs`` documents of the language hold.
     """
-    groups = scratch.save(counts.select("lang", "source").distinct(), "groups")
+    groups = _numbered(counts.select("lang", "source").distinct(), "g", scratch, "groups")
+    few = groups.count() <= BROADCAST_GROUPS
+    small = lambda df: F.broadcast(df) if few else df
     terms = counts.where("term is not null")
-    vocabulary = scratch.save(terms.groupBy("lang", "term").agg(F.sum("n").alias("of_lang"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).drop("docs"), "vocabulary")
-    kept = scratch.save(terms.join(vocabulary, ["lang", "term"]).select("lang", "source", "term", "n"), "kept")
+    kept_terms = terms.groupBy("lang", "term").agg(F.sum("n").alias("of_lang"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).drop("docs")
+    vocabulary = _numbered(kept_terms, "t", scratch, "vocabulary")
+    kept = terms.join(vocabulary.select("lang", "term", "t"), ["lang", "term"]).join(small(groups), ["lang", "source"]).select("t", "g", "n")
+    kept = scratch.save(kept, "kept")
     sizes = vocabulary.groupBy("lang").agg(F.count("*").alias("size"), F.sum("of_lang").alias("lang_total"))
-    totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     # A group without a kept term has N = 0; a language without one has no row in ``sizes`` and so no dense row.
-    known = groups.join(totals, ["lang", "source"], "left").join(sizes, "lang").select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), "size", "lang_total")
-    if groups.count() <= BROADCAST_GROUPS:
-        crossed = vocabulary.join(F.broadcast(known), "lang")
+    totals = kept.groupBy("g").agg(F.sum("n").alias("total"))
+    known = groups.join(totals, "g", "left").join(sizes, "lang").select("lang", "g", F.coalesce("total", F.lit(0)).alias("total"), "size", "lang_total")
+    terms = vocabulary.select("lang", "t", "of_lang")
+    if few:
+        crossed = terms.join(F.broadcast(known), "lang")
     else:
-        part = F.pmod(F.xxhash64("term"), F.lit(SALTS))
-        crossed = vocabulary.withColumn("part", part).join(known.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["lang", "part"])
-    dense = crossed.join(kept, ["lang", "source", "term"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return groups, scratch.save(dense.select("lang", "source", "term", "n", _share("n", "total", "size").alias("p"), _share("of_lang", "lang_total", "size").alias("q")), "dense")
+        crossed = terms.withColumn("part", F.pmod(F.col("t"), F.lit(SALTS))).join(known.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["lang", "part"])
+    dense = crossed.join(kept, ["t", "g"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return groups, vocabulary, scratch.save(dense.select("t", "g", "n", _share("n", "total", "size").alias("p"), _share("of_lang", "lang_total", "size").alias("q")), "dense")
 
 
 def _gap(p: str, q: str) -> Column:
@@ -88,18 +99,20 @@ def source_divergence(df: DataFrame, lang: str = "lang", source: str = "source",
     both directions from one joined row. Keys of the self-join all have as many rows as the language has sources, so none is hot.
     """
     scratch = Scratch(df.sparkSession, "divergence")
-    groups, dense = dense_shares(scratch.save(term_counts(df, lang, source, text), "counts"), scratch, min_docs)
-    # The self-join, each two sources once; both directions are added up before they become rows.
-    one, other = dense.select("lang", "term", "source", "p"), dense.select("lang", "term", F.col("source").alias("other"), F.col("p").alias("q"))
-    summed = one.join(other, ["lang", "term"]).where("source < other").groupBy("lang", "source", "other").agg(F.sum(_gap("p", "q")).alias("there"), F.sum(_gap("q", "p")).alias("back"))
-    two = F.array(F.struct("source", F.col("other").alias("item"), F.col("there").alias("value")), F.struct(F.col("other").alias("source"), F.col("source").alias("item"), F.col("back").alias("value")))
+    groups, vocabulary, dense = dense_shares(scratch.save(term_counts(df, lang, source, text), "counts"), scratch, min_docs)
+    # The self-join by term, and so by language: each two sources once; both directions are added up before they become rows.
+    one, other = dense.select("t", "g", "p"), dense.select("t", F.col("g").alias("h"), F.col("p").alias("q"))
+    summed = one.join(other, "t").where("g < h").groupBy("g", "h").agg(F.sum(_gap("p", "q")).alias("there"), F.sum(_gap("q", "p")).alias("back"))
+    two = F.array(F.struct("g", "h", F.col("there").alias("value")), F.struct(F.col("h").alias("g"), F.col("g").alias("h"), F.col("back").alias("value")))
     # Languages without a kept term have no sums, but their pairs count.
-    mates = groups.join(groups.select("lang", F.col("source").alias("item")), "lang").where("source <> item")
-    pairs = mates.join(summed.select("lang", F.explode(two).alias("r")).select("lang", "r.*"), ["lang", "source", "item"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0)).cast("long").alias("value"))
-    terms = dense.where("n > 0 and p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _gap("p", "q").alias("value"))
-    order = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
-    ranked = lambda rows: rows.withColumn("rank", F.row_number().over(order))
-    return ranked(pairs).unionByName(ranked(terms).where(F.col("rank") <= top))
+    mates = groups.join(groups.select("lang", F.col("source").alias("item"), F.col("g").alias("h")), "lang").where("g <> h")
+    pairs = mates.join(summed.select(F.explode(two).alias("r")).select("r.*"), ["g", "h"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0)).cast("long").alias("value"))
+    named = vocabulary.select("t", F.col("term").alias("item"))
+    terms = dense.where("n > 0 and p > q").select("t", "g", _gap("p", "q").alias("value"))
+    order = lambda *by: Window.partitionBy(*by).orderBy(F.desc("value"), "item")
+    ranked = terms.join(named, "t").withColumn("rank", F.row_number().over(order("g"))).where(F.col("rank") <= top)
+    ranked = ranked.join(groups, "g").select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank")
+    return pairs.withColumn("rank", F.row_number().over(order("lang", "source"))).unionByName(ranked)
 
 
 def op11_source_divergence(spark, sf_dir: str) -> DataFrame:

@@ -88,8 +88,8 @@ def test_divergence_is_exact_beyond_64_bits(spark):
     df = spark.createDataFrame(counts, "lang string, source string, term string, n long, docs long")
     from lettermill.llm.scratch import Scratch
 
-    _, dense = divergence.dense_shares(df, Scratch(spark, "test"))
-    got = {(r["source"], r["term"]): (r["p"], r["q"]) for r in dense.collect()}
+    groups, vocabulary, dense = divergence.dense_shares(df, Scratch(spark, "test"))
+    got = {(r["source"], r["term"]): (r["p"], r["q"]) for r in dense.join(groups, "g").join(vocabulary, "t").collect()}
     total = {"a": 10**12, "b": 10**10 + 10}
     n = {("a", "x"): 10**12, ("a", "y"): 0, ("b", "x"): 3, ("b", "y"): 10**10 + 7}
     share = lambda n, total: 1 + 10**9 * (n + 1) // (total + 2)
