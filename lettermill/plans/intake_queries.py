@@ -8,7 +8,7 @@ from lettermill.plans.registry import Registry
 from lettermill.plans.scratch import shared_folder
 from lettermill.plans.views import SQL_DOCS, SQL_EVENTS, docs_mail, events_mail
 from lettermill.sources import readers, writers
-from lettermill.sources.snapshots import MailStore
+from lettermill.sources.snapshots import DeadLetterStore, MailStore
 from lettermill.streaming import mail_stream
 
 Q = Registry()
@@ -252,6 +252,36 @@ def snapshot_store(spark, d):
     return box.find(F.lit(True)).select("gmail_id", "subject")
 
 
+@Q.add("store_one_commit", """WITH m AS (SELECT event_id AS id, event_type AS t FROM events)
+  SELECT id::VARCHAR AS gmail_id, CASE WHEN id % 3 = 0 THEN 'changed ' || t ELSE t END AS subject, id % 5 = 0 AS gone, CASE WHEN id % 4 = 0 THEN 'seen' WHEN id % 2 = 0 THEN t ELSE '' END AS labels, 2 AS versions FROM m WHERE id % 2 = 0 OR id % 3 = 0""")
+def store_one_commit(spark, d):
+    """Half of the events as mail; then changes, new mail, deletions, restores and label changes in one version."""
+    m = _ids(events_mail(spark, d).select("gmail_id", "subject", "sender", "labels"))
+    box = MailStore(spark, shared_folder(spark, "store"), 16)
+    box.create(m.where("gmail_id % 2 = 0"))
+    changed = m.where("gmail_id % 3 = 0").select("gmail_id", F.concat(F.lit("changed "), "subject").alias("subject"))
+    marks = m.where("gmail_id % 4 = 0").select("gmail_id", F.array(F.lit("seen")).alias("add"), F.array("subject").alias("remove"))
+    version = box.apply(changed, m.where("gmail_id % 10 = 0"), m.where("gmail_id % 5 = 0"), marks)
+    return box.read().select("gmail_id", "subject", F.col("deleted_at").isNotNull().alias("gone"), F.array_join(F.coalesce("labels", F.array().cast("array<string>")), ",").alias("labels"), F.lit(version).alias("versions"))
+
+
+@Q.add("dead_letters_by_batch", """WITH f AS (SELECT user_id, user_id::VARCHAR AS message_id, event_type AS failure_type, ts FROM events WHERE event_type IN ('error', 'click')),
+  l AS (SELECT user_id, message_id, failure_type, count(*) AS n, min(ts) AS first_failure, max(ts) AS last_failure FROM f GROUP BY ALL)
+  SELECT message_id, failure_type, CASE WHEN n >= 5 AND user_id % 4 <> 0 AND user_id % 6 = 1 THEN 0 ELSE n END AS attempts, first_failure, last_failure, user_id % 4 = 0 AS resolved,
+    CASE WHEN user_id % 4 = 0 THEN NULL WHEN n < 5 THEN last_failure + to_seconds(CAST(300 * pow(2, n - 1) AS BIGINT)) WHEN user_id % 6 = 1 THEN TIMESTAMP '2024-03-01 00:05:00' END AS next_retry FROM l""")
+def dead_letters_by_batch(spark, d):
+    """Failures in five batches, one of them sent twice; attempts add up. Then some are resolved, and some of the exhausted start again."""
+    e = spark.read.parquet(f"{d}/events.parquet").where("event_type in ('error', 'click')")
+    f = e.select(F.col("user_id").cast("string").alias("message_id"), F.col("event_type").alias("failure_type"), F.col("ts").alias("failed_at"), F.pmod("event_id", F.lit(5)).alias("batch"))
+    letters = DeadLetterStore(spark, shared_folder(spark, "letters"), 8)
+    for number in (0, 1, 2, 2, 3, 4):
+        letters.add(f.where(F.col("batch") == number).drop("batch"), ("feed", number))
+    now = F.expr("timestamp_ntz'2024-03-01'")
+    letters.resolve(f.where("message_id % 4 = 0"), now, "sent again")
+    letters.reset(ledger.exhausted(letters.open()).where("message_id % 6 = 1"), now)
+    return letters.read().select("message_id", "failure_type", "attempts", "first_failure", "last_failure", "resolved", "next_retry")
+
+
 _TYPES = "['added', 'label_added', 'deleted', 'label_removed', 'added']"
 
 

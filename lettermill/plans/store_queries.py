@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from lettermill.operators import search, store
+from lettermill.operators.fulltext import MailIndex
 from lettermill.plans.profile_queries import DOCS, EVENTS, as_text
 from lettermill.plans.registry import Registry
+from lettermill.plans.scratch import shared_folder
 from lettermill.plans.views import docs_mail, events_mail, threads
 
 Q = Registry()
@@ -217,6 +219,45 @@ def bm25_search(spark, d):
     return search.bm25_search(docs_mail(spark, d), "the worthless", 50)
 
 
+def _counted(terms: str, prefix: bool = False, only: str | None = None) -> str:
+    """DuckDB: how often a phrase stands in the fields, each with its weight."""
+    words, out = terms.split(), []
+    for field, weight in (("su", 2), ("bo", 1), ("se", 1)):
+        if only in (None, field):
+            fits = " AND ".join(f"starts_with({field}[i + {j}], '{w}')" if prefix and j == len(words) - 1 else f"{field}[i + {j}] = '{w}'" for j, w in enumerate(words))
+            out.append(f"{weight}.0::DOUBLE * len(list_filter(range(1, len({field}) + 2 - {len(words)}), lambda i: {fits}))")
+    return " + ".join(out)
+
+
+def _match(mail: str, units: list[str], where: str) -> str:
+    """DuckDB: BM25 of the units over the tokens of a CTE ``mail``, for the mails that ``where`` takes."""
+    counts = ", ".join(f"{u} AS c{i}" for i, u in enumerate(units))
+    dfs = ", ".join(f"count(*) FILTER (c{i} > 0) AS d{i}" for i in range(len(units)))
+    score = " + ".join(f"ln(1 + (n - d{i} + 0.5) / (d{i} + 0.5)) * c{i} * 2.2 / (c{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / av))" for i in range(len(units)))
+    return f"""{mail}, t AS (SELECT gmail_id, {_TOK.format(c='subject')} AS su, {_TOK.format(c='body')} AS bo, {_TOK.format(c='sender')} AS se FROM mail), c AS (SELECT gmail_id, len(su) + len(bo) + len(se) AS dl, {counts} FROM t),
+  s AS (SELECT avg(dl) AS av, count(*) AS n, {dfs} FROM c) SELECT gmail_id, round({score}, 6) AS score FROM c, s WHERE {where} ORDER BY score DESC, gmail_id LIMIT 50"""
+
+
+@Q.add("match_expression", _match(DOCS, [_counted("the the"), _counted("wor", True), _counted("worthless"), _counted("er"), _counted("src1", True, "se")], "c0 > 0 AND c1 > 0 AND NOT (c2 > 0 OR c3 > 0) OR c4 > 0 AND c0 > 0"))
+def match_expression(spark, d):
+    """A phrase, a prefix, a negation and a field, by a fresh index."""
+    index = MailIndex(spark, shared_folder(spark, "index"))
+    index.update(docs_mail(spark, d))
+    return index.match('"the the" wor* NOT (worthless OR er) OR (sender : src1* AND "the the")')
+
+
+@Q.add("match_after_changes", _match("""WITH mail AS (SELECT doc_id AS gmail_id, source || '@' || lang || '.example.org' AS sender, split_part(text, chr(10), 1) AS subject, CASE WHEN doc_id % 3 = 0 THEN 'Urgent notice ' || text ELSE text END AS body
+  FROM documents WHERE doc_id % 3 = 0 OR doc_id % 2 = 0 AND doc_id % 5 <> 0)""", [_counted("urgent notice"), _counted("the"), _counted("worthless"), _counted("of the")], "(c0 > 0 AND c1 > 0) AND NOT c2 > 0 OR c3 > 0"))
+def match_after_changes(spark, d):
+    """The same mailbox in three segments: half of it, then changed and new mail, then deletions."""
+    m = docs_mail(spark, d).select("gmail_id", "subject", "body", "sender")
+    index = MailIndex(spark, shared_folder(spark, "index"), buckets=16)
+    index.update(m.where("gmail_id % 2 = 0"))
+    index.update(m.where("gmail_id % 3 = 0").withColumn("body", F.concat(F.lit("Urgent notice "), "body")))
+    index.update(m.limit(0), m.where("gmail_id % 5 = 0 and gmail_id % 3 <> 0"))
+    return index.match('urgent + notice the NOT worthless OR "of the"')
+
+
 @Q.add("thread_summary", "SELECT conv_id AS thread_id, count(*) AS n, count(DISTINCT role) AS senders, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY conv_id")
 def thread_summary(spark, d):
     return threads(spark, d).groupBy("thread_id").agg(F.count("*").alias("n"), F.countDistinct("sender").alias("senders"), F.sum(F.length("body")).alias("chars"))

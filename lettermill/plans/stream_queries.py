@@ -6,6 +6,7 @@ from lettermill.plans.registry import Registry
 from lettermill.plans.scratch import shared_folder
 from lettermill.plans.views import SQL_EVENTS
 from lettermill.streaming import mail_stream
+from lettermill.streaming.lockout import lockouts
 
 Q = Registry()
 
@@ -50,3 +51,22 @@ def stream_sender_sessions(spark, d):
 @Q.add("stream_drop_repeats", f"WITH {SQL_EVENTS} SELECT DISTINCT gmail_id, sender FROM mail")
 def stream_drop_repeats(spark, d):
     return _run(spark, mail_stream.drop_repeats(_events(spark, d)), "append").select("gmail_id", "sender")
+
+
+_DAY = 86400
+_STATE = "{{'recent': {r}::DOUBLE[], 'until': {u}::DOUBLE, 'locks': {l}::DOUBLE[]}}"
+
+
+@Q.add("auth_lockouts", f"""WITH f AS (SELECT user_id::VARCHAR AS client, list((epoch_us(ts) // 1000) / 1000.0 ORDER BY ts) AS times FROM events WHERE event_type = 'error' GROUP BY 1),
+  s AS (SELECT client, list_reduce(list_prepend({_STATE.format(r="[]", u="0", l="[]")}, list_transform(times, lambda t: {_STATE.format(r="[t]", u="0", l="[]")})), lambda a, e: CASE
+      WHEN e.recent[1] < a.until THEN a
+      WHEN len(list_filter(a.recent, lambda x: e.recent[1] - x < {5 * _DAY})) >= 2 THEN {_STATE.format(r="[]", u=f"e.recent[1] + {2 * _DAY}", l="list_append(a.locks, e.recent[1])")}
+      ELSE {_STATE.format(r=f"list_append(list_filter(a.recent, lambda x: e.recent[1] - x < {5 * _DAY}), e.recent[1])", u="a.until", l="a.locks")} END) AS s FROM f),
+  l AS (SELECT client, unnest(s.locks) AS t FROM s)
+  SELECT client, CAST(round(t * 1000) AS BIGINT) AS locked_ms, CAST(round(t * 1000) AS BIGINT) + {2 * _DAY * 1000} AS until_ms FROM l""")
+def auth_lockouts(spark, d):
+    """Errors of a user as failures: the third within five days locks for two days."""
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    failures = mail_stream.read_stream(spark, f"{d}/events.parque[t]", schema).where("event_type = 'error'").select(F.col("user_id").alias("client"), F.col("ts").cast("timestamp").alias("at"))
+    locks = _run(spark, lockouts(failures, 3, 5 * _DAY, 2 * _DAY), "append")
+    return locks.select("client", F.unix_millis("locked_at").alias("locked_ms"), F.unix_millis("until").alias("until_ms"))

@@ -127,7 +127,9 @@ class KeyedStore:
             if not touched and not batch:
                 return version
             old = self._folders(schema, {b: at[b] for b in touched if b in at})
-            rows = how(old, changes).select(*[F.col(f.name).cast(f.dataType) for f in schema])
+            # The store's columns and types; a value that may be null stands where one of the schema could not.
+            rows = how(old, changes)
+            rows = rows.select(*[F.col(f.name) if rows.schema[f.name].dataType.simpleString() == f.dataType.simpleString() else F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
             return self._write(version + 1, rows, at, touched, batches | ({batch[0]: batch[1]} if batch else {}))
         finally:
             changes.unpersist()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lettermill import cli
 from lettermill.config import AnalysisConfig
 from lettermill.operators import ledger
-from lettermill.sources.snapshots import MailStore
+from lettermill.sources.snapshots import DeadLetterStore, MailStore
 from lettermill.streaming import mail_stream
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -62,3 +62,82 @@ def test_entry_without_the_corpus_operators():
     code = "import sys; sys.modules['lettermill.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'category_summary' in q and not any(n.startswith('op') for n in q); print(len(q))"
     done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120)
     assert done.returncode == 0, done.stderr
+
+
+MAIL_ROWS = "gmail_id string, subject string, sender string, body string, labels array<string>"
+
+
+def files_of(folder):
+    return {str(p.relative_to(folder)): p.stat().st_mtime_ns for p in (folder / "data").rglob("*.parquet")}
+
+
+def test_a_delta_rewrites_only_its_buckets(spark, tmp_path):
+    box = MailStore(spark, str(tmp_path / "box"), 32)
+    box.create(spark.range(2000).selectExpr("cast(id as string) gmail_id", "'s' subject", "'a@b' sender", "'t' body", "array('x') labels"))
+    before = files_of(tmp_path / "box")
+    ids = spark.range(10).selectExpr("cast(id * 7 as string) gmail_id")
+    version = box.apply(ids.withColumn("subject", F.lit("new")), deleted=ids.where("gmail_id = '14'"), labels=ids.selectExpr("gmail_id", "array('y') add", "array('x') remove"), at=F.localtimestamp())
+    after = files_of(tmp_path / "box")
+    made = {p.split("/")[2] for p in after if p not in before}
+    assert version == 2 and len(made) <= 10 and all(after[p] == t for p, t in before.items())
+    assert box.count() == 1999 and box.find("subject = 'new'").count() == 9 and box.find("array_contains(labels, 'y')").count() == 9
+    assert box.read(1).where("subject = 's'").count() == 2000
+    # A read of some ids opens their buckets alone.
+    some = box.get(ids.where("gmail_id = '7'"))
+    assert some.count() == 1 and len({f.split("/")[-2] for f in some.inputFiles()}) == 1
+    box.vacuum()
+    assert box.commits.versions() == [2] and box.read().count() == 2000
+
+
+def test_a_crash_between_steps_leaves_the_old_version(spark, tmp_path, monkeypatch):
+    box = MailStore(spark, str(tmp_path / "box"), 4)
+    box.create(spark.createDataFrame([("1", "a", "x", "t", None)], MAIL_ROWS))
+    new = spark.createDataFrame([("1", "b"), ("2", "c")], "gmail_id string, subject string")
+
+    def crash(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(box.commits, "put", crash)
+        with pytest.raises(RuntimeError):
+            box.upsert(new)
+    assert [tuple(r)[:2] for r in box.read().collect()] == [("1", "a")]
+    (tmp_path / "box" / "_versions" / "v2").mkdir()
+    assert box.version() == 1
+    assert box.upsert(new) == 2 and sorted(r["subject"] for r in box.read().collect()) == ["b", "c"]
+    assert box.apply(new, batch=("s", 3)) == 3 and box.apply(new.where("false"), batch=("s", 3)) == 3 and box.applied("s") == 3
+    with pytest.raises(FileNotFoundError):
+        MailStore(spark, str(tmp_path / "none")).read()
+
+
+def test_dead_letters_add_up_over_batches(spark, tmp_path):
+    store = MailStore(spark, str(tmp_path / "store"), 4)
+    store.create(spark.createDataFrame([], MAIL_ROWS))
+    letters = DeadLetterStore(spark, str(tmp_path / "letters"), 4)
+    changes = "gmail_id string, history_id long, type string, subject string, sender string, body string, error string"
+    for i in range(5):
+        spark.createDataFrame([("9", i, "added", "c", "z", "t", "timeout"), (f"ok{i}", i, "added", "c", "z", "t", None)], changes).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        mail_stream.sync_history(mail_stream.read_stream(spark, str(tmp_path / "in"), changes), store, letters, str(tmp_path / "cp")).awaitTermination()
+        one = letters.open().first()
+        assert one["attempts"] == i + 1 and (one["next_retry"] is None) == (i == 4)
+    assert store.count() == 5 and ledger.exhausted(letters.open()).count() == 1
+    at = F.expr("timestamp_ntz'2030-01-01'")
+    letters.reset(letters.open(), at)
+    assert str(letters.open().first()["next_retry"]) == "2030-01-01 00:05:00"
+    letters.resolve(letters.open(), at, "sent")
+    assert letters.open().count() == 0 and letters.read().first()["reason"] == "sent"
+    letters.add(spark.createDataFrame([("9", "timeout")], "message_id string, failure_type string").withColumn("failed_at", at))
+    assert sorted((r["attempts"], r["resolved"]) for r in letters.read().collect()) == [(0, True), (1, False)]
+    letters.clean_up(F.expr("timestamp_ntz'2031-01-01'"))
+    assert [r["resolved"] for r in letters.read().collect()] == [False]
+
+
+def test_idle_lockout_state_is_gone(spark, tmp_path):
+    from lettermill.streaming.lockout import lockouts
+
+    for rows in ([("a", 1000), ("b", 1000)], [("c", 100_000)], [("c", 100_001)]):
+        spark.createDataFrame(rows, "client string, s long").select("client", F.timestamp_seconds("s").alias("at")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        events = spark.readStream.schema("client string, at timestamp").parquet(str(tmp_path / "in"))
+        lockouts(events).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    state = spark.read.format("statestore").option("stateVarName", "client").load(str(tmp_path / "cp"))
+    assert [r["key"]["client"] for r in state.collect()] == ["c"]
