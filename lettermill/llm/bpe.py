@@ -145,8 +145,9 @@ class WordBpe:
         """Token ids of distinct words, given in byte letters; all over one trie, in depth-first order since sorted words share their path."""
         fits, raw, may_follow, onward = self.fits, self.raw, self.may_follow, self._onward
         deepest = max(map(len, words), default=0) + 1
-        # By depth on the path: its suffix, its last token (-1 if no token can end there) and its ids. The root is before all tokens.
-        suffix, token, ids = [self.root] * deepest, [-1] * deepest, [b""] * deepest
+        # By depth on the path: its suffix, its last token (-1 if no token can end there) and that token's length. The root is before all
+        # tokens. A word's ids are read back from its end, so that memory is linear in the longest word.
+        suffix, token, length = [self.root] * deepest, [-1] * deepest, [0] * deepest
         before = ""
         out: dict[str, bytes] = {}
         for w in sorted(words):
@@ -154,12 +155,12 @@ class WordBpe:
             depth, most = 0, min(len(before), n) - 1
             while depth < most and before[depth] == w[depth]:
                 depth += 1
-            here = suffix[depth]
+            here, last, begun = suffix[depth], -1, 0
             while depth < n:
                 letter = w[depth]
                 here = here.onward.get(letter) or onward(here, letter)
                 depth += 1
-                last, own = -1, b""
+                last = -1
                 for t, size in here.inside if depth < n else here.last:
                     a = token[depth - size]
                     if a < 0:
@@ -169,11 +170,16 @@ class WordBpe:
                         if apart is None:
                             apart = may_follow(a, t)
                     if apart:
-                        last, own = t, ids[depth - size] + raw[t]
+                        last, begun = t, size
                         break
                 if depth < n:
-                    suffix[depth], token[depth], ids[depth] = here, last, own
-            out[w] = own
+                    suffix[depth], token[depth], length[depth] = here, last, begun
+            own = []
+            while last >= 0:
+                own.append(raw[last])
+                depth -= begun
+                last, begun = token[depth], length[depth]
+            out[w] = b"".join(reversed(own))
             before = w
         return out
 

@@ -93,6 +93,22 @@ def test_bpe_is_the_library(spark):
     assert sorted(map(tuple, at_once), key=str) == sorted(map(tuple, got), key=str)
 
 
+def test_bpe_of_a_very_long_word_in_little_memory():
+    import random
+    import tracemalloc
+
+    letters = random.Random(7)
+    words = ["".join(letters.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in (20_000, 200_000)]
+    ours = bpe.WordBpe(bpe.load_spec(PATH))
+    assert ours.encode_words({words[0]})[words[0]] == np.array(Tokenizer.from_file(PATH).encode(words[0], add_special_tokens=False).ids, "<u4").tobytes()
+    tracemalloc.start()
+    whole = ours.encode_words({words[1]})[words[1]]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Some numbers a letter; with every prefix's encoding kept it would be over 20 GB.
+    assert len(whole) > 4 * 100_000 and most < 100 * len(words[1])
+
+
 def test_bpe_of_random_letters_and_a_small_memory(monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 50)
     lib = Tokenizer.from_file(PATH)
