@@ -1,8 +1,10 @@
 """Data-quality metrics and gates over a mail table."""
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lettermill.functions import packs
@@ -69,3 +71,26 @@ def require_quality(df: DataFrame, thresholds: Thresholds = Thresholds(), strict
         if found:
             raise QualityError("; ".join(found))
     return df
+
+
+def gated_report(mail: DataFrame, work: Callable[[DataFrame], DataFrame], carry: list[str], report: Callable[[DataFrame], DataFrame], thresholds: Thresholds = Thresholds(), key: str = "gmail_id") -> DataFrame:
+    """``report(work(mail))`` if ``mail`` passes its gates, else QualityError; both from one scan.
+
+    ``work`` adds the columns ``carry``, row by row, and ``report`` sums them up to a few rows, which go by way of the driver. Rows are
+    brought together by id, where duplicates show; what the gates count is observed on the way. Of a table that passes, each id is one row.
+    """
+    columns = mail.columns
+    there = {f"__n{i}": F.col(c).isNotNull().cast("int") for i, c in enumerate(columns)}
+    rows = work(mail.withColumns(there)).groupBy(key).agg(F.count("*").alias("__rows"), *[F.sum(n).alias(n) for n in there], *[F.first(c).alias(c) for c in carry])
+    seen = Observation(f"gate-{uuid.uuid4().hex[:8]}")
+    watched = rows.observe(seen, F.coalesce(F.sum("__rows"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("ids"), *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in there])
+    out = report(watched.select(key, *carry))
+    found, n = out.collect(), seen.get
+    share = lambda part, whole: round(part / whole * 100, 3) if whole else 0.0
+    whole = share(sum(n[c] for c in there), n["total"] * len(columns))
+    issues = [f"low_completeness *: {whole}"] if whole < thresholds.min_completeness else []
+    issues += [f"high_null_rate {c}: {round(100 - share(n[x], n['total']), 3)}" for c, x in zip(columns, there, strict=True) if 100 - share(n[x], n["total"]) > thresholds.max_null_rate]
+    issues += [f"duplicate_ids {key}: {float(n['total'] - n['ids'])}"] if n["total"] > n["ids"] else []
+    if issues:
+        raise QualityError("; ".join(issues))
+    return mail.sparkSession.createDataFrame(found, out.schema)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lettermill.functions import packs
+from lettermill.functions.patterns import check_pattern
 
 
 @dataclass(frozen=True)
@@ -20,10 +21,16 @@ class Rule:
 
 
 def rule_pack(base=packs.BASE_RULES, custom=()) -> list[Rule]:
-    """Rules in the order they are tried: by priority, base before custom at equal priority; a custom rule replaces a base rule of its name."""
+    """Rules in the order they are tried: by priority, base before custom at equal priority; a custom rule replaces a base rule of its name.
+
+    A sender pattern that may backtrack without end is refused (UnsafePattern).
+    """
     custom = [Rule(n, p, tuple(k), tuple(s), t) for n, p, k, s, t in custom]
     own = {r.name for r in custom}
     rules = [Rule(n, p, tuple(k), tuple(s), t) for n, p, k, s, t in base if n not in own] + custom
+    for r in rules:
+        for p in r.senders:
+            check_pattern(p)
     return sorted(rules, key=lambda r: r.priority)
 
 

@@ -7,8 +7,10 @@ from lettermill.operators import chunks, ledger, search, store
 from lettermill.plans.registry import Registry
 from lettermill.plans.scratch import shared_folder
 from lettermill.plans.views import SQL_DOCS, SQL_EVENTS, docs_mail, events_mail
+from lettermill.schema import from_loose_json
 from lettermill.sources import readers, writers
-from lettermill.sources.snapshots import DeadLetterStore, MailStore
+from lettermill.sources.pages import read_pages, stream_pages
+from lettermill.sources.snapshots import DeadLetterStore, MailStore, Migration
 from lettermill.streaming import mail_stream
 
 Q = Registry()
@@ -145,6 +147,51 @@ def base64_bodies(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.sha2(readers.decode_base64url(coded), 256).alias("digest"))
 
 
+@Q.add("loose_records", """SELECT event_id::VARCHAR AS gmail_id, CASE WHEN event_id % 3 = 2 THEN NULL ELSE 'user' || user_id || '@x.org' END AS sender, event_type AS subject, CASE event_id % 4 WHEN 0 THEN event_type || ',UNREAD' WHEN 3 THEN '' ELSE event_type END AS labels,
+  date_trunc('millisecond', ts) AS date_received FROM events""")
+def loose_records(spark, d):
+    """Ids as numbers and texts, labels as lists and texts, dates as milliseconds and texts, senders under two names, all in one file; every fifth line is broken besides."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    k, q = F.col("event_id"), lambda c: F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    sender = F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit("@x.org"))
+    parts = F.concat_ws(
+        ", ", F.concat(F.lit('"id": '), F.when(k % 2 == 0, k.cast("string")).otherwise(q(k.cast("string")))), F.concat(F.lit('"subject": '), q(F.col("event_type"))),
+        F.when(k % 3 == 0, F.concat(F.lit('"from": '), q(sender))).when(k % 3 == 1, F.concat(F.lit('"from": "", "sender": '), q(sender))),
+        F.concat(F.lit('"labels": '), F.when(k % 4 == 0, q(F.concat("event_type", F.lit(" , UNREAD")))).when(k % 4 == 1, q(F.col("event_type"))).when(k % 4 == 2, F.to_json(F.array("event_type"))).otherwise("[]")),
+        F.concat(F.lit('"date": '), F.when(k % 5 < 2, F.unix_millis(F.col("ts").cast("timestamp")).cast("string")).otherwise(q(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS")))))
+    lines = e.select(F.concat(F.lit("{"), parts, F.lit("}")).alias("value")).unionByName(e.where("event_id % 5 = 0").select(F.concat(F.lit('{"id": '), k.cast("string")).alias("value")))
+    return from_loose_json(lines).select("gmail_id", "sender", "subject", F.array_join("labels", ",").alias("labels"), "date_received")
+
+
+@Q.add("paged_ids", "SELECT event_id::VARCHAR AS id, 't' || user_id AS thread_id, 1 AS times FROM events")
+def paged_ids(spark, d):
+    """Ids written as pages; half of them are streamed, then, from the same checkpoint, the rest: none is lost or comes twice."""
+    folder = shared_folder(spark, "pages")
+    e = spark.read.parquet(f"{d}/events.parquet")
+    one = F.struct(F.col("event_id").cast("string").alias("id"), F.concat(F.lit("t"), F.col("user_id").cast("string")).alias("threadId"))
+    pages = e.groupBy(F.floor(F.col("event_id") / 500).alias("page")).agg(F.collect_list(one).alias("messages"))
+    for half in (0, 1):
+        pages.where(F.pmod("page", F.lit(2)) == half).select("messages").write.mode("append").json(f"{folder}/in/{half}")
+        mail_stream.write_available(stream_pages(spark, f"{folder}/in"), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    got = spark.read.parquet(f"{folder}/out").select("id", "thread_id").unionByName(read_pages(spark, f"{folder}/in").select("id", "thread_id"))
+    return got.groupBy("id", "thread_id").agg((F.count("*") / 2).cast("int").alias("times"))
+
+
+@Q.add("store_migrations", f"""{EVENTS} SELECT gmail_id::VARCHAR AS gmail_id, CASE WHEN gmail_id % 10 = 0 THEN 'late' ELSE subject END AS title, 5 + length(CASE WHEN gmail_id % 10 = 0 THEN 'late' ELSE subject END) AS title_length, 2 AS applied FROM mail""")
+def store_migrations(spark, d):
+    """Two migrations, mail merged after them, the first rolled back and applied again."""
+    m = _ids(events_mail(spark, d).select("gmail_id", "subject", "sender"))
+    box = MailStore(spark, shared_folder(spark, "store"), 8)
+    box.create(m)
+    measure, name = Migration("001", add={"subject_length": "5 + length(subject)"}), Migration("002", rename={"subject": "title", "subject_length": "title_length"})
+    box.migrate([measure])
+    box.roll_back(measure)
+    box.upsert(m.where("gmail_id % 10 = 0").withColumn("subject", F.lit("late")))
+    box.migrate([measure, name])
+    status = box.migration_status([measure, name]).where("status = 'applied'").count()
+    return box.read().select("gmail_id", "title", "title_length", F.lit(status).alias("applied"))
+
+
 # Text checks
 
 

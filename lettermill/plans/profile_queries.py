@@ -29,9 +29,10 @@ def classified_docs(spark, d):
 
 @Q.add("category_summary", f"""{CLASSIFIED} SELECT category, count(*) AS n, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM classified), 3) AS pct, round(avg(confidence), 3) AS mean_confidence FROM classified GROUP BY category""")
 def category_summary(spark, d):
-    """The flagship: quality gate, rule classification, summary by category."""
-    mail = quality.require_quality(events_mail(spark, d).select("gmail_id", "date_received", "subject", "sender", "body"))
-    out = rules.classify(mail).groupBy("category").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 3).alias("mean_confidence"))
+    """The flagship: quality gate, rule classification, summary by category, in one scan."""
+    mail = events_mail(spark, d).select("gmail_id", "date_received", "subject", "sender", "body")
+    summary = lambda rows: rows.groupBy("category").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 3).alias("mean_confidence"))
+    out = quality.gated_report(mail, rules.classify, ["category", "confidence"], summary)
     return senders.with_share(out).select("category", "n", "pct", "mean_confidence")
 
 

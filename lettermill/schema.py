@@ -52,3 +52,40 @@ def check_mail(df: DataFrame) -> DataFrame:
         F.when(F.col("gmail_id").isNull() | (F.col("gmail_id") == ""), "no id").when(F.col("year_month").isNotNull() & ~F.col("year_month").rlike(r"^\d{4}-\d{2}$"), "bad month").when(F.length("sender") > 254, "long address")
     )
     return df.withColumn("problem", problem).where("problem is not null")
+
+
+def from_loose_json(lines: DataFrame, text: str = "value") -> DataFrame:
+    """Mail from JSON records whose fields differ in type from row to row, as a column of texts; rows that are no JSON object are left out.
+
+    Each record is a variant: a field is looked up by its aliases, the first that is there and not empty, and taken as what it is. Numbers are
+    ids, ``labels`` are a list or one text with commas, dates are texts or milliseconds, recipients a list or one text.
+    """
+    from lettermill.functions.text import parse_address, parse_mail_date, split_addresses, year_month
+
+    v = lines.select(F.try_parse_json(F.col(text)).alias("v")).where(F.schema_of_variant("v").startswith("OBJECT"))
+    got = lambda name, kind: F.try_variant_get("v", f"$.{name}", kind)
+    is_list = lambda name: F.schema_of_variant(F.variant_get("v", f"$.{name}", "variant")).startswith("ARRAY")
+    one = lambda name: F.nullif(F.when(~F.coalesce(is_list(name), F.lit(False)), got(name, "string")), F.lit(""))
+    every = lambda name, cut: F.when(is_list(name), got(name, "array<string>")).otherwise(cut(got(name, "string")))
+    commas = lambda c: F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
+    when = lambda name: F.coalesce(F.timestamp_millis(got(name, "bigint")).cast("timestamp_ntz"), parse_mail_date(one(name)).cast("timestamp_ntz"))
+
+    def recipient(kind: str):
+        lists = F.transform(F.flatten(F.transform(F.coalesce(every(kind, split_addresses), F.array().cast("array<string>")), split_addresses)), parse_address)
+        return F.transform(F.filter(lists, lambda a: a["address"].isNotNull()), lambda a: F.struct(a["address"].alias("address"), F.lit(kind).alias("type"), a["display_name"].alias("display_name")))
+
+    out = {}
+    for field in MAIL:
+        names = ALIASES.get(field.name, (field.name,))
+        if field.name == "date_received":
+            out[field.name] = F.coalesce(*[when(n) for n in names])
+        elif field.name == "labels":
+            out[field.name] = F.coalesce(every("labels", commas), every("labelIds", commas))
+        elif field.name == "recipients":
+            out[field.name] = F.concat(*[recipient(kind) for kind in ("to", "cc", "bcc")])
+        elif isinstance(field.dataType, T.StringType):
+            out[field.name] = F.coalesce(*[one(n) for n in names])
+        elif field.name != "year_month":
+            out[field.name] = F.coalesce(*[got(n, field.dataType.simpleString()) for n in names]).cast(field.dataType)
+    mail = v.select(*[c.cast(MAIL[n].dataType).alias(n) for n, c in out.items()])
+    return mail.withColumn("year_month", year_month(F.col("date_received"))).select(*MAIL.names)

@@ -1,7 +1,9 @@
 """Keyed tables in hash buckets, and the mail store on them: a change rewrites only the buckets it touches, and one commit makes it visible."""
 
+import hashlib
 import json
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +50,40 @@ class Commits:
         table.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").json(f"{self.path}/_versions/v{version}")
 
 
+@dataclass(frozen=True)
+class State:
+    """What one commit says: schema, the version that holds each bucket, the last batch of each source, applied migrations by name."""
+
+    version: int
+    schema: T.StructType
+    at: dict[int, int]
+    batches: dict[str, int]
+    migrations: dict[str, str]
+
+
+@dataclass(frozen=True)
+class Migration:
+    """A change of a store's columns: new ones by SQL expressions over the old, then new names."""
+
+    name: str
+    add: dict[str, str] = field(default_factory=dict)
+    rename: dict[str, str] = field(default_factory=dict)
+
+    @property
+    def text(self) -> str:
+        """The checksum of what it does."""
+        return hashlib.md5(json.dumps([self.name, self.add, self.rename], sort_keys=True).encode()).hexdigest()
+
+    def forward(self, rows: DataFrame) -> DataFrame:
+        clash = ({*self.add} | {*self.rename.values()}) & {*rows.columns}
+        if clash:
+            raise ValueError(f"columns are there already: {', '.join(sorted(clash))}")
+        return rows.withColumns({c: F.expr(e) for c, e in self.add.items()}).withColumnsRenamed(self.rename)
+
+    def backward(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumnsRenamed({new: old for old, new in self.rename.items()}).drop(*self.add)
+
+
 class KeyedStore:
     """A table whose rows lie in ``buckets`` folders by the hash of ``key``.
 
@@ -64,14 +100,13 @@ class KeyedStore:
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(F.col(self.key).cast("string")), F.lit(self.buckets))
 
-    def _state(self, version: int | None = None) -> tuple[int, T.StructType, dict[int, int], dict[str, int]]:
-        """(version, schema, version of each bucket, last batch of each source)."""
+    def _state(self, version: int | None = None) -> "State":
         version = version if version is not None else self.commits.newest()
         if version is None:
             raise FileNotFoundError(f"no snapshot below {self.path}")
         rows = self.commits.read(version)
-        schema = next(T.StructType.fromJson(json.loads(v)) for k, _, v in rows if k == "schema")
-        return version, schema, {int(n): int(v) for k, n, v in rows if k == "bucket"}, {n: int(v) for k, n, v in rows if k == "batch"}
+        of = lambda kind: [(n, v) for k, n, v in rows if k == kind]
+        return State(version, T.StructType.fromJson(json.loads(of("schema")[0][1])), {int(n): int(v) for n, v in of("bucket")}, {n: int(v) for n, v in of("batch")}, dict(sorted(of("migration"), key=lambda x: x[0])))
 
     def _folders(self, schema: T.StructType, at: dict[int, int]) -> DataFrame:
         if not at:
@@ -83,8 +118,8 @@ class KeyedStore:
         return self.commits.newest()
 
     def read(self, version: int | None = None) -> DataFrame:
-        _, schema, at, _ = self._state(version)
-        return self._folders(schema, at)
+        state = self._state(version)
+        return self._folders(state.schema, state.at)
 
     def _touched(self, keys: DataFrame) -> list[int]:
         """The buckets of some keys: at most ``buckets`` numbers."""
@@ -92,45 +127,73 @@ class KeyedStore:
 
     def get(self, ids: DataFrame) -> DataFrame:
         """The rows of the keys in ``ids``, from their buckets alone."""
-        _, schema, at, _ = self._state()
-        mine = self._folders(schema, {b: at[b] for b in self._touched(ids) if b in at})
+        state = self._state()
+        mine = self._folders(state.schema, {b: state.at[b] for b in self._touched(ids) if b in state.at})
         return mine.join(ids.select(self.key).distinct(), self.key, "left_semi")
 
     def applied(self, source: str) -> int:
         """The last batch number of a source, -1 if there is none."""
-        return self._state()[3].get(source, -1)
+        return self._state().batches.get(source, -1)
 
-    def _write(self, version: int, rows: DataFrame, at: dict[int, int], touched: list[int] | None, batches: dict[str, int]) -> int:
+    def _write(self, version: int, rows: DataFrame, at: dict[int, int], touched: list[int] | None, batches: dict[str, int], migrations: dict[str, str]) -> int:
         """Write ``rows`` as the buckets ``touched`` (None: all) of a version and commit it."""
         folder = f"{self.path}/data/__version={version}"
-        schema = rows.schema
+        schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema])
         rows.withColumn("__bucket", self._bucket()).hint("rebalance", "__bucket").write.partitionBy("__bucket").mode("overwrite").parquet(folder)
         made = {int(n.partition("=")[2]) for n in self.commits.children(folder) if n.startswith("__bucket=")}
         at = {} if touched is None else {b: v for b, v in at.items() if b not in touched}
         at |= {b: version for b in made}
-        state = [("schema", "", T.StructType([T.StructField(f.name, f.dataType) for f in schema]).json())]
-        self.commits.put(version, state + [("bucket", str(b), str(v)) for b, v in sorted(at.items())] + [("batch", s, str(n)) for s, n in sorted(batches.items())])
+        of = lambda kind, values: [(kind, str(n), str(v)) for n, v in sorted(values.items())]
+        self.commits.put(version, [("schema", "", schema.json()), *of("bucket", at), *of("batch", batches), *of("migration", migrations)])
         return version
 
     def create(self, rows: DataFrame) -> int:
         """The first version, or one that replaces all before."""
-        return self._write((self.commits.newest() or 0) + 1, rows, {}, None, {})
+        return self._write((self.commits.newest() or 0) + 1, rows, {}, None, {}, {})
+
+    def migrate(self, migrations: list["Migration"]) -> int:
+        """Apply those of ``migrations`` that are not applied yet, in order, as one version; one that was applied with another text is an error."""
+        state = self._state()
+        for m in migrations:
+            if state.migrations.get(m.name, m.text) != m.text:
+                raise ValueError(f"migration {m.name} has changed since it was applied")
+        due = [m for m in migrations if m.name not in state.migrations]
+        if not due:
+            return state.version
+        rows = self._folders(state.schema, state.at)
+        for m in due:
+            rows = m.forward(rows)
+        return self._write(state.version + 1, rows, {}, None, state.batches, state.migrations | {m.name: m.text for m in due})
+
+    def roll_back(self, migration: "Migration") -> int:
+        """Undo an applied migration: added columns go, names come back. The rows stay those of now."""
+        state = self._state()
+        if state.migrations.get(migration.name) != migration.text:
+            raise ValueError(f"migration {migration.name} is not applied, or has changed since")
+        rows = migration.backward(self._folders(state.schema, state.at))
+        return self._write(state.version + 1, rows, {}, None, state.batches, {n: t for n, t in state.migrations.items() if n != migration.name})
+
+    def migration_status(self, migrations: list["Migration"]) -> DataFrame:
+        """(name, status): pending, applied, or changed."""
+        done = self._state().migrations
+        rows = [(m.name, "pending" if m.name not in done else "applied" if done[m.name] == m.text else "changed") for m in migrations]
+        return self.spark.createDataFrame(rows, "name string, status string")
 
     def merge(self, changes: DataFrame, how: Callable[[DataFrame, DataFrame], DataFrame], batch: tuple[str, int] | None = None) -> int:
         """Commit ``how(rows of the touched buckets, changes)``; the version stays if there are no changes or the batch was applied."""
-        version, schema, at, batches = self._state()
-        if batch and batches.get(batch[0], -1) >= batch[1]:
-            return version
+        state = self._state()
+        if batch and state.batches.get(batch[0], -1) >= batch[1]:
+            return state.version
         changes = changes.persist()
         try:
             touched = self._touched(changes)
             if not touched and not batch:
-                return version
-            old = self._folders(schema, {b: at[b] for b in touched if b in at})
+                return state.version
+            old = self._folders(state.schema, {b: state.at[b] for b in touched if b in state.at})
             # The store's columns and types; a value that may be null stands where one of the schema could not.
             rows = how(old, changes)
-            rows = rows.select(*[F.col(f.name) if rows.schema[f.name].dataType.simpleString() == f.dataType.simpleString() else F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
-            return self._write(version + 1, rows, at, touched, batches | ({batch[0]: batch[1]} if batch else {}))
+            rows = rows.select(*[F.col(f.name) if rows.schema[f.name].dataType.simpleString() == f.dataType.simpleString() else F.col(f.name).cast(f.dataType).alias(f.name) for f in state.schema])
+            return self._write(state.version + 1, rows, state.at, touched, state.batches | ({batch[0]: batch[1]} if batch else {}), state.migrations)
         finally:
             changes.unpersist()
 
@@ -138,7 +201,7 @@ class KeyedStore:
         """Remove all but the newest ``keep`` versions, and the folders that none of those names."""
         versions = self.commits.versions()
         kept = versions[-max(keep, 1) :]
-        used = {v for n in kept for v in self._state(n)[2].values()}
+        used = {v for n in kept for v in self._state(n).at.values()}
         for name in self.commits.children(f"{self.path}/data"):
             if int(name.partition("=")[2]) not in used:
                 self.commits.remove(f"{self.path}/data/{name}")
@@ -179,7 +242,7 @@ class MailStore(KeyedStore):
         if labels is not None:
             parts.append(labels.select("gmail_id", F.struct("add", "remove").alias("labels_")))
         if not parts:
-            return self._state()[0]
+            return self._state().version
         changes = parts[0]
         for p in parts[1:]:
             changes = changes.unionByName(p, allowMissingColumns=True)

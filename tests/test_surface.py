@@ -141,3 +141,76 @@ def test_idle_lockout_state_is_gone(spark, tmp_path):
         lockouts(events).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     state = spark.read.format("statestore").option("stateVarName", "client").load(str(tmp_path / "cp"))
     assert [r["key"]["client"] for r in state.collect()] == ["c"]
+
+
+def test_progress_counts_what_was_sent(spark, tmp_path):
+    from lettermill.streaming.progress import Progress, watched
+
+    store = MailStore(spark, str(tmp_path / "store"), 4)
+    store.create(spark.createDataFrame([], MAIL_ROWS))
+    changes = "gmail_id string, history_id long, type string, subject string, sender string, body string, error string"
+    for i in range(3):
+        rows = [(f"{i}-{k}", k, "added", "c", "z", "t", "timeout" if k == 0 else None) for k in range(10 + i)]
+        spark.createDataFrame(rows, changes).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    said = []
+    with Progress(spark, lambda done, now: said.append((done, now))) as p:
+        stream = watched(mail_stream.read_stream(spark, str(tmp_path / "in"), changes, 1), F.col("error"))
+        mail_stream.sync_history(stream, store, str(tmp_path / "letters"), str(tmp_path / "cp")).awaitTermination()
+    batches = p.table().where("rows > 0").orderBy("batch").collect()
+    assert [(r["rows"], r["errors"]) for r in batches] in ([(10, 1), (11, 1), (12, 1)], [(x, 1) for x in sorted({10, 11, 12}, key=lambda n: [r["rows"] for r in batches].index(n))])
+    assert sum(r["rows"] for r in batches) == 33 == said[-1][0] and store.count() == 30
+    bad = watched(mail_stream.read_stream(spark, str(tmp_path / "in"), changes))
+    failures = []
+    with Progress(spark, on_error=lambda run, e: failures.append(e)) as p:
+        q = bad.writeStream.foreachBatch(lambda *_: 1 / 0).option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
+        with pytest.raises(Exception):
+            q.awaitTermination()
+    assert len(failures) == 1 and p.table().where("failure is not null").count() == 1
+
+
+def test_patterns_without_end_are_refused():
+    from lettermill.functions import packs
+    from lettermill.functions.patterns import UnsafePattern, check_pattern
+    from lettermill.operators import rules
+
+    for bad in (r"(a+)+$", r"(a|aa)*b", r"(\w+\s*)*x", r"(.*)*y", r"([a-z]+)*1", r"(a|a?)+c", r"((a+)b?)+$", r"(\p{L}+)*!", "("):
+        with pytest.raises(UnsafePattern):
+            check_pattern(bad)
+    for good in (r"(\w+,)*x", r"a+b+", r"(foo|bar)+x", r"^re:", r"[a-z]+@[a-z]+\.com", r"(\d{1,3}\.){3}\d+", r"(?:x(?:ab*)*)+y", r"(a+)+"):
+        assert check_pattern(good) == good
+    with pytest.raises(UnsafePattern):
+        rules.rule_pack(custom=[("Bad", 1, ["x"], [r"(a+)+$"], 0.9)])
+
+    def texts(x):
+        return [x] if isinstance(x, str) else [t for v in (x.values() if isinstance(x, dict) else x) for t in texts(v)] if isinstance(x, (dict, list, tuple, set, frozenset)) else []
+
+    assert len([check_pattern(t) for name in dir(packs) if name.isupper() and "PATTERN" in name for t in texts(getattr(packs, name))]) > 20
+
+
+def test_loose_records(spark):
+    from lettermill.schema import MAIL, from_loose_json
+
+    lines = [
+        '{"id": 7, "labels": "INBOX, UNREAD", "date": "2024-01-02 03:04:05", "from": "A <a@b.c>", "to": "x@y.z, Q <q@r.s>"}', '{"gmail_id": "m1", "labels": ["A"], "date": 1704164645000, "size": 12, "to": ["x@y.z"], "extra": {"a": [1]}}',
+        '{"id": "", "message_id": "m2", "labels": null, "subject": 5, "size": "many", "labelIds": ["L"]}', "not json", "[1]", "", "{}",
+    ]
+    got = from_loose_json(spark.createDataFrame([(x,) for x in lines] + [(None,)], "value string")).collect()
+    by = {r["gmail_id"]: r for r in got}
+    assert len(got) == 4 and got[0].__fields__ == MAIL.names and set(by) == {"7", "m1", "m2", None}
+    assert by["7"]["labels"] == ["INBOX", "UNREAD"] and by["m1"]["labels"] == ["A"] and by["m2"]["labels"] == ["L"] and by["m2"]["subject"] == "5" and by["m2"]["size"] is None
+    assert str(by["7"]["date_received"]) == str(by["m1"]["date_received"]) == "2024-01-02 03:04:05" and by["m1"]["size"] == 12 and by["m1"]["year_month"] == "2024-01"
+    assert [r["address"] for r in by["7"]["recipients"]] == ["x@y.z", "q@r.s"] and [r["address"] for r in by["m1"]["recipients"]] == ["x@y.z"]
+
+
+def test_the_gate_and_the_report_are_one_scan(spark):
+    from lettermill.operators import quality
+
+    mail = spark.createDataFrame([("1", "a"), ("2", None), ("2", "b")], "gmail_id string, subject string")
+    report = lambda rows: rows.groupBy("twice").agg(F.count("*").alias("n"))
+    twice = lambda df: df.withColumn("twice", F.concat("subject", "subject"))
+    with pytest.raises(quality.QualityError) as e:
+        quality.gated_report(mail, twice, ["twice"], report)
+    want = {f"{r['issue']} {r['field']}: {r['measured']}" for r in quality.gate_issues(mail).collect()}
+    assert set(str(e.value).split("; ")) == want
+    good = spark.createDataFrame([(str(i), "a") for i in range(9)], "gmail_id string, subject string")
+    assert [tuple(r) for r in quality.gated_report(good, twice, ["twice"], report).collect()] == [("aa", 9)]
