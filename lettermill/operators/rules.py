@@ -162,9 +162,10 @@ def three_signals(df: DataFrame, subject: str = "subject", body: str = "body", s
     }).drop("__from", "__subject", "__body", "__labels", "__scores", "__pattern", "__auto", "__title", "__high", "__medium", "__best", "__domain")
 
 
-def newsletter_score(df: DataFrame, subject: str = "subject", sender: str = "sender", body: str = "body", limit: int = 500) -> DataFrame:
-    """``df`` with ``newsletter_points, newsletter_reasons, is_newsletter``; inputs are cut at ``limit`` characters, as the detector's rule says."""
-    cut = lambda c: F.lower(F.left(F.coalesce(F.col(c), F.lit("")), F.lit(limit)))
+def newsletter_score(df: DataFrame, subject: str = "subject", sender: str = "sender", body: str = "body", limit: int | None = None) -> DataFrame:
+    """``df`` with ``newsletter_points, newsletter_reasons, is_newsletter``, from whole texts; ``limit`` cuts them, at 500 characters in the rule that this follows."""
+    whole = lambda c: F.coalesce(F.col(c), F.lit(""))
+    cut = lambda c: F.lower(F.left(whole(c), F.lit(limit)) if limit is not None else whole(c))
     df = df.withColumns({"__s": cut(subject), "__f": cut(sender), "__b": cut(body)})
     s, f, b = F.col("__s"), F.col("__f"), F.col("__b")
     signs = [

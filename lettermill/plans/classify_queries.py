@@ -90,7 +90,7 @@ def keyword_domain_score(spark, d):
 
 
 _NEWS_SIGNS = [any_of("s", packs.AI_KEYWORDS), any_of("f", packs.AI_KEYWORDS), any_of("f", packs.AI_DOMAINS), any_match("(s || ' ' || f)", packs.NEWSLETTER_PATTERNS), any_match("b", packs.UNSUBSCRIBE_PATTERNS), any_of("f", packs.NEWSLETTER_SENDERS)]
-_NEWS = f"""{DOCS}, c AS (SELECT gmail_id, lower(left(coalesce(subject, ''), 500)) AS s, lower(left(coalesce(sender, ''), 500)) AS f, lower(left(coalesce(body, ''), 500)) AS b FROM mail),
+_NEWS = f"""{DOCS}, c AS (SELECT gmail_id, lower(coalesce(subject, '')) AS s, lower(coalesce(sender, '')) AS f, lower(coalesce(body, '')) AS b FROM mail),
   p AS (SELECT gmail_id, CAST({" + ".join(f"CASE WHEN {t} THEN {n} ELSE 0 END" for t, n in zip(_NEWS_SIGNS, packs.NEWSLETTER_POINTS))} AS INTEGER) AS newsletter_points, CAST({" + ".join(f"{t}::INT" for t in _NEWS_SIGNS)} AS INTEGER) AS reasons FROM c)"""
 
 

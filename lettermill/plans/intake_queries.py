@@ -51,6 +51,16 @@ def buried_headers(spark, d):
     return readers.parse_eml(_spread(files)).select("gmail_id", "sender", F.trim("subject").alias("subject"), F.trim("body").alias("body"))
 
 
+@Q.add("buried_headers_and_quotes", f"{EVENTS} SELECT gmail_id::VARCHAR AS gmail_id, sender, subject, 'my answer ' || gmail_id || chr(10) || chr(10) || 'From: old@x' || chr(10) || 'Subject: old' || chr(10) || 'X-Gmail-ID: 0' || chr(10) || chr(10) || 'quoted ' || subject AS body FROM mail")
+def buried_headers_and_quotes(spark, d):
+    """Buried headers before a body that quotes another mail with its headers."""
+    e = events_mail(spark, d)
+    head = F.concat(F.lit("+OK 5\nX-Relay: a\n\nDate: Mon, 1 Jan 2024 00:00:00 +0000\nFrom: "), "sender", F.lit("\nSubject: "), "subject", F.lit("\nX-Gmail-ID: "), F.col("gmail_id").cast("string"), F.lit("\n\nContent-Type: text/plain; charset=utf-8\n\n"))
+    raw = F.concat(head, F.lit("my answer "), F.col("gmail_id").cast("string"), F.lit("\n\nFrom: old@x\nSubject: old\nX-Gmail-ID: 0\n\nquoted "), "subject")
+    files = e.select(F.concat(F.col("gmail_id").cast("string"), F.lit(".eml")).alias("path"), raw.cast("binary").alias("content"))
+    return readers.parse_eml(_spread(files)).select("gmail_id", "sender", "subject", "body")
+
+
 @Q.add("markdown_round_trip", f"{EVENTS} SELECT gmail_id::VARCHAR AS gmail_id, sender, subject, body FROM mail")
 def markdown_round_trip(spark, d):
     mail = events_mail(spark, d).withColumn("to", F.lit(None).cast("string"))

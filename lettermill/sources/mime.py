@@ -63,27 +63,31 @@ def html_to_markdown(page: str) -> str:
 #: Headers that a damaged file may hold further down. Fixed values.
 KNOWN_HEADERS = ("Message-ID", "Subject", "From", "To", "Cc", "Bcc", "Date", "X-Gmail-ID", "X-Thread-ID", "X-Gmail-Labels", "Content-Type", "Content-Transfer-Encoding", "MIME-Version")
 _HEADER = re.compile(rb"^(" + b"|".join(re.escape(h.encode()) for h in KNOWN_HEADERS) + rb"):[ \t]*([^\r\n]*(?:\r?\n[ \t]+[^\r\n]+)*)", re.M | re.I)
-_BOUNDARY = re.compile(rb"boundary=\"?([^\";\r\n]+)", re.I)
+_BLOCK = re.compile(rb"(?:^[!-9;-~]+:[^\r\n]*(?:\r?\n[ \t]+[^\r\n]*)*(?:\r?\n|\Z))+", re.M)
+_NAMED = re.compile(rb"^(?:From|Subject):", re.M | re.I)
+_MIME_NAME = re.compile(rb"(?:Content-[A-Za-z-]+|MIME-Version):", re.I)
 
 
 def repair_message(raw: bytes) -> bytes:
     """A message whose headers lie behind other lines, with its headers in front and its body behind one blank line.
 
-    Known headers are gathered from the whole file up to its body, continuation lines with them; of repeated ones the last counts.
-    The body starts at the first line of the MIME boundary, else behind the last known header's next blank line.
+    The headers are the first block of adjacent header lines that has From or Subject, with known ones that stand before it; of
+    repeated ones the last counts. A block of MIME headers alone that follows belongs to them. The body is all behind: mail
+    that it quotes, headers and all, is body. If no block has From or Subject, known headers are taken up to the last one.
     """
-    found = {m[1].lower(): m for m in _HEADER.finditer(raw)}
-    mark = next((m[1] for m in [_BOUNDARY.search(h[2]) for h in found.values()] if m), None)
-    first_part = raw.find(b"--" + mark) if mark else -1
-    if first_part >= 0:
-        found = {m[1].lower(): m for m in _HEADER.finditer(raw, 0, first_part)}
-        body = first_part
+    block = next((m for m in _BLOCK.finditer(raw) if _NAMED.search(m[0])), None)
+    if block:
+        end = block.end()
+        while more := _BLOCK.match(raw, re.compile(rb"[\r\n]*").match(raw, end).end()):
+            lines = [line for line in more[0].splitlines() if line[:1] not in b" \t"]
+            if not all(_MIME_NAME.match(line) for line in lines):
+                break
+            end = more.end()
     else:
-        last = max((m.end() for m in found.values()), default=0)
-        gap = re.compile(rb"\r?\n[ \t]*\r?\n").search(raw, last)
-        body = gap.end() if gap else len(raw)
+        end = max((m.end() for m in _HEADER.finditer(raw)), default=0)
+    found = {m[1].lower(): m for m in _HEADER.finditer(raw, 0, end)}
     head = b"\r\n".join(m[1] + b": " + re.sub(rb"\r?\n[ \t]+", b" ", m[2]) for m in found.values())
-    return head + b"\r\n\r\n" + raw[body:]
+    return head + b"\r\n\r\n" + raw[end:].lstrip(b"\r\n")
 
 
 def parse_message(raw: bytes) -> dict:

@@ -36,6 +36,16 @@ def test_eml_scan_ignores_the_weekday_and_survives_bad_files(spark, tmp_path):
     assert "18fd4d295a4fe8eb" in got
 
 
+def test_a_quoted_mail_is_body():
+    from lettermill.sources.mime import parse_message
+
+    got = parse_message(b"+OK 5\nFrom: a@x\nSubject: mine\n\nHello, my own answer.\n\nFrom: b@y\nSubject: old\n\nquoted rest")
+    assert (got["headers"]["From"], got["headers"]["Subject"], got["plain"]) == ("a@x", "mine", "Hello, my own answer.\n\nFrom: b@y\nSubject: old\n\nquoted rest")
+    parts = parse_message(b"relay line\n\nSubject: s\nFrom: a@x\n\n\nContent-Type: multipart/mixed; boundary=\"q\"\nMIME-Version: 1.0\n\n--q\nContent-Type: text/plain\n\nFrom: c@z\ninside\n--q--\n")
+    assert parts["headers"]["From"] == "a@x" and parts["plain"].strip() == "From: c@z\ninside"
+    assert parse_message(b"line\n\nDate: 1 Jan 2024 00:00:00 +0000\nTo: t@x\n\nbody")["error"] is None
+
+
 def test_markdown_scan(spark, tmp_path):
     (tmp_path / "2024-06-01_x_18fd4d295a4fe8ea.md").write_text("| Field | Value |\n| --- | --- |\n| From | a@b.c |\n| Subject | Hi |\n\n## Message Content\n\nBody\n\n\n\nend\n")
     r = readers.read_markdown(spark, str(tmp_path)).first()
