@@ -7,6 +7,7 @@ from lettermill.operators import ledger
 from lettermill.plans.registry import Registry
 from lettermill.plans.sqlparts import q
 from lettermill.plans.views import docs_mail, html_mail
+from lettermill.sources import renderers
 
 Q = Registry()
 
@@ -43,6 +44,26 @@ def best_rendering(spark, d):
     return m.select("gmail_id", best["name"].alias("name"))
 
 
+@Q.add("tree_markdown", """SELECT event_id AS gmail_id, '## ' || event_type || chr(10) || chr(10) || 'User **' || user_id || '** at [' || event_type || '](http://x/' || event_id || ')' || chr(10) || chr(10) || '- a' || chr(10) || '  - ' || user_id || chr(10) || '- c' || chr(10) || chr(10)
+    || '| k | v |' || chr(10) || '| --- | --- |' || chr(10) || '| n\\|m | ' || event_id || ' |' AS tree,
+  '## ' || event_type || chr(10) || chr(10) || 'User **' || user_id || '** at [' || event_type || '][1]' || chr(10) || chr(10) || '- a' || chr(10) || '  - ' || user_id || chr(10) || '- c' || chr(10) || chr(10)
+    || '| k | v |' || chr(10) || '| --- | --- |' || chr(10) || '| n\\|m | ' || event_id || ' |' || chr(10) || chr(10) || '[1]: http://x/' || event_id AS links FROM events""")
+def tree_markdown(spark, d):
+    """Pages made of events, with a heading, a link, a nested list without end tags, and a table; two renderings."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    k, kind, user = F.col("event_id").cast("string"), F.col("event_type"), F.col("user_id").cast("string")
+    page = F.concat(F.lit("<div><h2>"), kind, F.lit("</h2><script>x</script><p>User <b>"), user, F.lit("</b>\n at <a href='http://x/"), k, F.lit("'>"), kind, F.lit("</a><ul><li>a<ul><li>"), user, F.lit("</ul><li>c</ul><table><tr><th>k<th>v<tr><td>n|m<td>"), k, F.lit("</table></div>"))
+    return renderers.with_renderings(e.select(F.col("event_id").alias("gmail_id"), page.alias("body_html"))).select("gmail_id", "tree", "links")
+
+
+@Q.add("best_of_renderings", """SELECT page_id AS gmail_id, page_id % 4 = 3 AS is_plain, true AS whole FROM pages""")
+def best_of_renderings(spark, d):
+    """The best of three renderings of each page; where the page is gone, of its text part."""
+    m = html_mail(spark, d).withColumn("body", F.when(F.col("gmail_id") % 4 == 3, "a text part")).withColumn("body_html", F.when(F.col("gmail_id") % 4 != 3, F.col("body_html")))
+    best = renderers.best_markdown(m, plain="body")
+    return best.select("gmail_id", (F.col("rendering") == "plain").alias("is_plain"), ((F.length("markdown") > 0) & F.col("quality").between(0.01, 1.0)).alias("whole"))
+
+
 def _files(spark, d):
     p = spark.read.parquet(f"{d}/pages.parquet")
     return p.select(F.concat(F.lit("2024/0"), (F.col("page_id") % 9 + 1).cast("string"), F.lit("/"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 3 == 0, ".EML").when(F.col("page_id") % 3 == 1, ".md").otherwise("")).alias("path"), F.octet_length("html").cast("long").alias("size"))
@@ -81,3 +102,34 @@ def wrapped_bodies(spark, d):
     """Bodies with lines of 100 characters at most where spaces allow it."""
     return docs_mail(spark, d).select("gmail_id", markup.wrap(F.coalesce("body", F.lit(""))).alias("body"))
 
+
+
+@Q.add("content_types", "SELECT CASE WHEN page_id % 2 = 0 THEN 'text/html' ELSE 'message/rfc822' END AS content_type, count(*) AS n, CAST(sum(strlen(html)) AS BIGINT) AS bytes FROM pages GROUP BY 1")
+def content_types(spark, d):
+    p = spark.read.parquet(f"{d}/pages.parquet")
+    return ledger.content_types(p.select(F.when(F.col("page_id") % 2 == 0, "text/html").otherwise("message/rfc822").alias("content_type"), F.octet_length("html").cast("long").alias("size")))
+
+
+_SYNC = "s AS (SELECT user_id % 20 AS source, max(event_id) AS history_id, count(*) AS total_synced FROM events WHERE event_id % 2 = 0 GROUP BY 1), c AS (SELECT user_id % 20 AS source, max(event_id) AS history_id, count(*) AS total_synced FROM events WHERE event_id % 3 = 0 GROUP BY 1)"
+
+
+def _synced(spark, d, step):
+    e = spark.read.parquet(f"{d}/events.parquet").where(F.col("event_id") % step == 0)
+    return e.groupBy((F.col("user_id") % 20).alias("source")).agg(F.max("event_id").alias("history_id"), F.count("*").alias("total_synced"))
+
+
+@Q.add("sync_needed", f"WITH {_SYNC} SELECT c.source, s.history_id IS NULL OR c.history_id > s.history_id AS needed FROM c LEFT JOIN s USING (source)")
+def sync_needed(spark, d):
+    return ledger.sync_needed(_synced(spark, d, 3), _synced(spark, d, 2))
+
+
+@Q.add("sync_state", f"WITH {_SYNC} SELECT source, max(history_id) AS history_id, CAST(sum(total_synced) AS BIGINT) AS total_synced FROM (SELECT * FROM s UNION ALL SELECT * FROM c) GROUP BY 1")
+def sync_state(spark, d):
+    return ledger.sync_state(_synced(spark, d, 2), _synced(spark, d, 3))
+
+
+@Q.add("exhausted_letters", "SELECT user_id AS message_id, event_type AS failure_type, count(*) AS attempts FROM events WHERE event_type IN ('error', 'click') GROUP BY 1, 2 HAVING count(*) >= 5")
+def exhausted_letters(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").where("event_type in ('error', 'click')")
+    letters = ledger.dead_letters(e.select(F.col("user_id").alias("message_id"), F.col("event_type").alias("failure_type"), F.col("ts").alias("failed_at")))
+    return ledger.exhausted(letters).select("message_id", "failure_type", "attempts")

@@ -89,3 +89,31 @@ def test_classification_counts_the_winning_rule_only(spark):
     df = spark.createDataFrame([(1, "É bb", None, "q"), (2, "cc", None, "a@z"), (3, None, None, None)], "id int, subject string, body string, sender string")
     got = {r["id"]: (r["category"], r["confidence"]) for r in rules.classify(df, rules_).collect()}
     assert got == {1: ("x", 0.99), 2: ("y", 0.9), 3: ("Other", 0.5)}
+
+
+def test_each_rendering_wins_somewhere(spark):
+    from lettermill.sources import renderers
+
+    article = "<h1>Head</h1><p>" + "A sentence of the article that is long enough. " * 2 + "</p><ul><li>" + "an item with some words in it" + "</li></ul><p><a href='u'>a link with words</a></p>"
+    menu = "<nav><ul>" + "".join(f"<li><a href='/{i}'>{i}</a></li>" for i in range(10)) + "</ul></nav>"
+    far = "http://example.org/" + "x" * 300
+    rows = [
+        ("tree", f"<div>{article}</div>", None), ("main", f"<body>{menu}<div>{article}</div></body>", None),
+        ("links", f"<h1>Head</h1><ul><li>an item of some length, really</li></ul><p>see <a href='{far}'>the first of the pages</a></p><p>then <a href='{far}2'>the second of the pages</a></p><img src='p.png' alt='pic'>", None), ("plain", "<b></b>", "a text"), ("plain", None, "a text"),
+    ]
+    df = spark.createDataFrame(rows, "want string, body_html string, body string").withColumn("tree", F.lit("clash"))
+    got = renderers.best_markdown(df, plain="body").collect()
+    assert [r["rendering"] for r in got] == [r["want"] for r in got] and {r["want"] for r in got} == {"tree", "main", "links", "plain"}
+    assert "[0](/0)" not in got[1]["markdown"] and f"[1]: {far}" in got[2]["markdown"]
+
+
+def test_tree_renderings_of_odd_pages():
+    from lettermill.sources.renderers import render, renderings, tree_of
+
+    md = lambda page: render(tree_of(page))
+    assert md("<ol start=3><li>a<li>b<ul><li>c<li>d</ul></ol>") == "3. a\n4. b\n    - c\n    - d"
+    assert md("<table><tr><td>only<p>layout</td></tr></table>").split() == ["only", "layout"]
+    assert md("<table><tr><th>a</th><th>b</th></tr><tr><td>x|y</td></tr></table>") == "| a | b |\n| --- | --- |\n| x\\|y |  |"
+    assert md("<blockquote><p>a</p><p>b</p></blockquote>") == "> a\n>\n> b" and md("<pre>x\n  y</pre>") == "```\nx\n  y\n```"
+    assert md("</p><b>x") == "**x**" and md("a<br>b") == "a\nb" and md("<span style='display: none'>x</span>y") == "y" and md("<img src=a width=1>") == ""
+    assert renderings("<div>" * 20_000 + "deep" + "</div>" * 20_000)[0] == "deep" and renderings(None) == ("", "", "")
