@@ -1,15 +1,26 @@
 """A folder that driver and executors share, for queries that write what they then read."""
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
 
+@cache
+def _own_folder() -> str:
+    """One temporary folder for this process, removed at its end; for a local master only."""
+    folder = tempfile.mkdtemp(prefix="lettermill-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="lettermill-")
+        base = _own_folder()
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
