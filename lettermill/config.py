@@ -1,6 +1,7 @@
 """Configuration of an analysis, with the bounds of its values checked."""
 
 import json
+import re
 from dataclasses import dataclass, field, fields
 
 from lettermill.operators.quality import Thresholds
@@ -40,6 +41,14 @@ class AnalysisConfig:
         base = pack(said["classification_rules"]) if "classification_rules" in said else None
         return cls(**{k: v for k, v in flat.items() if k in known}, base_rules=base, custom_rules=pack(said.get("custom_categories", {})))
 
+    @classmethod
+    def of_groups(cls, said: dict) -> "AnalysisConfig":
+        """From a pack of pattern groups for sorting or deleting mail: sections ``<name>_patterns`` with keywords, and domains, personal_domains or senders,
+        which are plain parts of an address. Groups are tried in the order of the file; ``confidence_threshold`` of a group counts if it is there."""
+        groups = [(n.removesuffix("_patterns"), g) for n, g in said.items() if n.endswith("_patterns") and isinstance(g, dict)]
+        parts = lambda g: [re.escape(p) for k in ("domains", "personal_domains", "senders") for p in g.get(k, [])]
+        return cls(base_rules=tuple((n, i, g.get("keywords", []), parts(g), float(g.get("confidence_threshold", 0.8))) for i, (n, g) in enumerate(groups)))
+
     def thresholds(self) -> Thresholds:
         return Thresholds(self.min_completeness, self.max_null_rate)
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lettermill.functions import packs
-from lettermill.operators import rules, store
+from lettermill.operators import reports, rules, store
 from lettermill.plans.profile_queries import CLASSIFIED, CLASSIFIED_DOCS, DOCS, EVENTS, classified_docs, classified_events
 from lettermill.plans.registry import Registry
 from lettermill.plans.sqlparts import any_match, any_of, case, hits, q
@@ -139,3 +139,34 @@ def classifier_evaluation(spark, d):
     said = rules.classify(docs_mail(spark, d).withColumn("subject", F.lit("")), rule).select(F.col("gmail_id").alias("doc_id"), (F.col("category") == "Abuse").alias("said"))
     j = said.join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
     return j.agg(F.count("*").alias("total"), F.count_if(F.col("said") & (F.col("toxic") == 1)).alias("tp"), F.count_if(F.col("said") & (F.col("toxic") == 0)).alias("fp"), F.count_if(~F.col("said") & (F.col("toxic") == 1)).alias("fn"))
+
+
+_SHARE = "round(n * 100.0::DOUBLE / {whole}, 1)"
+_DONE = "(SELECT count(primary_category) FROM t)"
+
+
+@Q.add("classification_report", f"""WITH t AS ({_three(EVENTS).replace("SELECT gmail_id, freq AS sender_frequency", "SELECT sender, gmail_id, freq AS sender_frequency")}), w AS (SELECT count(*) AS total, count(primary_category) AS done, round(avg(confidence_score), 3) AS mean, count(*) FILTER (automated_score > 0.5) AS a, count(*) FILTER (has_unsubscribe) AS u, count(*) FILTER (is_thread) AS th FROM t),
+  r AS (SELECT 'overview' AS section, 'total_emails' AS name, NULL AS detail, total AS n, {_SHARE.format(whole="total").replace("n *", "total *")} AS pct, mean AS avg_confidence FROM w UNION ALL SELECT 'overview', 'classified_emails', NULL, done, round(done * 100.0::DOUBLE / total, 1), NULL FROM w
+    UNION ALL SELECT 'quality_metrics', 'automated', NULL, a, round(a * 100.0::DOUBLE / total, 1), NULL FROM w UNION ALL SELECT 'quality_metrics', 'unsubscribe', NULL, u, round(u * 100.0::DOUBLE / total, 1), NULL FROM w UNION ALL SELECT 'quality_metrics', 'threads', NULL, th, round(th * 100.0::DOUBLE / total, 1), NULL FROM w
+    UNION ALL SELECT 'primary_categories', primary_category, NULL, count(*), round(count(*) * 100.0::DOUBLE / {_DONE}, 1), round(avg(confidence_score), 3) FROM t GROUP BY primary_category
+    UNION ALL SELECT 'domain_categories', domain_category, NULL, count(*), round(count(*) * 100.0::DOUBLE / {_DONE}, 1), round(avg(confidence_score), 3) FROM t WHERE domain_category <> 'Other' GROUP BY domain_category
+    UNION ALL SELECT 'confidence_analysis', CASE WHEN confidence_score >= 0.8 THEN 'High (0.8+)' WHEN confidence_score >= 0.6 THEN 'Medium (0.6-0.8)' WHEN confidence_score >= 0.4 THEN 'Low (0.4-0.6)' ELSE 'Very Low (<0.4)' END AS b, NULL, count(*), round(count(*) * 100.0::DOUBLE / {_DONE}, 1), NULL FROM t GROUP BY b
+    UNION ALL SELECT 'sender_analysis', primary_category, CASE WHEN length(sender) > 50 THEN left(sender, 50) || '...' ELSE sender END, n, NULL, NULL FROM (SELECT primary_category, sender, count(*) AS n FROM t GROUP BY 1, 2 HAVING count(*) >= 3) QUALIFY row_number() OVER (PARTITION BY primary_category ORDER BY n DESC, sender) <= 5)
+  SELECT section, name, detail, n, pct, avg_confidence FROM r""")
+def classification_report(spark, d):
+    return reports.classification_report(rules.three_signals(events_mail(spark, d)))
+
+
+@Q.add("database_info", f"""{EVENTS} SELECT 'total' AS section, 'emails' AS name, count(*) AS n, min(date_received) AS first_mail, max(date_received) AS last_mail FROM mail
+  UNION ALL SELECT 'top_senders', sender, n, NULL, NULL FROM (SELECT sender, count(*) AS n FROM mail GROUP BY 1 ORDER BY n DESC, sender LIMIT 10) UNION ALL SELECT 'monthly_distribution', strftime(date_received, '%Y-%m'), count(*), NULL, NULL FROM mail GROUP BY 2""")
+def database_info(spark, d):
+    return reports.database_info(events_mail(spark, d))
+
+
+@Q.add("store_stats", """WITH m AS (SELECT CASE WHEN event_id % 11 <> 0 THEN event_id - event_id % 3 END AS id, ts, CASE WHEN event_id % 7 = 0 THEN ts END AS deleted_at FROM events), d AS (SELECT count(*) AS n FROM m WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1)
+  SELECT count(*) AS total_emails, count(DISTINCT id) AS unique_ids, count(deleted_at) AS soft_deleted, (SELECT count(*) FROM d) AS duplicate_groups, (SELECT CAST(sum(n - 1) AS BIGINT) FROM d) AS total_duplicates, min(ts) FILTER (deleted_at IS NULL) AS first_mail, max(ts) FILTER (deleted_at IS NULL) AS last_mail FROM m""")
+def store_stats(spark, d):
+    """Events as mail, three to an id, some without an id, some deleted."""
+    k = F.col("gmail_id")
+    m = events_mail(spark, d).withColumns({"deleted_at": F.when(k % 7 == 0, F.col("date_received")), "gmail_id": F.when(k % 11 != 0, k - k % 3)})
+    return reports.store_stats(m)

@@ -25,6 +25,16 @@ def test_config_bounds():
         AnalysisConfig(min_completeness=101)
 
 
+def test_config_of_pattern_groups(spark):
+    from lettermill.operators import rules
+
+    said = {"work_patterns": {"keywords": ["deadline"], "domains": ["corp.com"], "senders": ["boss@"]}, "delete_patterns": {"keywords": ["sale"], "personal_domains": ["x.y"], "confidence_threshold": 0.75}, "thresholds": {"a": 1}}
+    c = AnalysisConfig.of_groups(said)
+    df = spark.createDataFrame([("1", "hi", "boss@a"), ("2", "big sale", "z"), ("3", "q", "a@xzy"), ("4", "hi", "a@x.y")], "gmail_id string, subject string, sender string").withColumn("body", F.lit(""))
+    got = {r["gmail_id"]: (r["category"], r["confidence"]) for r in rules.classify(df, c.rules()).collect()}
+    assert {k: v[0] for k, v in got.items()} == {"1": "work", "2": "delete", "3": "Other", "4": "delete"} and got["2"][1] <= 0.75
+
+
 def test_analyze(spark, tmp_path, capsys):
     rows = [(str(i), f"2024-01-0{i % 3 + 1} 10:00:00", "invoice" if i % 2 else "hi", "a@b.c", "text") for i in range(10)]
     spark.createDataFrame(rows, "gmail_id string, date_received string, subject string, sender string, plain_text_content string").coalesce(1).write.parquet(str(tmp_path / "m.parquet"))
