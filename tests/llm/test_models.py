@@ -236,8 +236,8 @@ def test_html_edges(spark):
     got = html_extract.extract_main_text(df).collect()
     by = {r["page_id"]: r["text"] for r in got}
     assert len(got) == len(rows) and by[2] == "Head & line\nOne link, two three four\na\nb 2\nq bold" and by[13].endswith("q bold")
-    # The headline is on every page of the host and leaves where the page has enough text of its own.
-    assert by[10] == by[11] == "" and by[12] == "other layout" and by[14] == "One link, two three fo" and by[15] == "plain < text & more"
+    # Pages of one title and headline are versions of one text, cut or not: what they share is theirs.
+    assert by[10] == by[11] == "" and by[12] == "other layout" and by[14] == "Head & line\nOne link, two three fo" and by[15] == "plain < text & more"
     assert by[16].startswith("long <text> long") and all(r["n_chars"] == len(r["text"]) for r in got)
     assert html_extract.extract_main_text(df.limit(0)).count() == 0
 
@@ -270,16 +270,16 @@ def test_shuffled_vectors_give_another_template():
     rows = pa.Table.from_batches(html_extract._count([batch])).to_pandas()
     tokens = []
     for t, g in rows.groupby("token"):
-        path = g["path"].iloc[0]
-        if path is not None or len(g) >= 6:
-            tokens.append({"token": t, "parent": g["parent"].iloc[0], "path": path, "vector": hash(tuple(zip(g["page"], g["n"], strict=True))), "pages": len(g), "once": (g["n"] == 1).sum(), "chars": g["chars"].sum()})
+        step = g["step"].iloc[0]
+        if step is not None or len(g) >= 6:
+            tokens.append({"token": t, "parent": g["parent"].iloc[0], "step": step, "vector": hash(tuple(zip(g["page"], g["n"], strict=True))), "pages": len(g), "once": (g["n"] == 1).sum(), "chars": g["chars"].sum()})
 
     def fixed(vectors):
         some = [t | {"vector": v} for t, v in zip(tokens, vectors, strict=True)]
         with_host = pa.RecordBatch.from_pydict({"host": ["own"] * 12, "html": pages, "ids": [[t["token"] for t in some]] * 12, "vectors": [vectors] * 12})
         orders = pa.Table.from_batches(html_extract._orders([with_host])).to_pylist()
         ordered = {r["vector"] for r in orders if r["least"] == r["most"] != 0}
-        return {t["token"] for t in html_extract.template(some, ordered) if t["path"] is None}
+        return {t["token"] for t in html_extract.template(some, ordered) if t["step"] is None}
 
     true = [t["vector"] for t in tokens]
     assert len(fixed(true)) == 5
@@ -295,6 +295,64 @@ def test_two_layouts_in_one_host(spark):
 
 
 def test_main_node_without_article_element():
-    tokens = [{"path": p, "pages": 10, "once": o, "chars": c} for p, o, c in [("/html", 10, 0), ("/html/body", 10, 0), ("/html/body/nav", 10, 90), ("/html/body/div.content", 10, 5), ("/html/body/div.content/p", 1, 900), ("/html/body/div.list", 10, 50)]]
-    assert html_extract.main_nodes(tokens) == ["/html/body/div.content"]
+    own = [(1, 0, "html", 10, 0), (2, 1, "body", 10, 0), (3, 2, "nav!", 10, 90), (4, 2, "div.content", 10, 5), (5, 4, "p", 1, 900), (6, 2, "div.list", 10, 50)]
+    tokens = [{"token": t, "parent": p, "step": s, "pages": 10, "once": o, "chars": c} for t, p, s, o, c in own]
+    assert html_extract.main_nodes(tokens) == [4]
     assert html_extract.main_nodes([]) == []
+
+
+def texts_of(spark, pages, host="http://one/"):
+    rows = [(i, f"{host}{i}", p) for i, p in enumerate(pages)]
+    got = html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [r["text"] for r in sorted(got)]
+
+
+def test_constant_sentence_goes_though_articles_are_short(spark):
+    said = "This sentence stands on each page of the host and is far longer than the few words of any article on it, but it is the template's all the same, is it not."
+    pages = [f"<body><div><article><h1>Price {i}</h1><p>{i} euro</p></article><div>{said}</div></div></body>" for i in range(20)]
+    inside = [f"<body><article><h1>Price {i}</h1><p>{i} euro</p><div>{said}</div></article></body>" for i in range(20)]
+    assert texts_of(spark, pages) == texts_of(spark, inside) == [f"Price {i}\n{i} euro" for i in range(20)]
+
+
+def test_versions_of_one_text_are_no_template(spark):
+    pages = [f"<body><article><h1>One text</h1><p>A paragraph that all versions share.</p><p>Version {i}</p></article></body>" for i in range(12)]
+    pages += [f"<body><article><h1>Other {i}</h1><p>Text {i}</p></article></body>" for i in range(6)]
+    got = texts_of(spark, pages)
+    assert got[:12] == [f"One text\nA paragraph that all versions share.\nVersion {i}" for i in range(12)]
+    assert got[12:] == [f"Other {i}\nText {i}" for i in range(6)]
+
+
+@pytest.mark.parametrize("name", ["notice", "share-list", "header", "menu"])
+def test_names_within_an_article_may_be_its_text(spark, name):
+    pages = [f'<body><div class="{name}">outer {i}</div><article><h1>H {i}</h1><div class="{name}">Notice of appeal {i}.</div><p>Text {i}</p><div class="comments">me too {i}</div></article></body>' for i in range(5)]
+    assert texts_of(spark, pages) == [f"H {i}\nNotice of appeal {i}.\nText {i}" for i in range(5)]
+
+
+def test_neutral_divs_only(spark):
+    # Frame, menu, constant advert and article have names that say nothing: classes and the main node decide.
+    pages = [
+        f'<body><div class="a1"><div>Start</div><div>Politics</div></div><div class="a2"><div class="a3">Buy more now</div><div class="a4"><div class="t">Title {i}</div>'
+        f'<div>{"word " * 20}{i}</div><div class="a5">Read on in our app</div><div>{"more " * 20}{i}</div></div><div class="a6">See {i}</div></div></body>'
+        for i in range(10)
+    ]
+    assert texts_of(spark, pages) == [f"Title {i}\n{'word ' * 20}{i}\n{'more ' * 20}{i}" for i in range(10)]
+
+
+def test_deep_nesting_is_linear():
+    import tracemalloc
+
+    def peak(n):
+        tracemalloc.start()
+        page = '<div class="wrapper">' * n + "<p>deep &amp; down</p>" + "</div>" * n + "</section>" * n
+        assert html_extract.main_text(page, set(), set()) == "deep & down"
+        got = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return got
+
+    assert peak(40_000) < 100 << 20
+
+
+def test_deep_pages(spark):
+    deep = 16_000
+    pages = [f'{"<div>" * deep}<p>deep {i}</p>{"</div>" * deep}' for i in range(3)]
+    assert texts_of(spark, pages) == [f"deep {i}" for i in range(3)]
