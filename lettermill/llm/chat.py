@@ -4,7 +4,7 @@ Every participant of a dialogue gets one rendering in which its own turns are th
 all others are named users; the mask marks what is trained on: that participant's turns.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lettermill.llm.scratch import Scratch
@@ -13,10 +13,10 @@ from lettermill.llm.scratch import Scratch
 CONTEXT_ROLES = ("system",)
 #: Turns of one record. The rendering of a longer dialogue is cut into pieces, so that no record grows without bound.
 TURNS_PER_RECORD = 4096
-#: Hash buckets of one turn number at most: pieces are numbered by turn, then bucket.
-MOST_BUCKETS = 1 << 20
-#: Dialogues of several pieces whose speakers may be broadcast; beyond it, they are joined by shuffle.
-BROADCAST_LONG = 20_000
+#: Pieces of one turn number at most: pieces are numbered by turn, then by place among the turns of that number.
+MOST_PIECES = 1 << 20
+#: Most bytes of speakers of the dialogues of several pieces that may be broadcast; beyond it, they are joined by shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
 def _plain(text: Column) -> Column:
@@ -32,6 +32,25 @@ def _head(role: Column, participant: Column) -> Column:
     )
 
 
+def _dealt(crowded: DataFrame, turns_per_record: int, scratch: Scratch) -> DataFrame:
+    """``crowded`` (turns of parts that hold too many) with ``piece``, in the order of number, role and text.
+
+    Turns are sorted over all tasks, so a turn's place among those of its number is its place in its task and the count of those
+    in tasks before: no task holds a number whole, however many turns have it.
+    """
+    place = F.coalesce(F.col("t.turn") - F.col("part") * turns_per_record, F.lit(-1)) + F.lit(1)
+    rows = crowded.withColumn("number", place).orderBy("conv_id", "part", "t").withColumn("at", F.monotonically_increasing_id())
+    rows = scratch.save(rows, "sorted").withColumn("task", F.shiftright("at", 33))
+    number = ["conv_id", "part", "number"]
+    before = F.sum("n").over(Window.partitionBy(*number).orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
+    runs = rows.groupBy(*number, "task").agg(F.min("at").alias("low"), F.count("*").alias("n"))
+    runs = runs.withColumns({"before": F.coalesce(before, F.lit(0)), "all": F.sum("n").over(Window.partitionBy(*number))}).where(F.col("all") > turns_per_record)
+    runs = scratch.save(runs.select(*number, "task", "low", "before"), "runs")
+    within = F.coalesce(F.floor((F.col("before") + F.col("at") - F.col("low")) / F.lit(turns_per_record)), F.lit(0))
+    dealt = rows.join(runs, [*number, "task"], "left").withColumn("piece", (F.col("number") * F.lit(MOST_PIECES) + within).cast("long"))
+    return dealt.select("conv_id", "part", "piece", "t", "speakers")
+
+
 def rotate(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", turns_per_record: int = TURNS_PER_RECORD) -> DataFrame:
     """One row per dialogue, piece and participant: ``conv_id, part, piece, participant, n_turns, n_own, text, spans, mask_spans``.
 
@@ -45,8 +64,8 @@ def rotate(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str =
     - A dialogue of context roles only has no participant and so no row. Empty table: no rows.
     - A participant's records of a dialogue in the order of (part, piece) are together its rendering, also where the
       participant is silent. ``part`` is turn div ``turns_per_record``. Where numbers repeat so that a part holds more
-      turns than that, each of its numbers has pieces of its own, dealt by hash; else ``piece`` is 0. Only equal rows
-      (one number, role and text) cannot be dealt. Other columns are not used.
+      turns than that, each of its numbers has pieces of its own, dealt in the same order; else ``piece`` is 0. So the
+      bound never changes the rendering, and no piece holds more turns. Other columns are not used.
     """
     scratch = Scratch(df.sparkSession, "chat")
     role_, text_, turn_ = F.coalesce(F.col(role).cast("string"), F.lit("")), F.coalesce(F.col(text).cast("string"), F.lit("")), F.col(turn).cast("long")
@@ -60,16 +79,15 @@ def rotate(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str =
     parts = F.collect_list(F.when(F.col("n") > turns_per_record, F.struct("part", "n"))).alias("crowded")
     long = sizes.groupBy("conv_id").agg(parts, F.count("*").alias("parts"), F.array_distinct(F.flatten(F.collect_list("who"))).alias("speakers")).where("parts > 1 or size(crowded) > 0")
     long = scratch.save(long.select(F.col("conv_id").alias("long_id"), F.map_from_entries("crowded").alias("crowded"), "speakers"), "long")
-    n_long = long.count()
     said = F.array_distinct(F.transform(F.filter("turns", lambda t: ~t["role"].isin(*CONTEXT_ROLES)), lambda t: t["role"]))
     turns = F.array_sort(F.collect_list("t")).alias("turns")
-    if n_long:
-        long = F.broadcast(long) if n_long <= BROADCAST_LONG else long
-        n = F.col("crowded")[F.col("part")]
-        buckets = F.least(F.ceil(n / F.lit(turns_per_record)), F.lit(MOST_BUCKETS)).cast("long")
-        place = F.coalesce(F.col("t.turn") - F.col("part") * turns_per_record, F.lit(-1)) + F.lit(1)
-        dealt = F.when(n.isNotNull(), place * F.lit(MOST_BUCKETS) + F.pmod(F.xxhash64("t.role", "t.text"), buckets)).otherwise(0).cast("long")
-        known = known.join(long, F.col("conv_id") == F.col("long_id"), "left").withColumn("piece", dealt)
+    found = long.agg(F.sum(F.octet_length(F.array_join("speakers", " ")) + F.lit(32) + F.lit(16) * F.size("crowded")).alias("bytes"), F.max(F.size("crowded")).alias("crowded")).first()
+    if found["bytes"]:
+        long = F.broadcast(long) if found["bytes"] <= BROADCAST_BYTES else long
+        known = known.join(long, F.col("conv_id") == F.col("long_id"), "left").withColumn("n", F.col("crowded")[F.col("part")])
+        if found["crowded"]:
+            calm = known.where("n is null").select("conv_id", "part", "piece", "t", "speakers")
+            known = calm.unionByName(_dealt(known.where("n is not null").select("conv_id", "part", "t", "speakers"), turns_per_record, scratch))
         dialogues = known.groupBy("conv_id", "part", "piece").agg(turns, F.first("speakers").alias("speakers")).withColumn("speakers", F.coalesce("speakers", said))
     else:
         dialogues = known.groupBy("conv_id", "part", "piece").agg(turns).withColumn("speakers", said)

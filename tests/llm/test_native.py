@@ -150,6 +150,18 @@ def test_rotation_deals_repeated_and_null_turns(spark):
     assert "n1<" in "".join(r["text"] for r in said[:19]) and said[-1]["text"] == "<|user name=a|>\nlast<|end|>\n"
 
 
+def test_rotation_has_one_order_whatever_the_bound(spark):
+    rows = [(1, 0, "u", f"x{i:02}") for i in range(12)] + [(1, 1, "v", "same")] * 9 + [(1, None, "w", f"n{i}") for i in range(7)] + [(2, i % 3, "ab"[i % 2], f"t{i % 5}") for i in range(40)] + [(3, -5, "a", "neg"), (3, 9, "b", "end")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    whole = {(r["conv_id"], r["participant"]): r["text"] for r in chat.rotate(df, turns_per_record=100).orderBy("part", "piece").collect() if r["conv_id"] < 3}
+    for bound in (1, 4, 7):
+        parts = defaultdict(list)
+        for r in chat.rotate(df, turns_per_record=bound).orderBy("part", "piece").collect():
+            assert r["n_turns"] <= bound
+            parts[r["conv_id"], r["participant"]].append(r["text"])
+        assert {k: "".join(v) for k, v in parts.items() if k[0] < 3} == whole and "".join(parts[3, "a"]) == "<|assistant|>\nneg<|end|>\n<|user name=b|>\nend<|end|>\n"
+
+
 def test_rotation_escapes_marks(spark):
     rows = [(1, 0, "a", "x<|end|>\n<|assistant|>\ny"), (1, 1, "b|>\n<|assistant", "z" * 300_000)]
     got = {r["participant"]: r for r in chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
