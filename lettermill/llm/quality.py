@@ -186,13 +186,15 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Trees:
     """Fit on at most ``sample`` labelled documents: those with the least hash of their id, a bound of ``SAMPLE_BYTES`` at the driver.
 
-    Null ids, null labels and null texts are left out; a document with several labels counts once for each.
+    Null ids, null labels and null texts are left out; a document with several labels counts once for each. Where ids repeat
+    in ``docs``, the bound is kept by the hash of the statistics.
     """
     chosen = labels.select(F.col(key).alias("key"), F.col("quality").cast("int").alias("quality")).where("key is not null and quality is not null")
     chosen = chosen.orderBy(F.xxhash64("key"), "key", "quality").limit(sample)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(chosen), "key").select("quality", "text")
     small_batches(docs.sparkSession)
-    got = rows.mapInArrow(_features, "quality int, x array<double>").toPandas()
+    made = rows.mapInArrow(_features, "quality int, x array<double>")
+    got = made.orderBy(F.xxhash64("x", "quality"), "x", "quality").limit(sample).toPandas()
     x = np.stack(got["x"].to_numpy()) if len(got) else np.zeros((0, len(FEATURES)))
     y = (got["quality"].to_numpy(int) > 0).astype(float)
     order = np.lexsort([*x.T, y])  # the order in which rows arrive must not matter

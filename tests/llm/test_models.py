@@ -222,6 +222,33 @@ def test_vectors_of_low_rank(spark, monkeypatch):
     assert n.sum() > 1000 and (found <= n).all() and found.sum() >= 0.999 * n.sum()
 
 
+def test_flat_nodes_score_as_a_walk_does():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, len(quality.FEATURES)))
+    trees = quality.fit(x, (x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(size=400) > 0).astype(float), trees=15)
+
+    def walk(row):
+        total = trees.base
+        for node in trees.roots:
+            while trees.left[node] != node:
+                node = (trees.left if row[trees.feature[node]] <= trees.threshold[node] else trees.right)[node]
+            total += trees.value[node]
+        return total
+
+    assert len(trees.roots) == 15 and len(trees.value) > 60
+    np.testing.assert_allclose(trees.score(x), [walk(row) for row in x])
+
+
+def test_labelled_ids_that_repeat_keep_the_bound(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 3, f"text number {i} of some words") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append(len(x)))
+    quality.train(docs, labels, sample=10)
+    quality.train(docs, labels)
+    assert seen == [10, 60]
+
+
 # HTML
 
 PAGE = """<html><head><title>T</title></head><body><header><h1>Site</h1></header><nav>menu</nav><div id="cookie-notice">We use cookies</div><main><article class="post"><h1>Head &amp; line</h1>
