@@ -125,22 +125,38 @@ TRANSITIONS = {"pending": ("in_progress", "failed"), "in_progress": ("in_progres
 RESUMABLE = ("interrupted", "in_progress")
 
 
+#: Numbers that one piece of a sync's events spans.
+SPAN = 4096
+
+
 def checkpoints(events: DataFrame) -> DataFrame:
     """(sync_id, state, processed, total, seq, rejected) after all ``events`` (sync_id, seq, state, processed, total), in the order of seq.
 
-    Each sync starts as pending. A change that ``TRANSITIONS`` does not allow is counted as rejected and changes nothing. A sync's
-    events are one array: it reports every so many mails, so they are few.
+    Each sync starts as pending. A change that ``TRANSITIONS`` does not allow is counted as rejected and changes nothing. Events
+    without a number come first. A piece of ``SPAN`` numbers is reduced to what it makes of each state, and a sync's pieces are
+    applied one after the other, so that no task holds all events of a sync.
     """
     row = F.struct("seq", "state", F.col("processed").cast("long").alias("processed"), F.col("total").cast("long").alias("total"))
+    names = F.array(*map(F.lit, TRANSITIONS))
     allowed = F.create_map(*[x for k, v in TRANSITIONS.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))])
-    zero = F.struct(F.lit("pending").alias("state"), F.lit(0).cast("long").alias("processed"), F.lit(0).cast("long").alias("total"), F.lit(None).cast("long").alias("seq"), F.lit(0).cast("long").alias("rejected"))
+
+    def start(state: str, *rest) -> Column:
+        fields = zip(("processed", "total", "seq", "rejected", "moved"), rest, ("long", "long", "long", "long", "boolean"), strict=True)
+        return F.struct(F.lit(state).alias("state"), *[F.lit(v).cast(kind).alias(f) for f, v, kind in fields])
 
     def step(was: Column, e: Column) -> Column:
-        new = F.struct(e["state"].alias("state"), e["processed"].alias("processed"), e["total"].alias("total"), e["seq"].cast("long").alias("seq"), was["rejected"].alias("rejected"))
+        new = F.struct(e["state"].alias("state"), e["processed"].alias("processed"), e["total"].alias("total"), e["seq"].cast("long").alias("seq"), was["rejected"].alias("rejected"), F.lit(True).alias("moved"))
         return F.when(F.coalesce(F.array_contains(allowed[was["state"]], e["state"]), F.lit(False)), new).otherwise(was.withField("rejected", was["rejected"] + 1))
 
-    out = events.groupBy("sync_id").agg(F.array_sort(F.collect_list(row)).alias("e"))
-    return out.select("sync_id", F.aggregate("e", zero, step).alias("r")).select("sync_id", "r.*")
+    def join(was: Column, piece: Column) -> Column:
+        then = F.element_at(piece["from"], F.array_position(names, was["state"]).cast("int"))
+        rejected = was["rejected"] + then["rejected"]
+        return F.when(then["moved"], then.withField("rejected", rejected)).otherwise(was.withField("rejected", rejected))
+
+    pieces = events.groupBy("sync_id", F.floor(F.col("seq") / SPAN).alias("piece")).agg(F.array_sort(F.collect_list(row)).alias("e"))
+    made = F.array(*[F.aggregate("e", start(s, None, None, None, 0, False), step) for s in TRANSITIONS])
+    out = pieces.select("sync_id", F.struct("piece", made.alias("from")).alias("p")).groupBy("sync_id").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    return out.select("sync_id", F.aggregate("p", start("pending", 0, 0, None, 0, False), join).alias("r")).select("sync_id", "r.state", "r.processed", "r.total", "r.seq", "r.rejected")
 
 
 def resume_points(states: DataFrame) -> DataFrame:

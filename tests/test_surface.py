@@ -1,6 +1,7 @@
 """Command line, configuration, streams and the entry module without the corpus operators."""
 
 import json
+import random
 import subprocess
 import sys
 from pathlib import Path
@@ -224,3 +225,22 @@ def test_the_gate_and_the_report_are_one_scan(spark):
     assert set(str(e.value).split("; ")) == want
     good = spark.createDataFrame([(str(i), "a") for i in range(9)], "gmail_id string, subject string")
     assert [tuple(r) for r in quality.gated_report(good, twice, ["twice"], report).collect()] == [("aa", 9)]
+
+
+def test_checkpoints_of_many_events_equal_a_plain_walk(spark, monkeypatch):
+    monkeypatch.setattr(ledger, "SPAN", 50)
+    rng = random.Random(4)
+    states = [*ledger.TRANSITIONS, "in_progress", "in_progress", "interrupted", None, "odd"]
+    rows = [(rng.choice("ab"), i // 2 * 3, rng.choice([s for s in states if s not in ("failed", "completed") or rng.random() < 0.02]), i, 9000) for i in range(3000)]
+    rows += [("c", 7, "completed", 1, 1), ("d", None, "in_progress", 3, 4), ("d", 0, "completed", 4, 4), ("d", 9, "failed", 5, 5)]
+    want = {}
+    for sync in "abcd":
+        state, at, rejected = "pending", (0, 0, None), 0
+        for seq, new, done, total in sorted((r[1:] for r in rows if r[0] == sync), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "", r[2])):
+            if new in ledger.TRANSITIONS[state]:
+                state, at = new, (done, total, seq)
+            else:
+                rejected += 1
+        want[sync] = (state, *at, rejected)
+    got = ledger.checkpoints(spark.createDataFrame(rows, "sync_id string, seq long, state string, processed int, total int")).collect()
+    assert {r["sync_id"]: tuple(r)[1:] for r in got} == want
