@@ -2,10 +2,12 @@ r"""URL filters by a Bloom filter cascade (DataFrame functions only).
 
 Level 0 encodes the listed keys. Level 1 encodes those keys of the corpus's complete key universe
 that level 0 takes in by mistake, level 2 the listed keys that level 1 takes in, and so on until no
-mistake is left. A key of the universe is listed exactly if the first level that rejects it is odd.
+mistake is left. Level 0 is sized by the universe, so that it takes in about 0.7 keys by mistake for
+each listed one (more where the list is of a hundred keys), and later levels hold ever fewer. A key of the universe is listed exactly if the first level that rejects it is odd.
 Rows are then judged by reading bits of constant arrays: no join, no shuffle.
 """
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -19,9 +21,10 @@ ENDINGS = ("example.com", "example.net", "example.org")
 LISTED = tuple(f"{site}.{ending}" for site in SITES for ending in ENDINGS)
 #: (verdict, host, path): the rule's host and its subdomains, paths that start with the rule's; the longest wins.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
+#: Least bits a key and positions a key of a level; level 0 takes more where the universe is far larger than the list.
 BITS_PER_KEY = 10
 HASHES = 5
-#: Most keys that one level may hold: 20 MB of bits, sent with the plan. A list with more is answered by a join, exactly too.
+#: Most keys that one level may hold: 20 MB of bits at 10 bits a key, sent with the plan. A list with more is answered by a join, exactly too.
 MOST_KEYS = 1 << 24
 #: A level over this many keys still mistakes ever fewer; a cascade that needs more levels than this is a bug.
 MOST_LEVELS = 40
@@ -54,7 +57,9 @@ class Level:
     def positions(self, key: Column) -> list[Column]:
         # Shifted, so that the sums below stay within 64 bits.
         first, second = (F.shiftright(F.xxhash64(key, F.lit(self.seed + i)), 8) for i in range(2))
-        return [F.pmod(first + second * F.lit(i), F.lit(8 * len(self.bits)).cast("long")) for i in range(self.hashes)]
+        # An odd step reaches all bits, and cubes part keys that share a step: this counts where the filter is small.
+        second = second.bitwiseOR(F.lit(1).cast("long"))
+        return [F.pmod(first + second * F.lit(i) + F.lit(i**3), F.lit(8 * len(self.bits)).cast("long")) for i in range(self.hashes)]
 
     def has(self, key: Column) -> Column:
         def is_set(p: Column) -> Column:
@@ -65,15 +70,21 @@ class Level:
         return F.forall(F.array(*self.positions(key)), is_set)
 
 
-def build_level(keys: DataFrame, n: int, seed: int) -> Level:
-    """A Bloom filter over the column ``key`` of n rows; words are OR-ed in the executors, at most n * BITS_PER_KEY / 64 reach the driver."""
-    words = max(1, -(-n * BITS_PER_KEY // 64))
-    blank = Level(bytes(8 * words), HASHES, seed)
+def level_size(n: int, others: int) -> tuple[int, int]:
+    """(bits a key, positions a key) of a filter of n keys that takes in about 0.7 n of ``others`` by mistake, or 1 % of them if that is less."""
+    halvings = max(0.0, math.log2(max(others, 1) / max(n, 1) * math.sqrt(2)))
+    return max(BITS_PER_KEY, math.ceil(halvings / math.log(2))), max(HASHES, math.ceil(halvings))
+
+
+def build_level(keys: DataFrame, n: int, seed: int, bits: int = BITS_PER_KEY, hashes: int = HASHES) -> Level:
+    """A Bloom filter over the column ``key`` of n rows; words are OR-ed in the executors, at most n * bits / 64 reach the driver."""
+    words = max(1, -(-n * bits // 64))
+    blank = Level(bytes(8 * words), hashes, seed)
     ones = keys.select(F.explode(F.array(*blank.positions(F.col("key")))).alias("p"))
     bit = F.expr("shiftleft(1L, cast(pmod(p, 64) as int))")
     found = ones.groupBy(F.floor(F.col("p") / F.lit(64)).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"))
     got = {r["word"]: r["bits"] for r in found.collect()}
-    return Level(b"".join(got.get(i, 0).to_bytes(8, "little", signed=True) for i in range(words)), HASHES, seed)
+    return Level(b"".join(got.get(i, 0).to_bytes(8, "little", signed=True) for i in range(words)), hashes, seed)
 
 
 @dataclass(frozen=True)
@@ -102,11 +113,12 @@ def build_cascade(universe: DataFrame, listed: DataFrame) -> Cascade | None:
     sides = {True: keys.where("listed"), False: keys.where("not listed")}
     levels: list[Level] = []
     n = sides[True].count()
+    size = level_size(n, keys.count() - n)
     while n:
         if n > MOST_KEYS:
             return None
         turn = len(levels) % 2 == 0
-        levels.append(build_level(sides[turn], n, 2 * len(levels) + 1))
+        levels.append(build_level(sides[turn], n, 2 * len(levels) + 1, *(() if levels else size)))
         sides[not turn] = sides[not turn].where(levels[-1].has(F.col("key")))
         n = sides[not turn].count()
         if len(levels) >= MOST_LEVELS:

@@ -1,6 +1,7 @@
 """Line dedup, mixing, chat formatting, sharding and URL filters: edge cases, and no Python in their plans."""
 
 import hashlib
+import math
 from collections import Counter, defaultdict
 
 import pytest
@@ -221,6 +222,19 @@ def test_cascade_is_exact(spark):
     assert url_filter.build_cascade(universe, listed.limit(0)).levels == ()
 
 
+def test_first_level_is_sized_by_the_universe(spark):
+    assert url_filter.level_size(1000, 10_000) == (10, 5)
+    bits, hashes = url_filter.level_size(10**6, 2 * 10**9)
+    assert (bits, hashes) == (17, 12) and 2 * 10**9 * (1 - math.exp(-hashes / bits)) ** hashes < 10**6
+    universe = spark.range(300_000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
+    listed = universe.where("hash(key) % 300 = 0")
+    n = listed.count()
+    cascade = url_filter.build_cascade(universe, listed)
+    assert cascade.levels[0].hashes > url_filter.HASHES and all(len(level.bits) < len(cascade.levels[0].bits) for level in cascade.levels[1:])
+    said = universe.where(cascade.has(F.col("key")))
+    assert said.count() == n and said.where("hash(key) % 300 <> 0").count() == 0
+
+
 def test_a_list_beyond_the_bound_is_exact_too(spark, monkeypatch):
     rows = [(i, f"http://h{i}.s{i % 7}.org/x") for i in range(200)] + [(500, None), (501, "http://" + "a" * 100_000 + ".s3.org/"), (0, "http://h0.s0.org/x")]
     df = spark.createDataFrame(rows, "page_id long, url string").withColumn("rule", F.lit(1))

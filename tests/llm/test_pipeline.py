@@ -33,3 +33,10 @@ def test_run_and_empty_tables(spark, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert p.run(spark, str(tmp_path)).count() == 0
+
+
+def test_all_corpus_queries_are_registered():
+    import __spark_entry__
+
+    names = set(__spark_entry__.queries())
+    assert "pipeline" in names and all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 14))
