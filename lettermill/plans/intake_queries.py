@@ -21,9 +21,9 @@ def _ids(mail):
     return mail.withColumn("gmail_id", F.col("gmail_id").cast("string"))
 
 
-def _spread(files):
-    """Small tables are one partition; messages are parsed in Python, so they are dealt to all cores, as files are."""
-    return files.repartition(files.sparkSession.sparkContext.defaultParallelism, "path")
+def _spread(mail):
+    """Small tables are one partition; messages are parsed in Python, so mail is dealt to all cores, as files are. Dealt before messages are made of it, it is smaller."""
+    return mail.repartition(4 * mail.sparkSession.sparkContext.defaultParallelism, "gmail_id")
 
 
 # Messages written and read again
@@ -31,34 +31,34 @@ def _spread(files):
 
 @Q.add("eml_round_trip", f"{DOCS} SELECT gmail_id::VARCHAR AS gmail_id, sender, sha256(coalesce(body, '') || chr(13) || chr(10)) AS digest, false AS has_attachments FROM mail")
 def eml_round_trip(spark, d):
-    mail = docs_mail(spark, d).withColumns({"to": F.lit("me@example.org"), "body_html": F.lit(None).cast("string"), "date_received": F.expr("timestamp_ntz'2024-01-02 03:04:05'")})
+    mail = _spread(docs_mail(spark, d)).withColumns({"to": F.lit("me@example.org"), "body_html": F.lit(None).cast("string"), "date_received": F.expr("timestamp_ntz'2024-01-02 03:04:05'")})
     files = mail.select(F.concat(F.col("gmail_id").cast("string"), F.lit(".eml")).alias("path"), writers.eml_text().cast("binary").alias("content"))
-    return readers.parse_eml(_spread(files)).select("gmail_id", "sender", F.sha2("body", 256).alias("digest"), "has_attachments")
+    return readers.parse_eml(files).select("gmail_id", "sender", F.sha2("body", 256).alias("digest"), "has_attachments")
 
 
 @Q.add("eml_dates", f"{EVENTS} SELECT gmail_id::VARCHAR AS gmail_id, sender, subject, date_trunc('second', date_received) AS date_received FROM mail")
 def eml_dates(spark, d):
-    mail = events_mail(spark, d).withColumns({"to": F.lit("me@example.org"), "body_html": F.lit("<p>page</p>")})
+    mail = _spread(events_mail(spark, d)).withColumns({"to": F.lit("me@example.org"), "body_html": F.lit("<p>page</p>")})
     files = mail.select(F.concat(F.lit("box/"), F.col("gmail_id").cast("string"), F.lit(".eml")).alias("path"), writers.eml_text().cast("binary").alias("content"))
-    return readers.parse_eml(_spread(files)).select("gmail_id", "sender", "subject", "date_received")
+    return readers.parse_eml(files).select("gmail_id", "sender", "subject", "date_received")
 
 
 @Q.add("buried_headers", f"{EVENTS} SELECT gmail_id::VARCHAR AS gmail_id, sender, subject, 'body ' || gmail_id AS body FROM mail")
 def buried_headers(spark, d):
-    e = events_mail(spark, d)
+    e = _spread(events_mail(spark, d))
     raw = F.concat(F.lit("+OK 512 octets\nreceived by relay\n\nFrom: nobody@x\nFrom: "), "sender", F.lit("\nSubject:\n "), "subject", F.lit("\nX-Gmail-ID: "), F.col("gmail_id").cast("string"), F.lit("\n\nbody "), F.col("gmail_id").cast("string"))
     files = e.select(F.concat(F.col("gmail_id").cast("string"), F.lit(".eml")).alias("path"), raw.cast("binary").alias("content"))
-    return readers.parse_eml(_spread(files)).select("gmail_id", "sender", F.trim("subject").alias("subject"), F.trim("body").alias("body"))
+    return readers.parse_eml(files).select("gmail_id", "sender", F.trim("subject").alias("subject"), F.trim("body").alias("body"))
 
 
 @Q.add("buried_headers_and_quotes", f"{EVENTS} SELECT gmail_id::VARCHAR AS gmail_id, sender, subject, 'my answer ' || gmail_id || chr(10) || chr(10) || 'From: old@x' || chr(10) || 'Subject: old' || chr(10) || 'X-Gmail-ID: 0' || chr(10) || chr(10) || 'quoted ' || subject AS body FROM mail")
 def buried_headers_and_quotes(spark, d):
     """Buried headers before a body that quotes another mail with its headers."""
-    e = events_mail(spark, d)
+    e = _spread(events_mail(spark, d))
     head = F.concat(F.lit("+OK 5\nX-Relay: a\n\nDate: Mon, 1 Jan 2024 00:00:00 +0000\nFrom: "), "sender", F.lit("\nSubject: "), "subject", F.lit("\nX-Gmail-ID: "), F.col("gmail_id").cast("string"), F.lit("\n\nContent-Type: text/plain; charset=utf-8\n\n"))
     raw = F.concat(head, F.lit("my answer "), F.col("gmail_id").cast("string"), F.lit("\n\nFrom: old@x\nSubject: old\nX-Gmail-ID: 0\n\nquoted "), "subject")
     files = e.select(F.concat(F.col("gmail_id").cast("string"), F.lit(".eml")).alias("path"), raw.cast("binary").alias("content"))
-    return readers.parse_eml(_spread(files)).select("gmail_id", "sender", "subject", "body")
+    return readers.parse_eml(files).select("gmail_id", "sender", "subject", "body")
 
 
 @Q.add("markdown_round_trip", f"{EVENTS} SELECT gmail_id::VARCHAR AS gmail_id, sender, subject, body FROM mail")

@@ -2,7 +2,7 @@
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,15 +31,18 @@ def read_analysis_file(spark: SparkSession, path: str) -> DataFrame:
 _EML = "gmail_id string, thread_id string, subject string, sender string, to string, cc string, bcc string, date string, labels string, body string, body_html string, has_attachments boolean, size long, source_file string, error string"
 
 
-def _parse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_EML_ARROW = pa.schema([(n, {"boolean": pa.bool_(), "long": pa.int64()}.get(t, pa.string())) for n, t in (f.split() for f in _EML.split(", "))])
+
+
+def _parse_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for path, content in zip(batch["path"], batch["content"], strict=True):
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
             m = parse_message(content)
             h = m["headers"]
             name = path.rsplit("/", 1)[-1]
             rows.append((h.get("X-Gmail-ID") or None, h.get("X-Thread-ID"), h.get("Subject"), h.get("From"), h.get("To"), h.get("Cc"), h.get("Bcc"), h.get("Date"), h.get("X-Gmail-Labels"), best_body(m["plain"], m["html"]), m["html"], m["attachments"], len(content or b""), name, m["error"]))
-        yield pd.DataFrame(rows, columns=[f.split()[0] for f in _EML.split(", ")])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(_EML_ARROW), _EML_ARROW.types, strict=True)], schema=_EML_ARROW)
 
 
 def read_eml(spark: SparkSession, path: str, glob: str = "*.eml") -> DataFrame:
@@ -55,7 +58,7 @@ def first_files(files: DataFrame, limit: int | None = None) -> DataFrame:
 
 def parse_eml(files: DataFrame) -> DataFrame:
     """Mail of (path, content) rows; see ``read_eml``."""
-    raw = files.select("path", "content").mapInPandas(_parse_files, _EML)
+    raw = files.select("path", "content").mapInArrow(_parse_files, _EML)
     raw = raw.withColumn("gmail_id", F.coalesce("gmail_id", text.message_id(F.col("source_file")), F.col("source_file")))
     return _with_extra(raw, ("to", "cc", "bcc", "error"))
 

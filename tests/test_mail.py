@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lettermill.functions import text
 from lettermill.operators import quality, rules, search, store, temporal
 from lettermill.schema import MAIL, check_mail, to_mail
-from lettermill.sources import readers, writers
+from lettermill.sources import mime, readers, writers
 from lettermill.sources.snapshots import MailStore
 
 EML = """From: Ann <Ann@Example.com>
@@ -176,3 +176,29 @@ def test_mail_query_operators_and_groups(spark):
     for bad in ("(a", "a)", "foo:1", "newer_than:xx"):
         with pytest.raises(ValueError):
             search.mail_query(bad)
+
+
+PLAIN = b'From: user12@view.example.com\r\nTo: me@example.org\r\nSubject: gr\xc3\xbcn  x\r\nDate: 1 Jan 2024 00:00:11 +0000\r\nX-Gmail-ID: 12\r\nMIME-Version: 1.0\r\nContent-Type: multipart/alternative; boundary="=_ab"\r\n\r\n--=_ab\r\nContent-Type: text/plain; charset="utf-8"\r\n\r\n{"k": 4}\r\n--=_ab\r\nContent-Type: text/html; charset="utf-8"\r\n\r\n<p>page</p>\r\n--=_ab--\r\n'
+
+
+def _without_package(monkeypatch, raw):
+    """The message as the email package reads it, and as it is read where the package must not be asked."""
+    want = mime._parse_any(raw)
+    monkeypatch.setattr(mime, "_parse_any", None)
+    got = mime.parse_message(raw)
+    monkeypatch.undo()
+    return want, got
+
+
+def test_plain_messages_are_read_without_the_email_package(monkeypatch):
+    want, got = _without_package(monkeypatch, PLAIN)
+    assert got == want and got["plain"] == '{"k": 4}' and got["headers"]["Date"] == "Mon, 01 Jan 2024 00:00:11 +0000" and got["headers"]["Subject"] == "grün  x"
+    # Variants that are not plain give what the package gives.
+    for old, new in ((b"\r\n", b"\n"), (b"\r\n\r\n--=_ab", b"\r--=_ab"), (b"--=_ab--", b""), (b"--=_ab--", b"--=_abc--"), (b"1 Jan", b"32 Jan"), (b"user12@", b"A B <user12@"), (b"x\r\n", b"=?utf-8?q?a_b?=\r\n more\r\n"), (b"Content-Type: text/html", b"Content-Disposition: attachment\r\nContent-Type: text/html"), (b"utf-8", b"nope"), (b"MIME-Version", b" MIME-Version")):
+        raw = PLAIN.replace(old, new)
+        try:
+            want = mime._parse_any(raw)
+        except LookupError as e:
+            assert mime.parse_message(raw)["error"] == f"LookupError: {e}"
+        else:
+            assert mime.parse_message(raw) == want, new
