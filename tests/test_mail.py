@@ -202,3 +202,10 @@ def test_plain_messages_are_read_without_the_email_package(monkeypatch):
             assert mime.parse_message(raw)["error"] == f"LookupError: {e}"
         else:
             assert mime.parse_message(raw) == want, new
+
+
+def test_buried_headers_are_read_without_the_email_package(monkeypatch):
+    raw = b"+OK 512 octets\nreceived by relay\n\nFrom: nobody@x\nFrom: a@view.example.com\nSubject:\n view\nX-Gmail-ID: 7\n\nbody 7"
+    want, got = _without_package(monkeypatch, mime.repair_message(raw))
+    monkeypatch.setattr(mime, "_parse_any", None)
+    assert mime.parse_message(raw) == got == want and got["headers"]["From"] == "a@view.example.com" and got["plain"] == "body 7"
