@@ -209,3 +209,10 @@ def test_buried_headers_are_read_without_the_email_package(monkeypatch):
     want, got = _without_package(monkeypatch, mime.repair_message(raw))
     monkeypatch.setattr(mime, "_parse_any", None)
     assert mime.parse_message(raw) == got == want and got["headers"]["From"] == "a@view.example.com" and got["plain"] == "body 7"
+
+
+def test_buried_headers_before_quotes_are_read_without_the_email_package(monkeypatch):
+    raw = b"+OK 5\nX-Relay: a\n\nDate: Mon, 1 Jan 2024 00:00:00 +0000\nFrom: a@b.c\nSubject: s\n\nContent-Type: text/plain; charset=utf-8\n\nmine\n\nFrom: old@x\nSubject: old\n\nquoted"
+    want, got = _without_package(monkeypatch, mime.repair_message(raw))
+    monkeypatch.setattr(mime, "_parse_any", None)
+    assert mime.parse_message(raw) == got == want and got["headers"]["From"] == "a@b.c" and got["plain"] == "mine\n\nFrom: old@x\nSubject: old\n\nquoted"
