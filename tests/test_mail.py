@@ -219,7 +219,6 @@ def test_buried_headers_before_quotes_are_read_without_the_email_package(monkeyp
 
 
 def test_long_subjects_are_read_without_the_email_package(monkeypatch):
-    raw = b"From: web@de.example.org\r\nSubject: " + "Wörter und ".encode() * 50 + b'\r\nMIME-Version: 1.0\r\nContent-Type: text/plain; charset="utf-8"\r\n\r\nFrom me\r\n' + "ß
-".encode() * 50
+    raw = b"From: web@de.example.org\r\nSubject: " + "Wörter und ".encode() * 50 + b'\r\nMIME-Version: 1.0\r\nContent-Type: text/plain; charset="utf-8"\r\n\r\nFrom me\r\n' + "ß\n".encode() * 50
     want, got = _without_package(monkeypatch, raw)
     assert got == want and got["headers"]["Subject"].count("Wörter") == 50 and got["plain"].endswith("ß\n")
