@@ -12,6 +12,8 @@ from dataclasses import dataclass, replace
 from functools import reduce
 from operator import and_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -178,13 +180,38 @@ def field_terms(field: str) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(F.col(field), F.lit(""))), SEPARATORS), lambda t: t != "")
 
 
+#: Mails whose terms are grouped at once in a task.
+GROUPED = 500
+
+
 def positions(mail: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
-    """(term, key, field, positions, dl): where each term stands in each field of each mail, and how many terms the mail has."""
-    read = mail.select(F.col(key).alias("key"), F.array(*[F.struct(F.lit(f).alias("field"), field_terms(f).alias("terms")) for f in fields]).alias("all"))
-    read = read.withColumn("dl", F.aggregate("all", F.lit(0), lambda n, x: n + F.size(x["terms"])))
-    each = read.select("key", "dl", F.explode("all").alias("f")).select("key", "dl", "f.field", F.posexplode("f.terms").alias("at", "term"))
-    # A list is as long as the mail says the term; one mail's postings never depend on another's.
-    return each.groupBy("term", "key", "field", "dl").agg(F.array_sort(F.collect_list("at")).alias("positions")).select("term", "key", "field", "positions", "dl")
+    """(term, key, field, positions, dl): where each term stands in each field of each mail, and how many terms the mail has.
+
+    One mail's postings never depend on another's, so terms are grouped in the task that reads the mail, and no term travels alone.
+    """
+    read = mail.select(F.col(key).alias("key"), *[field_terms(f).alias(f"t{i}") for i, f in enumerate(fields)])
+
+    def work(batches):
+        for whole in batches:
+            for start in range(0, whole.num_rows, GROUPED):
+                batch = whole.slice(start, GROUPED)
+                sizes = [batch.column(f"t{i}").value_lengths().to_numpy(zero_copy_only=False).astype("int64") for i in range(len(fields))]
+                dl = pa.array(sum(sizes).astype("int32"))
+                for i, f in enumerate(fields):
+                    terms = batch.column(f"t{i}").flatten().dictionary_encode()
+                    if not len(terms):
+                        continue
+                    mails = np.repeat(np.arange(batch.num_rows), sizes[i])
+                    at = np.arange(len(terms)) - np.repeat(np.cumsum(sizes[i]) - sizes[i], sizes[i])
+                    each = mails * len(terms.dictionary) + terms.indices.to_numpy()
+                    order = np.argsort(each, kind="stable")
+                    each = each[order]
+                    starts = np.flatnonzero(np.r_[True, each[1:] != each[:-1]])
+                    mine, term = (pa.array(x) for x in np.divmod(each[starts], len(terms.dictionary)))
+                    lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(each)].astype("int32")), pa.array(at[order].astype("int32")))
+                    yield pa.RecordBatch.from_arrays([terms.dictionary.take(term), batch.column("key").take(mine), pa.array([f] * len(starts), pa.string()), lists, dl.take(mine)], names=["term", "key", "field", "positions", "dl"])
+
+    return read.mapInArrow(work, f"term string, key {read.schema['key'].dataType.simpleString()}, field string, positions array<int>, dl int")
 
 
 class MailIndex:
@@ -316,8 +343,8 @@ class MailIndex:
                 here = here & F.col("field").isin(*sorted(p.fields)) if p.fields is not None else here
                 hits.append(F.when(here, F.struct(F.lit(i).alias("phrase"), F.lit(j).alias("part"))))
         rows = rows.select("key", "dl", "field", "positions", F.explode(F.array_compact(F.array(*hits))).alias("h")).select("key", "dl", "field", "positions", "h.*")
-        # Where phrases begin: the places at which all parts of one meet.
-        placed = rows.select("key", "dl", "field", "phrase", "part", F.explode("positions").alias("at")).withColumn("begin", F.col("at") - F.col("part"))
+        # Where phrases begin: the places at which all parts of one meet. All of a mail is brought together once, before places are rows.
+        placed = rows.repartition("key").select("key", "dl", "field", "phrase", "part", F.explode("positions").alias("at")).withColumn("begin", F.col("at") - F.col("part"))
         begins = placed.groupBy("key", "dl", "field", "phrase", "begin").agg(F.count_distinct("part").alias("parts"))
         met = F.lit(False)
         for i, p in enumerate(phrases):

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from lettermill.operators.fulltext import MailIndex, MatchError, Near, Phrase, parse_match, search_mail
+from lettermill.operators.fulltext import MailIndex, MatchError, Near, Phrase, parse_match, positions, search_mail
 
 FIELDS = ("subject", "body", "sender")
 ROWS = "gmail_id string, subject string, body string, sender string, date_received string"
@@ -95,3 +95,10 @@ def test_an_empty_index(spark, tmp_path):
     index = MailIndex(spark, str(tmp_path / "index"))
     index.update(spark.createDataFrame([], ROWS))
     assert index.match("a* OR b").count() == 0 and index.postings().count() == 0
+
+
+def test_terms_are_grouped_without_a_shuffle(spark):
+    made = positions(spark.createDataFrame([(1, "b a b", None), (2, None, "A c"), (3, "", "b")], "id long, subject string, body string"), "id", ("subject", "body"))
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r["term"], r["key"], r["field"], r["positions"], r["dl"]) for r in made.collect())
+    assert got == [("a", 1, "subject", [1], 3), ("a", 2, "body", [0], 2), ("b", 1, "subject", [0, 2], 3), ("b", 3, "body", [0], 1), ("c", 2, "body", [1], 2)]
