@@ -104,19 +104,31 @@ def three_signals(df: DataFrame, subject: str = "subject", body: str = "body", s
     Subjects are lower-cased before patterns such as ``^Re:`` are tried, so these never fit unless ``ignore_case``.
     A medium-priority word overrides a high one. ``labels`` is an array of strings.
     """
-    # Frequencies by an aggregate and a join, so that a very frequent sender is pre-aggregated and can be split.
     counts = df.groupBy(F.col(sender).alias("__who")).agg(F.count("*").alias("sender_frequency"))
-    df = df.join(counts, F.col(sender).eqNullSafe(F.col("__who")), "left").drop("__who")
     df = df.withColumns({
         "__from": F.lower(F.coalesce(F.col(sender), F.lit(""))), "__subject": F.lower(F.coalesce(F.col(subject), F.lit(""))),
         "__body": F.lower(F.coalesce(F.col(body), F.lit(""))), "__labels": F.lower(F.coalesce(F.array_join(labels, ","), F.lit(""))),
     })
     who, title, text, tags = (F.col(c) for c in ("__from", "__subject", "__body", "__labels"))
-    known = F.col("sender_frequency")
     flags = "(?i)" if ignore_case else ""
 
+    # What texts say comes first, so that a query that wants no texts moves none for the frequencies below.
     # Results that several others need are columns of their own, so that their code stands once in the plan.
     df = df.withColumns({"__pattern": first_match(who, packs.SENDER_PATTERNS), "__auto": any_of(who, packs.SOURCE_AUTOMATED), "__title": first_match(title, {k: [flags + p for p in v] for k, v in packs.SUBJECT_PATTERNS.items()})})
+    # A fold over each word list: one small expression, where a sum of all words would outgrow a generated method.
+    # Bytes are counted, since their number is known and that of characters is not.
+    count = lambda acc, w: acc + F.floor((F.octet_length(text) - F.octet_length(F.replace(text, w, F.lit("")))) / F.octet_length(w))
+    scores = {d: F.aggregate(F.array(*[F.lit(w) for w in words]), F.lit(0).cast("long"), count) for d, words in packs.DOMAIN_KEYWORDS.items()}
+    df = df.withColumn("__scores", F.array(*[s.cast("int") for s in scores.values()]))
+    best = F.array_max("__scores")
+    df = df.withColumns({"__best": best, "__domain": F.when(best > 0, F.element_at(F.array(*[F.lit(d) for d in scores]), F.array_position("__scores", best).cast("int")))})
+    df = df.withColumns({
+        "__unsubscribe": text.contains("unsubscribe"), "__automation": F.least(hits(text, packs.AUTOMATION_INDICATORS) * F.lit(0.2).cast("double"), F.lit(1.0).cast("double")), "__has_text": text != "",
+        "__thread": title.rlike("^(re:|fwd:|fw:)"), "__high": any_of(title, packs.PRIORITY_KEYWORDS["High"]), "__medium": any_of(title, packs.PRIORITY_KEYWORDS["Medium"]),
+    })
+    # Frequencies by an aggregate and a join, so that a very frequent sender is pre-aggregated and can be split.
+    df = df.join(counts, F.col(sender).eqNullSafe(F.col("__who")), "left").drop("__who")
+    known, unsubscribe, automation, has_text, thread, high, medium = (F.col(c) for c in ("sender_frequency", "__unsubscribe", "__automation", "__has_text", "__thread", "__high", "__medium"))
     by_pattern = F.col("__pattern")
     is_auto, often, once = F.col("__auto"), known > 50, known == 1
     source = F.when(is_auto, "Automated").when(by_pattern.isin("Newsletter", "Service_Notification"), "Semi-automated").otherwise("Human")
@@ -125,25 +137,12 @@ def three_signals(df: DataFrame, subject: str = "subject", body: str = "body", s
     num = lambda cond, x: F.when(cond, F.lit(float(x)).cast("double")).otherwise(zero)
     sender_score = num(by_pattern.isNotNull(), 0.8) + F.when(is_auto, 0.3).when(by_pattern.isin("Newsletter", "Service_Notification"), 0.2).otherwise(0.1).cast("double") + F.when(often, 0.4).when(once, 0.2).otherwise(0.0).cast("double")
 
-    thread = title.rlike("^(re:|fwd:|fw:)")
     from_subject = F.col("__title")
-    df = df.withColumns({"__high": any_of(title, packs.PRIORITY_KEYWORDS["High"]), "__medium": any_of(title, packs.PRIORITY_KEYWORDS["Medium"])})
-    high, medium = F.col("__high"), F.col("__medium")
     priority = F.when(medium, "Medium").when(high, "High").otherwise("Medium")
     subject_score = num(thread, 0.3) + num(from_subject.isNotNull(), 0.6) + num(high, 0.2) + num(medium, 0.2)
 
-    unsubscribe = text.contains("unsubscribe")
-    automation = F.least(hits(text, packs.AUTOMATION_INDICATORS) * F.lit(0.2).cast("double"), F.lit(1.0).cast("double"))
-    # A fold over each word list: one small expression, where a sum of all words would outgrow a generated method.
-    # Bytes are counted, since their number is known and that of characters is not.
-    count = lambda acc, w: acc + F.floor((F.octet_length(text) - F.octet_length(F.replace(text, w, F.lit("")))) / F.octet_length(w))
-    scores = {d: F.aggregate(F.array(*[F.lit(w) for w in words]), F.lit(0).cast("long"), count) for d, words in packs.DOMAIN_KEYWORDS.items()}
-    df = df.withColumn("__scores", F.array(*[s.cast("int") for s in scores.values()]))
-    best = F.array_max("__scores")
-    df = df.withColumns({"__best": best, "__domain": F.when(best > 0, F.element_at(F.array(*[F.lit(d) for d in scores]), F.array_position("__scores", best).cast("int")))})
     best, domain = F.col("__best"), F.col("__domain")
     important, promo = tags.contains("important"), tags.contains("category_promotions")
-    has_text = text != ""
     promo_domain = F.when(has_text & ~important & promo & domain.isNull(), "Shopping/Retail")
     content_score = F.when(has_text, num(unsubscribe, 0.3) + F.when(best > 0, F.least(best * F.lit(0.1).cast("double"), F.lit(0.5).cast("double"))).otherwise(zero) + F.when(important, 0.2).when(promo, 0.3).otherwise(0.0).cast("double")).otherwise(zero)
 
@@ -159,7 +158,7 @@ def three_signals(df: DataFrame, subject: str = "subject", body: str = "body", s
         "priority_level": priority, "source_type": source, "action_required": F.when(has_text & important, "Reply_Needed").otherwise("Read_Only"),
         "is_thread": thread, "has_unsubscribe": unsubscribe, "automated_score": F.round(automation, 3),
         "confidence_score": F.round(F.least(total.cast("double"), F.lit(1.0).cast("double")), 6), "classification_rules": F.to_json(trace),
-    }).drop("__from", "__subject", "__body", "__labels", "__scores", "__pattern", "__auto", "__title", "__high", "__medium", "__best", "__domain")
+    }).drop("__from", "__subject", "__body", "__labels", "__scores", "__pattern", "__auto", "__title", "__high", "__medium", "__best", "__domain", "__unsubscribe", "__automation", "__has_text", "__thread")
 
 
 def newsletter_score(df: DataFrame, subject: str = "subject", sender: str = "sender", body: str = "body", limit: int | None = None) -> DataFrame:

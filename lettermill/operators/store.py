@@ -157,7 +157,8 @@ def category_shares(df: DataFrame, category: str = "category", confidence: str =
     total = df.agg(F.count("*"))
     out = df.groupBy(F.col(category).alias("category")).agg(F.count("*").alias("n"), F.round(F.avg(confidence), 3).alias("avg_confidence"))
     out = out.withColumn("pct", pct(F.col("n"), total.scalar(), 2))
-    return out.where(F.col("category") != skip) if skip else out
+    # By the count too, which only the groups have: on the category alone, rows would be filtered, and their texts classified once more for it.
+    return out.where(F.when(F.col("n") > 0, F.col("category") != skip)) if skip else out
 
 
 def category_senders(df: DataFrame, least: int = 3, k: int = 5, category: str = "category", sender: str = "sender") -> DataFrame:

@@ -42,3 +42,12 @@ def test_query(spark, duck, name):
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
     assert rows(got, columns) == rows(want, columns)
+
+
+def test_left_out_categories_are_filtered_after_grouping(spark):
+    """On the rows, the filter would classify every text again; and no text is shuffled to its sender's frequency."""
+    plan = catalog.QUERIES["domain_distribution"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.split("\n")
+    join = next(i for i, x in enumerate(lines) if "Join LeftOuter" in x)
+    assert not any("Filter" in x and "artificial intelligence" in x for x in lines)
+    assert any("artificial intelligence" in x for x in lines[join:]) and not any("artificial intelligence" in x for x in lines[:join])
