@@ -44,22 +44,27 @@ def best_rendering(spark, d):
     return m.select("gmail_id", best["name"].alias("name"))
 
 
+def _spread(rows, key):
+    """Small tables are few partitions; pages are rendered in Python, so rows are dealt to all cores."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
 @Q.add("tree_markdown", """SELECT event_id AS gmail_id, '## ' || event_type || chr(10) || chr(10) || 'User **' || user_id || '** at [' || event_type || '](http://x/' || event_id || ')' || chr(10) || chr(10) || '- a' || chr(10) || '  - ' || user_id || chr(10) || '- c' || chr(10) || chr(10)
     || '| k | v |' || chr(10) || '| --- | --- |' || chr(10) || '| n\\|m | ' || event_id || ' |' AS tree,
   '## ' || event_type || chr(10) || chr(10) || 'User **' || user_id || '** at [' || event_type || '][1]' || chr(10) || chr(10) || '- a' || chr(10) || '  - ' || user_id || chr(10) || '- c' || chr(10) || chr(10)
     || '| k | v |' || chr(10) || '| --- | --- |' || chr(10) || '| n\\|m | ' || event_id || ' |' || chr(10) || chr(10) || '[1]: http://x/' || event_id AS links FROM events""")
 def tree_markdown(spark, d):
     """Pages made of events, with a heading, a link, a nested list without end tags, and a table; two renderings."""
-    e = spark.read.parquet(f"{d}/events.parquet")
+    e = _spread(spark.read.parquet(f"{d}/events.parquet"), "event_id")
     k, kind, user = F.col("event_id").cast("string"), F.col("event_type"), F.col("user_id").cast("string")
     page = F.concat(F.lit("<div><h2>"), kind, F.lit("</h2><script>x</script><p>User <b>"), user, F.lit("</b>\n at <a href='http://x/"), k, F.lit("'>"), kind, F.lit("</a><ul><li>a<ul><li>"), user, F.lit("</ul><li>c</ul><table><tr><th>k<th>v<tr><td>n|m<td>"), k, F.lit("</table></div>"))
-    return renderers.with_renderings(e.select(F.col("event_id").alias("gmail_id"), page.alias("body_html"))).select("gmail_id", "tree", "links")
+    return renderers.with_renderings(e.select(F.col("event_id").alias("gmail_id"), page.alias("body_html")), names=("tree", "links")).select("gmail_id", "tree", "links")
 
 
 @Q.add("best_of_renderings", """SELECT page_id AS gmail_id, page_id % 4 = 3 AS is_plain, true AS whole FROM pages""")
 def best_of_renderings(spark, d):
     """The best of three renderings of each page; where the page is gone, of its text part."""
-    m = html_mail(spark, d).withColumn("body", F.when(F.col("gmail_id") % 4 == 3, "a text part")).withColumn("body_html", F.when(F.col("gmail_id") % 4 != 3, F.col("body_html")))
+    m = _spread(html_mail(spark, d), "gmail_id").withColumn("body", F.when(F.col("gmail_id") % 4 == 3, "a text part")).withColumn("body_html", F.when(F.col("gmail_id") % 4 != 3, F.col("body_html")))
     best = renderers.best_markdown(m, plain="body")
     return best.select("gmail_id", (F.col("rendering") == "plain").alias("is_plain"), ((F.length("markdown") > 0) & F.col("quality").between(0.01, 1.0)).alias("whole"))
 

@@ -123,3 +123,15 @@ def test_periods_of_names_count_apart_from_folders(spark):
     files = spark.createDataFrame([("2024/01/2024",), ("2024/01/7.EML",), ("2024/02/12",), ("12",)], "path string")
     got = sorted(tuple(r) for r in ledger.path_periods(files).collect())
     assert got == [("month", "01", 2), ("month", "02", 1), ("month", "12", 2), ("year", "2024", 1), ("year", "2024", 3)]
+
+
+def test_a_main_part_is_rendered_on_the_way(monkeypatch):
+    page = "<nav><a href='/m'>menu</a></nav><div><p>The article is here, with words.</p><p>And <a href='u'>more</a>.</p></div>"
+    passes = []
+    plain = renderers._upwards
+    monkeypatch.setattr(renderers, "_upwards", lambda root: passes.append(root.tag) or plain(root))
+    root = renderers.tree_of(page)
+    want = renderers.render(root), renderers.render(root, references=True), renderers.render(renderers.main_part(root))
+    assert want[2].startswith("The article") and "menu" in want[0]
+    passes.clear()
+    assert renderers.renderings(page) == want and len(passes) < 4
