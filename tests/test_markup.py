@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lettermill.functions import markup
 from lettermill.operators import ledger, rules, store
+from lettermill.sources import renderers
 from lettermill.sources.mime import best_body, html_to_markdown, parse_message
 from lettermill.streaming.lockout import lockouts
 
@@ -135,3 +136,15 @@ def test_a_main_part_is_rendered_on_the_way(monkeypatch):
     assert want[2].startswith("The article") and "menu" in want[0]
     passes.clear()
     assert renderers.renderings(page) == want and len(passes) < 4
+
+
+def test_two_renderings_of_links_take_one_pass(monkeypatch):
+    page = "<h2><a href='/u'>t</a></h2><ul><li>a <a href='http://x/1'>b</a><li><a href='/u'></a></ul><table><tr><th>k<th>v<tr><td>1<td><a href='#n'>n|m</a></table>"
+    plain, passes = renderers._upwards, []
+    monkeypatch.setattr(renderers, "_upwards", lambda root: passes.append(root.tag) or plain(root))
+    for odd in (page, page.replace("/u", "/a|b c"), page.replace("b</a>", "b &#4;1&#5;</a>"), page.replace("b</a>", "b \x041\x05</a>"), "<p>no link"):
+        root = renderers.tree_of(odd)
+        want = renderers.render(root), renderers.render(root, references=True)
+        passes.clear()
+        assert renderers.renderings(odd, ("tree", "links")) == want
+        assert len(passes) == 1 or odd not in (page, "<p>no link")
